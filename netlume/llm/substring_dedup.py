@@ -11,8 +11,9 @@ Repeated-phrase automata.  First the recurring passages are confirmed:
 
 Then, for each block of documents, the passages confirmed there that an
 earlier document holds are compiled into Aho-Corasick automata over an
-alphabet of words, a bounded number of passages in each (the shards), and all
-documents of the block are streamed through them.  Each occurrence that they
+alphabet in which every word has two or three letters, a bounded number of
+passages in each (the shards), and all documents of the block are streamed
+through them.  Each occurrence that they
 report in a document other than the first is removed.  An automaton is never
 larger than the block that it serves, and every document passes only through
 those of its own block, so the work grows in proportion to the input.
@@ -30,6 +31,8 @@ from .common import NULL_ID, Block, by_key, exchange, id_or_null, partitions, re
 WINDOW, GROUP = 13, 5
 SHARD = 50_000
 """Passages compiled into one automaton."""
+BASE = 256
+"""Letters that can follow each other in an automaton; it looks through them one by one, so there must not be one for each word."""
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -89,6 +92,14 @@ def _recurring(block: Block, replies, buckets: int, window: int, group: int):
     return one[first], two[first], at[first], least, most
 
 
+def _spelled(numbers: np.ndarray, letters: int) -> str:
+    """Words by number as ``letters`` letters each, with an alphabet of its own for each of them, so that no word begins inside another; 0 is in no passage."""
+    out = np.empty((len(numbers), letters), "<u4")
+    for j in range(letters):
+        out[:, j] = np.where(numbers > 0, numbers // BASE**j % BASE + BASE * j + 1, 0)
+    return out.tobytes().decode("utf-32-le")
+
+
 def _mark(block: Block, at: np.ndarray, earliest: np.ndarray, window: int) -> np.ndarray:
     """Which words are covered by a passage, found by automata, that an earlier document holds."""
     import ahocorasick
@@ -99,20 +110,20 @@ def _mark(block: Block, at: np.ndarray, earliest: np.ndarray, window: int) -> np
         places, values = at[shard : shard + SHARD], earliest[shard : shard + SHARD].tolist()
         patterns = block.words[places[:, None] + np.arange(window)]
         used = np.unique(patterns)
-        letter = np.zeros(len(block.vocab), np.uint32)  # 0: in no passage
-        letter[used] = np.arange(1, len(used) + 1)
-        letter[letter >= 0xD800] += 0x800  # these code points aren't characters
-        spelled = letter[patterns].astype("<u4").tobytes().decode("utf-32-le")
+        number = np.zeros(len(block.vocab), np.int64)
+        number[used] = np.arange(1, len(used) + 1)
+        letters = 2 if len(used) < BASE**2 else 3
+        spelled, each = _spelled(number[patterns.ravel()], letters), letters * window
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for j, value in enumerate(values):
-            automaton.add_word(spelled[j * window : (j + 1) * window], value)
+            automaton.add_word(spelled[j * each : (j + 1) * each], value)
         automaton.make_automaton()
-        stream = letter[block.words].astype("<u4").tobytes().decode("utf-32-le")
+        stream = _spelled(number[block.words], letters)
         for d, doc_id in enumerate(block.ids.tolist()):
             a = int(starts[d])
-            ends = [a + end for end, value in automaton.iter(stream[a : int(starts[d + 1])]) if value < doc_id]
+            ends = [end for end, value in automaton.iter(stream[a * letters : int(starts[d + 1]) * letters]) if value < doc_id]
             if ends:
-                last = np.array(ends)
+                last = a + np.array(ends) // letters
                 np.add.at(edges, last - (window - 1), 1)
                 np.add.at(edges, last + 1, -1)
     return np.cumsum(edges[:n]) > 0
