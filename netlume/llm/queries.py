@@ -1,6 +1,8 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .katz import op6_katz
+from .language_id import op7_language_id
 from .packing import op9_packing
 from .quality_classifier import op1_quality
 from .quality_rules import op10_quality_rules
@@ -15,6 +17,8 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_katz": op6_katz,
+    "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
