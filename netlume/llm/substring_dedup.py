@@ -13,10 +13,11 @@ Then, for each block of documents, the passages confirmed there that an
 earlier document holds are compiled into Aho-Corasick automata over an
 alphabet in which every word has two or three letters, a bounded number of
 passages in each (the shards), and all documents of the block are streamed
-through them.  Each occurrence that they
-report in a document other than the first is removed.  An automaton is never
-larger than the block that it serves, and every document passes only through
-those of its own block, so the work grows in proportion to the input.
+through them.  Windows that always occur together in the block are one
+passage.  Each occurrence that the automata report in a document other than
+the first is removed.  An automaton is never larger than the block that it
+serves, and every document passes only through those of its own block, so the
+work grows in proportion to the input.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Block, by_key, exchange, id_or_null, partitions, replied, rolling, stage_blocks, word_hashes
+from .common import NULL_ID, Block, by_key, exchange, id_or_null, mix, partitions, replied, rolling, stage_blocks, word_hashes
 
 WINDOW, GROUP = 13, 5
-SHARD = 50_000
-"""Passages compiled into one automaton."""
+SHARD, LONGEST = 10_000, 64
+"""Passages compiled into one automaton, and words in one of them."""
 BASE = 256
 """Letters that can follow each other in an automaton; it looks through them one by one, so there must not be one for each word."""
 
@@ -71,7 +72,12 @@ def _anchors(block: Block, window: int, group: int):
 
 
 def _recurring(block: Block, replies, buckets: int, window: int, group: int):
-    """Distinct windows whose anchor recurs: two hashes, a place where each occurs, least and largest id in the block."""
+    """Distinct windows whose anchor recurs: two hashes, the first place where each occurs, least and largest id in the block, and two numbers.
+
+    The numbers are sums over all places of a window in the block, of their
+    hashes and of those of the places before.  A window whose second number is
+    the first one of another is always next to that one.
+    """
     at, anchor, keys, _, _ = _anchors(block, window, group)
     flags = replied(keys, replies, buckets)
     if flags is None:
@@ -80,7 +86,7 @@ def _recurring(block: Block, replies, buckets: int, window: int, group: int):
         at = at[flags.astype(bool)[np.searchsorted(keys, anchor)]]
     if not len(at):
         none = np.zeros(0, np.uint64)
-        return none, none, at, at, at
+        return none, none, at, at, at, none, none
     one = rolling(word_hashes(block.vocab, 2)[block.words], window, 0xD6E8FEB86659FD93)[at]
     two = rolling(word_hashes(block.vocab, 3)[block.words], window, 0xA0761D6478BD642F)[at]
     order = np.lexsort((two, one))
@@ -89,7 +95,8 @@ def _recurring(block: Block, replies, buckets: int, window: int, group: int):
     begin = np.flatnonzero(new)
     least, most = _least_and_most(order, begin, block.ids[block.owners()[at]])
     first = order[begin]
-    return one[first], two[first], at[first], least, most
+    here, before = (np.add.reduceat(mix(x.astype(np.uint64))[order], begin) for x in (at, at - 1))
+    return one[first], two[first], at[first], least, most, here, before
 
 
 def _spelled(numbers: np.ndarray, letters: int) -> str:
@@ -100,31 +107,51 @@ def _spelled(numbers: np.ndarray, letters: int) -> str:
     return out.tobytes().decode("utf-32-le")
 
 
-def _mark(block: Block, at: np.ndarray, earliest: np.ndarray, window: int) -> np.ndarray:
+def _passages(at: np.ndarray, earliest: np.ndarray, here: np.ndarray, before: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages that join windows which always occur together, as (where one begins, its length, the earliest document).
+
+    A passage has at most LONGEST words or so; longer ones are cut into
+    passages that overlap, so that each window is in one of them.
+    """
+    order = np.argsort(at)
+    at, earliest, here, before = at[order], earliest[order], here[order], before[order]
+    joined = np.zeros(len(at), bool)
+    joined[1:] = (at[1:] == at[:-1] + 1) & (before[1:] == here[:-1]) & (earliest[1:] == earliest[:-1])
+    number = np.arange(len(at))
+    run = np.maximum.accumulate(np.where(joined, 0, number))
+    begin = np.flatnonzero((number - run) % max(1, LONGEST - window + 1) == 0)
+    size = np.diff(np.append(begin, len(at)))
+    return at[begin], size + window - 1, earliest[begin]
+
+
+def _mark(block: Block, at: np.ndarray, lengths: np.ndarray, earliest: np.ndarray) -> np.ndarray:
     """Which words are covered by a passage, found by automata, that an earlier document holds."""
     import ahocorasick
 
     n, starts = len(block.words), block.starts()
     edges = np.zeros(n + 1, np.int64)
     for shard in range(0, len(at), SHARD):
-        places, values = at[shard : shard + SHARD], earliest[shard : shard + SHARD].tolist()
-        patterns = block.words[places[:, None] + np.arange(window)]
+        places, sizes, values = (x[shard : shard + SHARD] for x in (at, lengths, earliest))
+        ends = np.cumsum(sizes)
+        patterns = block.words[np.repeat(places - (ends - sizes), sizes) + np.arange(ends[-1])]
         used = np.unique(patterns)
         number = np.zeros(len(block.vocab), np.int64)
         number[used] = np.arange(1, len(used) + 1)
         letters = 2 if len(used) < BASE**2 else 3
-        spelled, each = _spelled(number[patterns.ravel()], letters), letters * window
+        spelled, begin = _spelled(number[patterns], letters), 0
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for j, value in enumerate(values):
-            automaton.add_word(spelled[j * each : (j + 1) * each], value)
+        for end, size, value in zip((ends * letters).tolist(), sizes.tolist(), values.tolist(), strict=True):
+            automaton.add_word(spelled[begin:end], (size, value))
+            begin = end
         automaton.make_automaton()
         stream = _spelled(number[block.words], letters)
         for d, doc_id in enumerate(block.ids.tolist()):
             a = int(starts[d])
-            ends = [end for end, value in automaton.iter(stream[a * letters : int(starts[d + 1]) * letters]) if value < doc_id]
-            if ends:
-                last = a + np.array(ends) // letters
-                np.add.at(edges, last - (window - 1), 1)
+            found = [(end, size) for end, (size, value) in automaton.iter(stream[a * letters : int(starts[d + 1]) * letters]) if value < doc_id]
+            if found:
+                last, size = np.array(found).T
+                last = a + last // letters
+                np.add.at(edges, last - (size - 1), 1)
                 np.add.at(edges, last + 1, -1)
     return np.cumsum(edges[:n]) > 0
 
@@ -160,7 +187,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     anchors, _ = exchange(blocks, ask_anchors, answer_anchors, buckets, "anchors")
 
     def ask_windows(row):
-        one, two, _, least, most = _recurring(Block.of(row["block_id"], row["data"]), row["replies"], buckets, window, group)
+        one, two, _, least, most, _, _ = _recurring(Block.of(row["block_id"], row["data"]), row["replies"], buckets, window, group)
         return one, two, least, most - least
 
     def answer_windows(arrays, source):
@@ -180,11 +207,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block.of(row["block_id"], row["data"])
-                one, _, at, _, _ = _recurring(block, row["replies"], buckets, window, group)
+                one, _, at, _, _, here, before = _recurring(block, row["replies"], buckets, window, group)
                 first = replied(one, row["earliest"], buckets)
                 gone = np.zeros(len(block.words), bool)
                 if first is not None and (first < NULL_ID).any():
-                    gone = _mark(block, at[first < NULL_ID], first[first < NULL_ID], window)
+                    later = first < NULL_ID
+                    gone = _mark(block, *_passages(at[later], first[later], here[later], before[later], window))
                 starts, vocab = block.starts().tolist(), block.vocab
                 words, texts, spans, counts = block.words.tolist(), [], [], []
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
