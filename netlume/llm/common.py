@@ -27,6 +27,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,6 +136,16 @@ def texts_of(column) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def portions(batches, column: int, most: int = 4_000_000):
+    """Record batches cut so that the texts in one have about ``most`` bytes; a longer text is alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) if not pa.types.is_null(batch.column(column).type) else np.zeros(batch.num_rows)
+        portion = np.cumsum(sizes + 16) // most
+        cuts = np.flatnonzero(np.diff(portion)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def ids_of(column) -> np.ndarray:
     """An Arrow column of ids as int64, null as NULL_ID."""
     return np.array([NULL_ID if x is None else x for x in column.to_pylist()], np.int64)

@@ -21,16 +21,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of, texts_of, written
+from .common import id_or_null, ids_of, portions, texts_of, written
 from .token_counts import vocabulary_path
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 2048, 0
-CACHE = 600_000
+CACHE = 900_000
+PUNCTUATION, END_OF_WORD = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "</w>"
 _TOKENIZERS: dict = {}
 
 
 class WordIds(dict):
-    """The ids of words as bytes; white space bounds all tokens of this tokenizer, so a text's ids are those of its words."""
+    """The ids of words as bytes; white space bounds all tokens of this tokenizer, so a text's ids are those of its words.
+
+    A word of letters alone is one pre-token, and the last of its tokens is
+    one that ends a word; punctuation after it is another pre-token.  So
+    letters and punctuation are encoded apart, many at once, and put together.
+    Other words are encoded whole, with a special token between them.
+    """
 
     def __init__(self, name: str):
         from tokenizers import Tokenizer
@@ -38,24 +45,62 @@ class WordIds(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
-        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.mark, self.special = next(((t, i) for t, i in special.items()), (None, None)), [s.encode() for s in special]
+        self.mark = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()), None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn_letters(self, cores: list[bytes]) -> None:
+        for at in range(0, len(cores), 2000):
+            part = cores[at : at + 2000]
+            ids = self._encoded(b" ".join(part).decode())
+            ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            if len(ends) != len(part):
+                self._learn_others(part)
+                continue
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(part, (4 * ends).tolist(), strict=True):
+                self[w] = data[begin:end]
+                begin = end
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words that aren't known yet, many in a call, with a special token between them."""
-        mark, number = self.mark
+    def _learn_others(self, words: list[bytes]) -> None:
+        mark, number = self.mark or (None, None)
         plain = [w for w in words if mark and b"<|" not in w]
-        for w in words.difference(plain):
-            self[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        for w in set(words).difference(plain):
+            self[w] = self._encoded(w.decode()).tobytes()
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(mark.join([w.decode() for w in part]), add_special_tokens=False).ids, "<u4")
+            ids = self._encoded(mark.join([w.decode() for w in part]))
             cuts = np.flatnonzero(ids == number)
             data, begin = ids.tobytes(), 0
             for w, end in zip(part, [*(4 * cuts).tolist(), len(data)], strict=True):
                 self[w] = data[begin:end]
                 begin = end + 4
 
+    def learn(self, words: set[bytes]) -> None:
+        """Encode words that aren't known yet."""
+        split, cores, others = [], set(), set()
+        for w in words:
+            core = w.rstrip(PUNCTUATION)
+            if core.isalpha() or core and core.decode().lower().isalpha():  # bytes.isalpha: ASCII letters
+                core, tail = core.lower(), w[len(core) :]
+                cores.add(core)
+                if b"<|" in tail:
+                    others.add(w)
+                elif len(core) < len(w) or core != w:
+                    split.append((w, core, tail))
+                    if tail:
+                        others.add(tail)
+            else:
+                others.add(w)
+        self._learn_letters([c for c in cores if c not in self])
+        self._learn_others([w for w in others if w not in self])
+        for w, core, tail in split:
+            self[w] = self[core] + self[tail] if tail else self[core]
+
 
 def _word_ids(name: str) -> WordIds:
     if name not in _TOKENIZERS:
@@ -68,16 +113,23 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENG
 
     def run(batches):
         known, task, ranks = _word_ids(tokenizer), TaskContext.get().partitionId(), [0] * (length + 1)
-        for batch in batches:
-            words = [t.split() for t in texts_of(batch.column(1))]
-            new = set().union(*words).difference(known) if words else set()
-            if len(known) + len(new) > CACHE:
+        for batch in portions(batches, 1):
+            parts, gaps, new = [], [], set()
+            if len(known) > CACHE:
                 known.clear()
-                new = set().union(*words)
+            for text in texts_of(batch.column(1)):
+                words = text.split()
+                got = list(map(known.get, words))
+                gap = [(j, words[j]) for j, x in enumerate(got) if x is None]
+                new.update([w for _, w in gap])
+                parts.append(got)
+                gaps.append(gap)
             known.learn(new)
             rows: list[list] = [[] for _ in range(8)]
-            for doc_id, of in zip(ids_of(batch.column(0)).tolist(), words, strict=True):
-                data = b"".join(map(known.__getitem__, of)) + END.to_bytes(4, "little")
+            for doc_id, got, gap in zip(ids_of(batch.column(0)).tolist(), parts, gaps, strict=True):
+                for j, w in gap:
+                    got[j] = known[w]
+                data = b"".join(got) + END.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(data), 4 * length)):
                     ids = data[at : at + 4 * length]
                     n = len(ids) // 4
