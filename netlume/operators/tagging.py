@@ -125,14 +125,16 @@ def with_labels(metrics: DataFrame, labels: DataFrame, key: str, small: bool = T
 def losses(packets: DataFrame, stream: str = "stream", tagger: str = "tagger_id", seqno: str = "seqno", arrival: str = "arrival") -> DataFrame:
     """What got lost on the way: for each stream and tagger the numbers of packets received and lost, and of gaps.
 
-    Sequence numbers count up and skip 0; a jump forward loses what is in
+    Sequence numbers (64 bits, unsigned) count up and skip 0; a jump forward loses what is in
     between, a jump back counts as one loss, and a tagger that wasn't heard
     before starts anew.
     """
     w = Window.partitionBy(stream, tagger).orderBy(arrival)
-    before = F.lag(seqno).over(w)
-    expected = F.when(before == -1, F.lit(1)).otherwise(before + 1)
-    lost = F.when(before.isNull() | (F.col(seqno) == expected), 0).when(F.col(seqno) > expected, F.col(seqno) - expected).otherwise(1)
+    exact = F.col(seqno).cast("decimal(21,0)")
+    number = F.when(F.col(seqno) < 0, exact + F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(exact)  # numbers are unsigned
+    before = F.lag(number).over(w)
+    expected = F.when(before == F.lit(str((1 << 64) - 1)).cast("decimal(21,0)"), F.lit(1)).otherwise(before + 1)
+    lost = F.when(before.isNull() | (number == expected), 0).when(number > expected, number - expected).otherwise(1)
     return packets.withColumn("_lost", lost).groupBy(stream, tagger).agg(
         F.count("*").alias("received"), F.sum("_lost").cast("long").alias("lost"), F.sum(F.when(F.col("_lost") > 0, 1).otherwise(0)).cast("long").alias("gaps")
     )
