@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of, mix
+from .common import id_or_null, ids_of, mix, portions
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -28,7 +28,6 @@ SMOOTHING = 0.5
 SCRIPT_SHARE = 0.01
 """A language uses a script from this share of its letters on."""
 UNKNOWN = "und"
-STEP_WORDS = 1_000_000
 
 #: Where scripts begin in Unicode; a script reaches to the next one.
 SCRIPTS = (
@@ -212,16 +211,9 @@ def language_spans(docs: DataFrame, model: Languages, switch: float = SWITCH, wi
         return names, score.tolist(), spans
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, 1, 8_000_000):
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            names, scores, spans, part, held = [], [], [], [], 0
-            for d, words in enumerate(texts):
-                part.append(words)
-                held += len(words)
-                if held >= STEP_WORDS or d + 1 == len(texts):
-                    for all_of, new in zip((names, scores, spans), label(part), strict=True):
-                        all_of += new
-                    part, held = [], 0
+            names, scores, spans = label(texts)
             kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
             yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "spans": pa.array(spans, kind)})
 
