@@ -58,3 +58,19 @@ def file_name(template: str, plugin: str = "", monitor: str = "", ts: int = 0, t
         name += f".{extension.lstrip('.')}"
     name += f".{compression}" if compression else ""
     return name if thread is None else f"{name}--{thread}"
+
+
+def time_series_messages(points: DataFrame, prefix: str = "", batch: int = 1000) -> DataFrame:
+    """Points as messages (topic, key, value): lines of one time, so many in a message at most, under a key that keeps a time together."""
+    topic = f"{prefix}.timeseries" if prefix else "timeseries"
+    part = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("ts")) / batch)))
+    line = F.concat_ws(" ", "key", F.col("value").cast("string"), F.col("ts").cast("string"))
+    messages = points.withColumn("_part", part).groupBy("ts", "_part").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("value"))
+    return messages.select(F.lit(topic).alias("topic"), F.col("ts").cast("string").alias("key"), "value")
+
+
+def statistics_lines(counters: DataFrame) -> DataFrame:
+    """Counters by interval and thread as lines ``time=.. accepted=.. dropped=..``; what isn't known is left out."""
+    names = [c for c in counters.columns if c != "interval_ts"]
+    parts = [F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in names]
+    return counters.select(F.concat_ws(" ", F.concat(F.lit("time="), F.col("interval_ts").cast("string")), *parts).alias("value"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netlume.operators import flows, tagging
-from netlume.sinks.text import file_name, flow_text, time_series_lines
+from netlume.sinks.text import file_name, flow_text, statistics_lines, time_series_lines, time_series_messages
 from netlume.sources import attack_text, dimensions, ocf, pcap
 
 from .packets_of import address, packets
@@ -120,6 +120,14 @@ def test_flow_text(spark):
     assert time_series_lines(spark.createDataFrame([("a.b", 3, 60)], "key string, value long, ts long")).first()[0] == "a.b 3 60"
 
 
+def test_messages_and_statistics(spark):
+    points = spark.createDataFrame([(f"k{j}", j, 60 * (j % 2)) for j in range(10)], "key string, value long, ts long")
+    rows = time_series_messages(points, "x", 2).collect()
+    assert sum(len(r.value.splitlines()) for r in rows) == 10 and {r.topic for r in rows} == {"x.timeseries"} and len(rows) > 2
+    lines = statistics_lines(spark.createDataFrame([(60, 5, None)], "interval_ts long, accepted long, dropped long")).collect()
+    assert lines[0].value == "time=60 accepted=5"
+
+
 def test_file_names():
     assert file_name("/x/%N-%y%m%d-%H%M%S.%P", "dos", "mon", 0, 2, "avro") == "/x/mon-700101-000000.dos.avro--2"
     assert file_name("%s.%f", ts=60, extension="pcap", compression="gz") == "60.pcap.gz"
