@@ -232,13 +232,13 @@ def tag_labels(spark, sf_dir):
     return tagging.with_labels(nation.select(F.col("n_nationkey").alias("id")), labels, "id")
 
 
-@query("""WITH e AS (SELECT event_id, 1 + event_id // 5000 AS tagger_id, event_id - (event_id // 5000) * 5000 + 1 AS seqno FROM events WHERE event_id % 97 <> 0),
+@query("""WITH e AS (SELECT event_id, 1 + event_id // 5000 AS tagger_id, event_id % 5000 + 1 + (event_id % 5000) // 97 AS seqno FROM events),
 l AS (SELECT *, lag(seqno) OVER (PARTITION BY tagger_id ORDER BY event_id) AS before FROM e)
 SELECT 1 AS stream, tagger_id, count(*) AS received, sum(CASE WHEN before IS NULL THEN 0 ELSE seqno - before - 1 END)::BIGINT AS lost,
 sum(CASE WHEN seqno - before > 1 THEN 1 ELSE 0 END)::BIGINT AS gaps FROM l GROUP BY 2""")
 def tag_losses(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 97 <> 0")
-    e = e.selectExpr("1 AS stream", "1 + event_id div 5000 AS tagger_id", "event_id % 5000 + 1 AS seqno", "event_id AS arrival")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.selectExpr("1 AS stream", "1 + event_id div 5000 AS tagger_id", "event_id % 5000 + 1 + (event_id % 5000) div 97 AS seqno", "event_id AS arrival")
     return tagging.losses(e)
 
 
@@ -251,13 +251,12 @@ def interval_assignment(spark, sf_dir):
     return intervals.assigned(packets, 300, intervals.first_second(packets)).groupBy("interval_ts").agg(F.count("*").alias("packet_cnt"))
 
 
-@query(f"""{PACKETS}, q AS (SELECT * FROM packets WHERE ts_sec % 600 BETWEEN 7 AND 130 AND ts_sec >= 1704067300 AND ts_sec < 1704070000), e AS (SELECT min(ts_sec) AS a, max(ts_sec) AS b FROM q),
-s AS (SELECT unnest(generate_series(a - a % 60, b - b % 60, 60)) AS start, a, b FROM e), n AS (SELECT ts_sec - ts_sec % 60 AS start, count(*) AS packets FROM q GROUP BY 1)
-SELECT greatest(s.start, a) AS interval_ts, (CASE WHEN b < s.start + 59 THEN b + 1 ELSE s.start + 60 END) - greatest(s.start, a) AS length, coalesce(packets, 0) AS packets,
-a <= s.start AND b >= s.start + 58 AS complete FROM s LEFT JOIN n USING (start)""")
+@query("""WITH q AS (SELECT epoch_us(ts) // 1000000 AS ts_sec FROM events), e AS (SELECT min(ts_sec) AS a, max(ts_sec) AS b FROM q),
+s AS (SELECT unnest(generate_series(a - a % 300, b - b % 300, 300)) AS start, a, b FROM e), n AS (SELECT ts_sec - ts_sec % 300 AS start, count(*) AS packets FROM q GROUP BY 1)
+SELECT greatest(s.start, a) AS interval_ts, (CASE WHEN b < s.start + 299 THEN b + 1 ELSE s.start + 300 END) - greatest(s.start, a) AS length, coalesce(packets, 0) AS packets,
+a <= s.start AND b >= s.start + 298 AS complete FROM s LEFT JOIN n USING (start)""")
 def interval_gaps(spark, sf_dir):
-    packets = synthetic_packets(spark, sf_dir).where("ts_sec % 600 BETWEEN 7 AND 130 AND ts_sec >= 1704067300 AND ts_sec < 1704070000")
-    return intervals.intervals(packets, 60)
+    return intervals.intervals(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_timestamp("ts").alias("ts_sec")), 300)
 
 
 @query("""WITH e AS (SELECT event_id, epoch_us(ts) // 1000000 - (event_id * 7919) % 7200 AS ts_sec, user_id AS stream FROM events),
@@ -299,19 +298,20 @@ def flow_rows(spark, sf_dir):
     return _flows(spark, sf_dir)
 
 
-@query(f"""{TAGGED}{_FLOWS}, twice AS (SELECT *, 0 AS i FROM flows WHERE src_ip % 3 < 2 UNION ALL SELECT * REPLACE (1 - is_spoofed AS is_spoofed), 1 FROM flows WHERE src_ip % 3 > 0)
+@query(f"""{TAGGED}{_FLOWS}, twice AS (SELECT *, 0 AS i FROM flows UNION ALL SELECT * REPLACE (1 - is_spoofed AS is_spoofed, CASE WHEN dst_port = 23 THEN 99 ELSE tcp_synlen END AS tcp_synlen), 1 FROM flows)
 SELECT time, {_FLOW_KEY}, tcp_synlen, tcp_synwinlen, sum(packet_cnt)::BIGINT AS packet_cnt, arg_max(is_spoofed, i) AS is_spoofed, arg_max(is_masscan, i) AS is_masscan,
 arg_max(maxmind_continent, i) AS maxmind_continent, arg_max(maxmind_country, i) AS maxmind_country, arg_max(netacq_continent, i) AS netacq_continent, arg_max(netacq_country, i) AS netacq_country,
 arg_max(prefix2asn, i) AS prefix2asn FROM twice GROUP BY time, {_FLOW_KEY}, tcp_synlen, tcp_synwinlen""")
 def flows_merged(spark, sf_dir):
     rows = _flows(spark, sf_dir)
-    return flows.merged(rows.where("src_ip % 3 < 2"), rows.where("src_ip % 3 > 0").withColumn("is_spoofed", 1 - F.col("is_spoofed")))
+    other = rows.withColumns({"is_spoofed": 1 - F.col("is_spoofed"), "tcp_synlen": F.when(F.col("dst_port") == 23, 99).otherwise(F.col("tcp_synlen"))})
+    return flows.merged(rows, other)
 
 
-@query(f"""{TAGGED}{_FLOWS} SELECT time, place, protocol, src_ip, dst_ip FROM (SELECT *, row_number() OVER (PARTITION BY time ORDER BY protocol, ttl, tcp_flags, src_ip, dst_ip, src_port, dst_port, ip_len) AS place FROM flows) WHERE place <= 5""")
+@query(f"""{TAGGED}{_FLOWS} SELECT time, place, protocol, src_ip, dst_ip FROM (SELECT *, row_number() OVER (PARTITION BY time ORDER BY protocol, ttl, tcp_flags, src_ip, dst_ip, src_port, dst_port, ip_len, tcp_synlen, tcp_synwinlen) AS place FROM flows)""")
 def flows_ordered(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("time").orderBy(*flows.ORDER))
-    return _flows(spark, sf_dir).withColumn("place", place).where("place <= 5").select("time", "place", "protocol", "src_ip", "dst_ip")
+    place = F.row_number().over(Window.partitionBy("time").orderBy(*flows.ORDER, "tcp_synlen", "tcp_synwinlen"))
+    return _flows(spark, sf_dir).withColumn("place", place).select("time", "place", "protocol", "src_ip", "dst_ip")
 
 
 @query(f"{PACKETS}{_hash_sql('packets')} SELECT (CASE WHEN (ip_off & 8191) = 0 THEN hash ELSE 0 END) % 16 AS kafka_partition, count(*) AS packet_cnt FROM h5 GROUP BY 1")
@@ -320,7 +320,6 @@ def flows_partition(spark, sf_dir):
     return hashed.groupBy(flows.kafka_partition(F.col("ft_hash"), 16).alias("kafka_partition")).agg(F.count("*").alias("packet_cnt"))
 
 
-_BE = "printf('%0{}x', {})"
 @query(f"""{TAGGED}{_FLOWS} SELECT 'telescope.flows' AS topic, upper(printf('%08x%08x%08x', time, src_ip, dst_ip) || printf('%04x%04x%02x%02x%02x', src_port, dst_port, protocol, ttl, tcp_flags)
 || printf('%04x%04x%04x%08x%02x%02x', ip_len, tcp_synlen, tcp_synwinlen, packet_cnt, is_spoofed, is_masscan) || hex(encode(maxmind_country)) || hex(encode(maxmind_continent))
 || hex(encode(netacq_country)) || hex(encode(netacq_continent)) || printf('%08x', prefix2asn)) AS value_hex FROM flows""")
@@ -433,10 +432,11 @@ def report_time_series(spark, sf_dir):
     return report.time_series(report.report(tagged(spark, sf_dir, "pfx2as"), limit={"combined", "asn"}, seconds=600))
 
 
-@query(f"""{TAGGED}, r AS ({_metric_sql(repr('overall'), repr(''), 'ts_sec >= 1704067230')}) SELECT * FROM r WHERE bin_timestamp > 1704067230 AND bin_timestamp < 1704070740 OR (bin_timestamp = 1704070740 AND (SELECT max(ts_sec) FROM tagged) >= 1704070798)""")
+@query(f"""{TAGGED}, r AS ({_metric_sql(repr('overall'), repr(''), seconds=420)}), e AS (SELECT min(ts_sec) AS a, max(ts_sec) AS b FROM tagged)
+SELECT r.* FROM r, e WHERE a <= bin_timestamp AND b >= bin_timestamp + 418""")
 def report_complete(spark, sf_dir):
-    packets = tagged(spark, sf_dir, "pfx2as").where("ts_sec >= 1704067230")
-    return report.complete_only(report.report(packets, limit={"combined"}), intervals.intervals(packets)).select(*report.OUTPUT)
+    packets = tagged(spark, sf_dir, "pfx2as")
+    return report.complete_only(report.report(packets, 420, {"combined"}), intervals.intervals(packets, 420)).select(*report.OUTPUT)
 
 
 # ---------------------------------------------------------------- attacks
@@ -495,14 +495,13 @@ def episodes(spark, sf_dir):
 # ---------------------------------------------------------------- archive
 
 
-@query(f"""{PACKETS}, two AS (SELECT *, 0 AS input_idx FROM packets WHERE n % 2 = 0 UNION ALL SELECT *, 1 FROM packets WHERE n % 2 = 1)
-SELECT ts_sec, ts_usec, input_idx, seq, count(*) AS same, min(place) AS place FROM (SELECT *, rank() OVER (ORDER BY ts_sec, ts_usec, input_idx, seq) AS place FROM two WHERE ts_sec < 1704067320) GROUP BY ALL""")
+@query(f"""{PACKETS}, two AS (SELECT ts_sec, ts_usec, seq, 0 AS input_idx FROM packets UNION ALL SELECT ts_sec + 30, ts_usec, seq, 1 FROM packets)
+SELECT *, row_number() OVER (PARTITION BY ts_sec - ts_sec % 60 ORDER BY ts_sec, ts_usec, input_idx, seq) AS place FROM two""")
 def archive_order(spark, sf_dir):
-    packets = synthetic_packets(spark, sf_dir).where("ts_sec < 1704067320")
-    merged = archive.chronological(packets.where("seq % 2 = 0"), packets.where("seq % 2 = 1"))
-    same = merged.groupBy("ts_sec", "ts_usec", "input_idx", "seq").agg(F.count("*").alias("same"))
-    before = F.sum("same").over(Window.partitionBy(F.lit(0)).orderBy("ts_sec", "ts_usec", "input_idx", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    return same.withColumn("place", F.coalesce(before, F.lit(0)) + 1)
+    packets = synthetic_packets(spark, sf_dir).select("ts_sec", "ts_usec", "seq")
+    merged = archive.chronological(packets, packets.withColumn("ts_sec", F.col("ts_sec") + 30))
+    place = F.row_number().over(Window.partitionBy(intervals.aligned(F.col("ts_sec"))).orderBy("ts_sec", "ts_usec", "input_idx", "seq"))
+    return merged.withColumn("place", place)
 
 
 @query("""SELECT epoch_us(ts) // 1000000 - (epoch_us(ts) // 1000000) % 86400 AS interval_ts, sum(user_id)::BIGINT AS accepted, sum(CASE WHEN event_type <> 'click' THEN event_id END)::BIGINT AS dropped FROM events GROUP BY 1""")
