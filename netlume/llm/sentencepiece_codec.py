@@ -1,24 +1,35 @@
-"""Operator 2: texts to piece ids and back, by Viterbi over a piece vocabulary.
+"""Operator 2: texts to the ids that the SentencePiece library gives, and back.
 
 Shared-prefix Viterbi.  The distinct marked words (with the spaces before
 them) of a batch that the worker hasn't segmented yet are sorted, which lays
 them out as a depth-first walk through their trie: a word differs from the one
 before it only below their common prefix.  The forward scores, and the pieces
 that are still open, of that prefix are reused; only the rest is computed.
+
+The public model is one of merges, so the segmentation with the best sum of
+scores is not the library's.  The lattice therefore has transitions: a piece
+may follow another one if merging leaves the two as they are.  A sequence of
+pieces in which all neighbours may follow each other is the one that merging
+ends with, and there is one for each word and each of its prefixes; the best
+path is the library's segmentation.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of
+from .common import id_or_null, ids_of, portions
 from .token_counts import MODEL, SPACE, loaded, pre_tokens
 
-UNKNOWN_PENALTY = 10.0
-CACHE = 400_000
+UNKNOWN = -1
+"""Stands for a character without a piece, which becomes the pieces of its bytes."""
+PAIRS = 500_000
+CACHE = 250_000
 _LEXICA: dict = {}
 
 
@@ -31,26 +42,39 @@ class Lexicon:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(len(self.pieces))]
         self.scores = [sp.get_score(i) for i in range(len(self.pieces))]
+        self.encode, self.pairs = sp.encode, {}
         self.root: dict = {}
         for i, piece in enumerate(self.pieces):
-            if self.plain[i]:
+            if self.plain[i] and self.encode(piece) == [i]:  # others are never what merging ends with
                 node = self.root
                 for c in piece:
                     node = node.setdefault(c, {})
                 node[None] = i
-        self.unknown = min(s for s, p in zip(self.scores, self.plain, strict=True) if p and s > -1e6) - UNKNOWN_PENALTY
-        self.texts = [bytes([int(p[3:5], 16)]) if i in set(self.bytes.values()) else p.replace(SPACE, " ").encode() if self.plain[i] else b"" for i, p in enumerate(self.pieces)]
+        byte_pieces = set(self.bytes.values())
+        self.texts = [bytes([int(p[3:5], 16)]) if i in byte_pieces else p.replace(SPACE, " ").encode() if self.plain[i] else b"" for i, p in enumerate(self.pieces)]
+
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether merging leaves two pieces side by side as they are; remembered, as few pairs make up most texts."""
+        key = left << 32 | right
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            found = self.pairs[key] = self.encode(self.pieces[left] + self.pieces[right]) == [left, right]
+        return found
 
     def segment(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word (little-endian unsigned 32-bit) of the segmentation with the largest sum of scores.
+        """The ids of each word (little-endian unsigned 32-bit).
 
-        Of segmentations with one sum, the one with the longer last piece wins.
-        A character without a piece costs UNKNOWN_PENALTY more than the worst
-        piece and becomes the pieces of its bytes.
+        Runs of spaces are left to the library: their pieces all have one
+        score, so which ones are merged depends on where a run begins.
         """
-        root, scores, unknown = self.root, self.scores, self.unknown
-        best, back, opened, before, out = [0.0], [(0, -1)], [[]], "", {}
+        root, scores, may_follow = self.root, self.scores, self.may_follow
+        best, back, opened, before, out = [0.0], [(0, UNKNOWN)], [[]], "", {}
         for word in sorted(words):
+            if SPACE * 2 in word:
+                out[word] = np.array(self.encode(word), "<u4").tobytes()
+                continue
             shared, limit = 0, min(len(word), len(before))
             while shared < limit and word[shared] == before[shared]:
                 shared += 1
@@ -62,14 +86,14 @@ class Lexicon:
                     if node is not None:
                         still.append((start, node))
                         piece = node.get(None)
-                        if piece is not None:
-                            s = best[start] + scores[piece]
-                            if top is None or s > top:
-                                top, came = s, (start, piece)
+                        if piece is not None and best[start] is not None:
+                            last = back[start][1]
+                            if last == UNKNOWN or may_follow(last, piece):
+                                s = best[start] + scores[piece]
+                                if top is None or s > top:
+                                    top, came = s, (start, piece)
                 if c not in root or None not in root[c]:
-                    s = best[d] + unknown
-                    if top is None or s > top:
-                        top, came = s, (d, -1)
+                    top, came = best[d], (d, UNKNOWN)
                 best.append(top)
                 back.append(came)
                 opened.append(still)
@@ -94,16 +118,18 @@ def lexicon(model: str) -> Lexicon:
 
 
 def sentencepiece_encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, text, n_tokens, ids (little-endian unsigned 32-bit numbers).
+    """One row per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers), decoded_crc32, round_trip.
 
-    Null and empty texts have no ids; a null text stays null.  An empty table
-    gives no rows.  Other columns aren't read.
+    The worker decodes the ids again: decoded_crc32 is that of the decoded
+    text in UTF-8, and round_trip says whether it is the text that was encoded
+    (but for U+2581, which stands for a space).  Null and empty texts have no
+    ids.  An empty table gives no rows.  Other columns aren't read.
     """
 
     def run(batches):
         lex, cache = lexicon(model), {}
-        for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), []
+        for batch in portions(batches, 1):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             units = [pre_tokens(t) for t in texts]
             new = set().union(*units).difference(cache) if units else set()
             if len(cache) + len(new) > CACHE:
@@ -111,11 +137,13 @@ def sentencepiece_encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc
                 new = set().union(*units)
             cache |= lex.segment(list(new))
             ids = [b"".join(map(cache.__getitem__, u)) for u in units]
+            decoded = [lex.decode(x) for x in ids]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": id_or_null(ids_of(batch.column(0))), "text": pa.array(texts, pa.string()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()),
+                "doc_id": id_or_null(ids_of(batch.column(0))), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()),
+                "decoded_crc32": pa.array([zlib.crc32(d.encode()) for d in decoded], pa.int64()), "round_trip": pa.array([d == t.replace(SPACE, " ") for d, t in zip(decoded, texts, strict=True)]),
             })
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, text string, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded_crc32 long, round_trip boolean")
 
 
 def sentencepiece_decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
@@ -133,6 +161,5 @@ def sentencepiece_decode(encoded: DataFrame, model: str = MODEL, ids_col: str =
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    found = sentencepiece_decode(sentencepiece_encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    text = F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
-    return found.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("round_trip"))
+    found = sentencepiece_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "decoded_crc32", "round_trip")
