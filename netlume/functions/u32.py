@@ -6,7 +6,7 @@ nothing overflows and order and division are those of unsigned numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK = 0xFFFFFFFF
@@ -46,15 +46,18 @@ def within(ip: Column, cidr: str) -> Column:
     return ip.between(F.lit(low), F.lit(low + (1 << (32 - int(bits or 32))) - 1))
 
 
-def flow_hash(src_ip: Column, dst_ip: Column, src_port: Column, dst_port: Column, ttl: Column, flags: Column, protocol: Column, length: Column) -> Column:
-    """The 32-bit hash of a flow: from 59 times the source on, each word of the other fields is mixed in by shifting, adding and XOR."""
+def with_flow_hash(df: DataFrame, column: str, src_ip: Column, dst_ip: Column, src_port: Column, dst_port: Column, ttl: Column, flags: Column, protocol: Column, length: Column) -> DataFrame:
+    """``df`` with the 32-bit hash of a flow: from 59 times the source on, each word of the other fields is mixed in by shifting, adding and XOR.
+
+    Each step is a column of its own: as one expression, with the hash so far
+    three times in every step, it would have 243 copies of the first one.
+    """
     long = lambda c: c.cast("long")
     words = [
         long(dst_ip), F.shiftleft(long(src_port), 16), long(dst_port),
         F.shiftleft(long(ttl), 24).bitwiseOR(F.shiftleft(long(flags), 16)), F.shiftleft(long(protocol), 8).bitwiseOR(long(length)),
     ]
-    h = u32(long(src_ip) * 59)
+    df, h = df.withColumn(column, u32(long(src_ip) * 59)), F.col(column)
     for word in words:
-        h = h.bitwiseXOR(u32(shl(h, 5) + F.shiftright(h, 27) + word))
-    return h
-
+        df = df.withColumn(column, h.bitwiseXOR(u32(shl(h, 5) + F.shiftright(h, 27) + word)))
+    return df

@@ -158,6 +158,8 @@ def with_filters(packets: DataFrame, names: list[str] | None = None) -> DataFram
     return packets.withColumns({n: made[n] for n in names or NAMES})
 
 
+AT_ONCE = 5
+"""Filters in one generated method; the JVM doesn't compile methods of more than 8,000 bytes."""
 _SPOOFED = ("abnormal_protocol", "ttl_200_nonspoofed", "fragmented", "last_byte_src_0", "last_byte_src_255", "same_src_dst", "udp_port_0", "tcp_port_0", "udp_destport_80")
 _ERRATIC = (
     "spoofed", "ttl_200", "udp_0x31", "sip_status", "udp_ip_len_96", "udp_ip_len_1500", "port_53", "tcp_port_23", "tcp_port_80", "tcp_port_5000", "dns_resp_non_standard",
@@ -178,8 +180,12 @@ def with_mask(packets: DataFrame, column: str = "filterbits") -> DataFrame:
     are tests of that mask, so no filter is computed twice.
     """
     made = filters()
-    simple = (F.when(f, F.lit(1 << NAMES.index(n))).otherwise(F.lit(0).cast("long")) for n, f in made.items() if n not in COMPOSED)
-    first = packets.withColumn("_simple", reduce(Column.bitwiseOR, simple))
+    simple = [F.when(f, F.lit(1 << NAMES.index(n))).otherwise(F.lit(0).cast("long")) for n, f in made.items() if n not in COMPOSED]
+    first = packets.withColumn("_simple", F.lit(0).cast("long"))
+    for k in range(0, len(simple), AT_ONCE):
+        # The mask so far is used twice, so Catalyst keeps this step a projection, and its code a method, of its own.
+        so_far = F.col("_simple")
+        first = first.withColumn("_simple", so_far.bitwiseOR(F.when(so_far >= 0, reduce(Column.bitwiseOR, simple[k : k + AT_ONCE])).otherwise(F.lit(0).cast("long"))))
     m = F.col("_simple")
     any_in = lambda *names: m.bitwiseAND(F.lit(bits_of(*names))) != 0
     scan = m.bitwiseAND(F.lit(bits_of("ttl_200", "tcpwin_1024", "no_tcp_options")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.u32 import flow_hash
+from ..functions.u32 import with_flow_hash
 from .filters import with_mask
 
 BASIC, MAXMIND, NETACQ, PFX2AS = 1, 2, 4, 8
@@ -29,10 +29,9 @@ def basic_tags(packets: DataFrame) -> DataFrame:
     first = F.coalesce(c("ip_off").bitwiseAND(0x1FFF) == 0, F.lit(False))
     ok = F.coalesce(c("src_ip").isNotNull() & first & F.when(c("protocol") == 1, c("l4_len") >= 2).otherwise(c("l4_len") >= 4), F.lit(False))
     zero = lambda x: F.when(ok, F.coalesce(x, F.lit(0))).otherwise(0)
-    h = flow_hash(c("src_ip"), c("dst_ip"), F.coalesce("src_port", F.lit(0)), F.coalesce("dst_port", F.lit(0)), c("ttl"), F.coalesce("tcp_flags", F.lit(0)), c("protocol"), c("ip_len"))
-    return packets.withColumns({
-        "tag_protocol": zero(c("protocol")), "tag_src_port": zero(c("src_port")), "tag_dst_port": zero(c("dst_port")), "ft_hash": F.when(ok, h).otherwise(F.lit(0).cast("long")), "has_basic": ok,
-    })
+    fields = (c("src_ip"), c("dst_ip"), F.coalesce("src_port", F.lit(0)), F.coalesce("dst_port", F.lit(0)), c("ttl"), F.coalesce("tcp_flags", F.lit(0)), c("protocol"), c("ip_len"))
+    hashed = with_flow_hash(packets, "ft_hash", *fields)
+    return hashed.withColumns({"tag_protocol": zero(c("protocol")), "tag_src_port": zero(c("src_port")), "tag_dst_port": zero(c("dst_port")), "ft_hash": F.when(ok, c("ft_hash")).otherwise(F.lit(0).cast("long")), "has_basic": ok})
 
 
 def flatten_prefixes(prefixes: list[tuple[int, int, object]]) -> list[tuple[int, int, object]]:

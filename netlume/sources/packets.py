@@ -73,6 +73,8 @@ SYNTHETIC = (
 def synthetic_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A packet for each row of ``lineitem``."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    if df.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        df = df.repartition(cores)  # a file of one row group is one task; four narrow columns are cheap to deal out
     for name, how in SYNTHETIC:
         df = df.withColumn(name, F.expr(how))
     made = {

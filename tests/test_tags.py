@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlume.functions.u32 import dotted, flow_hash, network, parsed
+from netlume.functions.u32 import dotted, network, parsed, with_flow_hash
 from netlume.operators import intervals, tagging
 
 from .packets_of import ICMP, packets
@@ -27,7 +27,7 @@ def test_flow_hash(spark):
     tuples = [(0,) * 8, (M, M, 65535, 65535, 255, 255, 255, 65535)]
     tuples += [(rng.randrange(M + 1), rng.randrange(M + 1), rng.randrange(65536), rng.randrange(65536), rng.randrange(256), rng.randrange(256), rng.randrange(256), rng.randrange(65536)) for _ in range(500)]
     df = spark.createDataFrame(tuples, "a long, b long, c int, d int, e int, f int, g int, h int")
-    assert [r[0] for r in df.select(flow_hash(*(F.col(x) for x in "abcdefgh"))).collect()] == [python_hash(*t) for t in tuples]
+    assert [r[0] for r in with_flow_hash(df, "x", *(F.col(x) for x in "abcdefgh")).select("x").collect()] == [python_hash(*t) for t in tuples]
     assert python_hash(*tuples[0]) == 0
 
 
