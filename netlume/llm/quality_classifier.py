@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of, texts_of, written
+from .common import id_or_null, ids_of, portions, texts_of, written
 from .text_stats import SHARES, shares, statistics
 
 #: Labellers: the share that a labeller looks at, up to where it votes good, and from where on bad (turned round if the first is larger).
@@ -28,7 +28,7 @@ LABELLERS = (
 )
 LEAST_WORDS = 8
 """Labellers don't vote on texts with fewer words."""
-FEATURES = 4096
+FEATURES = 2048
 SAMPLE = 6_000
 """At most so many documents, half of them likely bad ones if there are enough, train the scorer."""
 KEEP = 0.3
@@ -156,19 +156,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     def describe(batches):
         shapes = Shapes()
-        for batch in batches:
+        for batch in portions(batches, 0):
             rows = []
             for text in texts_of(batch.column(0)):
                 words = text.split()
-                rows.append(features(words, shares(np.array([statistics(text, words)], np.int64))[0], shapes).astype(np.float16).tobytes())
+                row = features(words, shares(np.array([statistics(text, words)], np.int64))[0], shapes)
+                at = np.flatnonzero(row)
+                rows.append(at.astype(np.uint16).tobytes() + row[at].tobytes())
             yield pa.RecordBatch.from_pydict({"pattern": batch.column(1), "row": pa.array(rows, pa.binary())})
 
     wanted = texts.join(F.broadcast(chosen), "doc_id").select("text", "pattern")  # `sample` rows of two numbers
-    rows = wanted.mapInArrow(describe, "pattern long, row binary").toArrow()
-    x = np.frombuffer(b"".join(rows.column("row").to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
-    y = np.array([posterior[p] for p in rows.column("pattern").to_pylist()])
-    order = np.lexsort((*x.T[:8], y))  # the rows come in any order
-    w, b = train(x[order], y[order])
+    table = wanted.mapInArrow(describe, "pattern long, row binary").toArrow()
+    rows = sorted(zip(table.column("pattern").to_pylist(), table.column("row").to_pylist(), strict=True))  # they come in any order
+    x, y = np.zeros((len(rows), FEATURES), np.float32), np.array([posterior[p] for p, _ in rows])
+    for k, (_, row) in enumerate(rows):
+        n = len(row) // 6  # two bytes for a number and four for a value
+        x[k, np.frombuffer(row, np.uint16, n)] = np.frombuffer(row, np.float32, n, 2 * n)
+    w, b = train(x, y)
     return QualityModel(w, b, accuracy, prior, posterior)
 
 
@@ -182,7 +186,7 @@ def quality(docs: DataFrame, model: QualityModel | None = None, keep: float = KE
 
     def run(batches):
         shapes = Shapes()
-        for batch in batches:
+        for batch in portions(batches, 1):
             score, weak = shared.value.scores(texts_of(batch.column(1)), shapes)
             yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "weak": pa.array(weak, pa.float64()), "score": pa.array(score, pa.float64()), "kept": pa.array(score >= keep)})
 
@@ -196,7 +200,7 @@ def drop_bad(docs: DataFrame, keep: float = KEEP, text_col: str = "text") -> Dat
 
     def run(batches):
         shapes = Shapes()
-        for batch in batches:
+        for batch in portions(batches, at):
             yield batch.filter(pa.array(shared.value.scores(texts_of(batch.column(at)), shapes)[0] >= keep))
 
     return docs.mapInArrow(run, docs.schema)
