@@ -9,6 +9,8 @@ is broadcast only if the flattened table is small enough, and shuffled if not.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,22 +62,29 @@ def flatten_prefixes(prefixes: list[tuple[int, int, object]]) -> list[tuple[int,
     return out
 
 
-def range_table(spark: SparkSession, ranges: list[tuple[int, int, object]], value: T.DataType) -> DataFrame:
-    """Ranges as a table (block, low, high, value), cut at multiples of BLOCK by Spark."""
+@dataclass(frozen=True)
+class Ranges:
+    """Disjoint ranges as a table (block, low, high, value), and how many rows it has."""
+
+    table: DataFrame
+    size: int
+
+
+def range_table(spark: SparkSession, ranges: list[tuple[int, int, object]], value: T.DataType) -> Ranges:
+    """Ranges of addresses, cut at multiples of BLOCK by Spark."""
     schema = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("value", value)])
-    whole = spark.createDataFrame(ranges, schema)
     blocks = F.sequence(F.shiftright("low", 16), F.shiftright("high", 16))
-    return whole.withColumn("block", F.explode(blocks))
+    return Ranges(spark.createDataFrame(ranges, schema).withColumn("block", F.explode(blocks)), sum((r[1] >> 16) - (r[0] >> 16) + 1 for r in ranges))
 
 
-def lookup(packets: DataFrame, ranges: DataFrame, column: str, ip: str = "src_ip", size: int | None = None) -> DataFrame:
+def lookup(packets: DataFrame, ranges: Ranges, column: str, ip: str = "src_ip") -> DataFrame:
     """``packets`` with the value of the range that holds ``ip``, or null.
 
-    ``ranges`` are disjoint, so no packet is doubled.  ``size``: their number
-    where it is known; it is counted otherwise, before they are broadcast.
+    The ranges are disjoint, so no packet is doubled.  They are broadcast if
+    they have BROADCAST_RANGES rows at most, and joined by a shuffle if more.
     """
-    right = ranges.select(F.col("block").alias("_block"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("value").alias(column))
-    if (size if size is not None else ranges.count()) <= BROADCAST_RANGES:
+    right = ranges.table.select(F.col("block").alias("_block"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("value").alias(column))
+    if ranges.size <= BROADCAST_RANGES:
         right = F.broadcast(right)
     match = (F.shiftright(F.col(ip), 16) == F.col("_block")) & F.col(ip).between(F.col("_low"), F.col("_high"))
     return packets.join(right, match, "left").drop("_block", "_low", "_high")
@@ -96,7 +105,7 @@ def polygon_ids(polygons: Column) -> Column:
     return F.filter(F.slice(polygons, 1, MOST_POLYGONS), lambda p: p.bitwiseAND(0xFFFFFF) != 0)
 
 
-def tag(packets: DataFrame, maxmind: DataFrame | None = None, netacq: DataFrame | None = None, pfx2as: DataFrame | None = None, filterbits: bool = True) -> DataFrame:
+def tag(packets: DataFrame, maxmind: Ranges | None = None, netacq: Ranges | None = None, pfx2as: Ranges | None = None, filterbits: bool = True) -> DataFrame:
     """Packets with all tags: basic ones, filterbits, maxmind and netacq (structs), prefix_asn, providers_used.
 
     The providers are range tables (see ``range_table``); their tags are those

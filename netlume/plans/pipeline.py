@@ -44,7 +44,7 @@ class Config:
     end: int = 0
     basic_filter: str = ""
     remove: dict[str, bool] = field(default_factory=dict)
-    providers: dict[str, DataFrame] = field(default_factory=dict)
+    providers: dict[str, tagging.Ranges] = field(default_factory=dict)
     plugins: list[tuple[str, dict]] = field(default_factory=list)
     threads: int = 4
 

@@ -36,7 +36,7 @@ def query(sql: str | None = None, name: str | None = None):
 # ---------------------------------------------------------------- providers
 
 
-def providers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def providers(spark: SparkSession, sf_dir: str) -> dict[str, tagging.Ranges]:
     """Range tables from ``nation``: a /5 for each, and a /8 inside of it."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()  # 25 rows
     geo, netacq, asns = [], [], []

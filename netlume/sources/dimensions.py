@@ -2,7 +2,7 @@
 
 Files are read by Spark.  Prefix tables are flattened on the driver: they are
 routing tables and geolocation databases, of a size that does not depend on
-the packets; ``lookup`` still counts them before it broadcasts one.
+the packets; still ``lookup`` broadcasts one only if it has few enough rows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.u32 import parsed
-from ..operators.tagging import GEO, NETACQ_GEO, flatten_prefixes, range_table
+from ..operators.tagging import GEO, NETACQ_GEO, Ranges, flatten_prefixes, range_table
 
 MOST_PREFIXES = 5_000_000
 
@@ -24,7 +24,7 @@ def _collected(prefixes: DataFrame) -> list:
     return rows
 
 
-def pfx2as(spark: SparkSession, path: str) -> DataFrame:
+def pfx2as(spark: SparkSession, path: str) -> Ranges:
     """A range table of origins from lines ``address bits asn``; several origins are ``1_2`` or ``1,2``."""
     columns = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where("trim(value) <> '' and not value like '#%'").select(
@@ -33,7 +33,7 @@ def pfx2as(spark: SparkSession, path: str) -> DataFrame:
     return range_table(spark, flatten_prefixes([(r["address"], r["bits"], r["asns"]) for r in _collected(rows)]), T.ArrayType(T.LongType()))
 
 
-def maxmind(spark: SparkSession, blocks: str, locations: str, skip: int = 0) -> DataFrame:
+def maxmind(spark: SparkSession, blocks: str, locations: str, skip: int = 0) -> Ranges:
     """A range table of (continent, country) from CSV: blocks (network, location id) and locations (id, continent, country)."""
     places = spark.read.csv(locations, header=True)
     network, ident = spark.read.csv(blocks, header=True), places.columns
@@ -43,7 +43,7 @@ def maxmind(spark: SparkSession, blocks: str, locations: str, skip: int = 0) ->
     return range_table(spark, flatten_prefixes([(r["address"], r["bits"], (r["continent"], r["country"])) for r in _collected(rows)]), GEO)
 
 
-def netacuity(spark: SparkSession, blocks: str, locations: str, polygons: str | None = None) -> DataFrame:
+def netacuity(spark: SparkSession, blocks: str, locations: str, polygons: str | None = None) -> Ranges:
     """A range table of (continent, country, region, polygons) from CSV: blocks (network, location id), locations (id, continent, country, region), and polygons (location id, table, polygon id)."""
     network, places = spark.read.csv(blocks, header=True), spark.read.csv(locations, header=True)
     net = F.split(network[network.columns[0]], "/")

@@ -60,7 +60,8 @@ def test_lookup_plans_a_hash_join_and_doubles_nothing(spark):
     assert [r.place for r in out.orderBy("seq").collect()] == ["a", "b", "c", "z", None]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
-    big = tagging.lookup(df, ranges, "place", size=tagging.BROADCAST_RANGES + 1)._jdf.queryExecution().executedPlan().toString()
+    assert ranges.table.count() == ranges.size
+    big = tagging.lookup(df, tagging.Ranges(ranges.table, tagging.BROADCAST_RANGES + 1), "place")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in big
 
 
