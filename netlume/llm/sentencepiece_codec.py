@@ -29,7 +29,7 @@ from .token_counts import MODEL, SPACE, loaded, pre_tokens
 UNKNOWN = -1
 """Stands for a character without a piece, which becomes the pieces of its bytes."""
 PAIRS = 500_000
-CACHE = 250_000
+CACHE = 600_000
 _LEXICA: dict = {}
 
 
@@ -42,7 +42,7 @@ class Lexicon:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(len(self.pieces))]
         self.scores = [sp.get_score(i) for i in range(len(self.pieces))]
-        self.encode, self.pairs = sp.encode, {}
+        self.encode, self.pairs, self.known = sp.encode, {}, {}  # known: words and their ids, for all tasks of the worker
         self.root: dict = {}
         for i, piece in enumerate(self.pieces):
             if self.plain[i] and self.encode(piece) == [i]:  # others are never what merging ends with
@@ -127,16 +127,16 @@ def sentencepiece_encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc
     """
 
     def run(batches):
-        lex, cache = lexicon(model), {}
+        lex = lexicon(model)
         for batch in portions(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             units = [pre_tokens(t) for t in texts]
-            new = set().union(*units).difference(cache) if units else set()
-            if len(cache) + len(new) > CACHE:
-                cache = {}
+            new = set().union(*units).difference(lex.known) if units else set()
+            if len(lex.known) + len(new) > CACHE:
+                lex.known.clear()
                 new = set().union(*units)
-            cache |= lex.segment(list(new))
-            ids = [b"".join(map(cache.__getitem__, u)) for u in units]
+            lex.known |= lex.segment(list(new))
+            ids = [b"".join(map(lex.known.__getitem__, u)) for u in units]
             decoded = [lex.decode(x) for x in ids]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": id_or_null(ids_of(batch.column(0))), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()),
