@@ -93,7 +93,7 @@ def frequent_lengths(docs: DataFrame, text_col: str, model: str, entries: int =
         yield pa.RecordBatch.from_pydict({"unit": pa.array([u for u, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
     counted = sample.select(F.col(text_col).cast("string")).coalesce(partitions(docs.sparkSession)).mapInArrow(count, "unit string, n long")
-    top = counted.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(entries).collect()
+    top = counted.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "unit").limit(entries).collect()
     encode = loaded(model).encode
     return {r["unit"]: len(encode(r["unit"])) for r in top if len(r["unit"]) <= 64}
 
