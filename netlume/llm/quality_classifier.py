@@ -32,7 +32,8 @@ FEATURES = 2048
 SAMPLE = 6_000
 """At most so many documents, half of them likely bad ones if there are enough, train the scorer."""
 KEEP = 0.3
-SHAPES = 300_000
+SHAPES = 100_000
+SCALES = {"word_length": 1, "sentence_length": 0.2}
 
 _SHAPE = re.compile(rb"([A-Z]+)|([a-z]+)|([0-9]+)|([\x80-\xff]+)|(.)\5*", re.DOTALL)
 
@@ -78,32 +79,55 @@ def _bucket(feature: bytes) -> int:
     return xxhash.xxh32_intdigest(feature, 1) % FEATURES
 
 
-class Shapes(dict):
-    """The hashed features of words: how they are written, and what they end with."""
+_KINDS = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 else ord("0") if 48 <= b <= 57 else 0xE9 if b >= 0x80 else b for b in range(256))
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+
+def shapes_of(text: bytes) -> list[bytes]:
+    """The words of a text with letters and digits replaced by their kind; there are far fewer of these than of words."""
+    return text.translate(_KINDS).split()
+
+
+def word_features(word: bytes) -> tuple[int, int, int]:
+    """The hashed features of a word's shape: how it is written, what it ends with, its length."""
+    kinds = "".join("Aa0é"[m.lastindex - 1] if m.lastindex < 5 else m.group(5).decode("latin-1") for m in _SHAPE.finditer(word[:64]))
+    return _bucket(b"shape " + kinds[:8].encode()), _bucket(b"end " + kinds[-1:].encode()), _bucket(b"size %d" % min(len(word), 32))
+
+
+def share_features(share: np.ndarray) -> list[int]:
+    """The hashed features of a text's shares: the range that each is in."""
+    return [_bucket(b"share %d %d" % (j, min(int(value * SCALES.get(SHARES[j], 20)), 20))) for j, value in enumerate(share.tolist())]
+
+
+class Remembered(dict):
+    """The values of a function of shapes, for those met lately."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, word: bytes):
         if len(self) >= SHAPES:
             self.clear()
-        kinds = "".join("Aa0é"[m.lastindex - 1] if m.lastindex < 5 else m.group(5).decode("latin-1") for m in _SHAPE.finditer(word[:64]))
-        got = self[word] = (_bucket(b"shape " + kinds[:8].encode()), _bucket(b"end " + kinds[-1:].encode()), _bucket(b"size %d" % min(len(word), 32)))
+        got = self[word] = self.function(word)
         return got
 
 
-def features(words: list[bytes], share: np.ndarray, shapes: Shapes) -> np.ndarray:
+def features(shapes: list[bytes], share: np.ndarray, of: Remembered) -> np.ndarray:
     """A row of FEATURES numbers: how large a part of the words has each hashed feature, and ranges of the shares."""
     row = np.zeros(FEATURES, np.float32)
-    if words:
-        row += np.bincount(np.fromiter((f for w in words for f in shapes[w]), np.int64, 3 * len(words)), minlength=FEATURES) / np.float32(len(words))
-    for j, value in enumerate(share.tolist()):
-        row[_bucket(b"share %d %d" % (j, min(int(value * (1 if j == 8 else 0.2 if j == 10 else 20)), 20)))] += 1
+    if shapes:
+        row += np.bincount(np.fromiter((f for w in shapes for f in of[w]), np.int64, 3 * len(shapes)), minlength=FEATURES) / np.float32(len(shapes))
+    np.add.at(row, share_features(share), 1)
     return row
 
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 2.0, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer for labels between 0 and 1, both sides counting the same."""
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
     if not len(x):
-        return w, 1.0
+        return np.zeros(x.shape[1], np.float32), 1.0
+    used = np.flatnonzero(x.any(axis=0))  # the weights of others stay 0
+    out, x = np.zeros(x.shape[1], np.float32), np.ascontiguousarray(x[:, used])
+    w, b = np.zeros(len(used), np.float32), 0.0
     bad, good = max((1 - y).sum(), 1e-9), max(y.sum(), 1e-9)
     weight = (y / good + (1 - y) / bad) / 2 if min(bad, good) > 1 else np.full(len(y), 1 / len(y))
     speed = np.zeros_like(w)
@@ -112,7 +136,8 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 2.0, sh
         speed = 0.9 * speed + (miss.astype(np.float32) @ x + shrink * w)
         w -= rate * speed
         b -= rate * float(miss.sum())
-    return w, b
+    out[used] = w
+    return out, b
 
 
 class QualityModel:
@@ -121,12 +146,18 @@ class QualityModel:
     def __init__(self, weights, bias, accuracy, prior, posterior):
         self.weights, self.bias, self.accuracy, self.prior, self.posterior = weights, bias, accuracy, prior, posterior
 
-    def scores(self, texts: list[bytes], shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
+    def word_weights(self) -> Remembered:
+        """What a word of a shape adds to the score of its text, times the number of words."""
+        weights = self.weights.astype(float)
+        return Remembered(lambda w: sum(weights[f] for f in word_features(w)))
+
+    def scores(self, texts: list[bytes], weight_of: Remembered) -> tuple[np.ndarray, np.ndarray]:
         """The probability that each text is good, by the scorer and by the labellers' votes alone."""
         rows = [t.split() for t in texts]
         stats = np.array([statistics(t, w) for t, w in zip(texts, rows, strict=True)], np.int64).reshape(len(texts), -1)
         x = shares(stats) if len(texts) else np.zeros((0, len(SHARES)))
-        out = np.array([float(features(w, s, shapes) @ self.weights) for w, s in zip(rows, x, strict=True)]) + self.bias
+        own = [sum(map(weight_of.__getitem__, shapes_of(t))) / max(len(w), 1) for t, w in zip(texts, rows, strict=True)]
+        out = np.array([a + float(self.weights[share_features(s)].sum()) for a, s in zip(own, x, strict=True)]) + self.bias
         patterns = votes(x, stats[:, 0]) if len(texts) else np.zeros((0, len(LABELLERS)), np.int64)
         weak = [self.posterior.get(int(p), 0.5) for p in patterns @ 3 ** np.arange(len(LABELLERS))]
         return 1 / (1 + np.exp(-np.clip(out, -60, 60))), np.array(weak)
@@ -155,12 +186,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     chosen = chosen.groupBy("doc_id").agg(F.min("pattern").alias("pattern"))
 
     def describe(batches):
-        shapes = Shapes()
+        of = Remembered(word_features)
         for batch in portions(batches, 0):
             rows = []
             for text in texts_of(batch.column(0)):
                 words = text.split()
-                row = features(words, shares(np.array([statistics(text, words)], np.int64))[0], shapes)
+                row = features(shapes_of(text), shares(np.array([statistics(text, words)], np.int64))[0], of)
                 at = np.flatnonzero(row)
                 rows.append(at.astype(np.uint16).tobytes() + row[at].tobytes())
             yield pa.RecordBatch.from_pydict({"pattern": batch.column(1), "row": pa.array(rows, pa.binary())})
@@ -185,9 +216,9 @@ def quality(docs: DataFrame, model: QualityModel | None = None, keep: float = KE
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col, text_col))
 
     def run(batches):
-        shapes = Shapes()
+        weight_of = shared.value.word_weights()
         for batch in portions(batches, 1):
-            score, weak = shared.value.scores(texts_of(batch.column(1)), shapes)
+            score, weak = shared.value.scores(texts_of(batch.column(1)), weight_of)
             yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "weak": pa.array(weak, pa.float64()), "score": pa.array(score, pa.float64()), "kept": pa.array(score >= keep)})
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, weak double, score double, kept boolean")
@@ -199,9 +230,9 @@ def drop_bad(docs: DataFrame, keep: float = KEEP, text_col: str = "text") -> Dat
     at = docs.columns.index(text_col)
 
     def run(batches):
-        shapes = Shapes()
+        weight_of = shared.value.word_weights()
         for batch in portions(batches, at):
-            yield batch.filter(pa.array(shared.value.scores(texts_of(batch.column(at)), shapes)[0] >= keep))
+            yield batch.filter(pa.array(shared.value.scores(texts_of(batch.column(at)), weight_of)[0] >= keep))
 
     return docs.mapInArrow(run, docs.schema)
 
