@@ -25,7 +25,7 @@ from .common import id_or_null, ids_of, portions, texts_of, written
 from .token_counts import vocabulary_path
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 2048, 0
-CACHE = 900_000
+CACHE = 600_000
 PUNCTUATION, END_OF_WORD = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "</w>"
 _TOKENIZERS: dict = {}
 
