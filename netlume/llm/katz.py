@@ -1,6 +1,6 @@
 """Operator 6: scores of a bigram language model with Katz backoff.
 
-Good-Turing discounted counts, with backoff weights that are exactly
+Good-Turing discounted counts (smoothed, see ``discounts``), with backoff weights that are exactly
 normalised for every history.  Counts live in tables partitioned by key, which
 blocks of documents ask (see ``common``): a block sends each of its words, word
 pairs and histories once, whatever their number in it, and is answered with
@@ -40,25 +40,44 @@ def held_out(ids: np.ndarray, folds: int) -> np.ndarray:
     return np.array([i == NULL_ID or zlib.crc32(b"%d" % i) % folds == 0 for i in ids.tolist()], bool)
 
 
+def slope(numbers: np.ndarray) -> float:
+    """Of the line through the logarithms of r and of how many counts are r, as in Simple Good-Turing; -2 where there is no falling line.
+
+    Each number is spread over the gap to its neighbours that aren't 0.
+    Counts of counts fall faster than 1/r, or Good-Turing would raise counts.
+    """
+    r = np.flatnonzero(numbers) + 1
+    if len(r) < 2:
+        return -2.0
+    before = np.concatenate([[0], r[:-1]])
+    after = np.append(r[1:], 2 * r[-1] - before[-1])
+    x, y = np.log(r), np.log(2 * numbers[r - 1] / (after - before))
+    x = x - x.mean()
+    found = float((x * y).sum() / (x * x).sum())
+    return found if found < -1 else -2.0
+
+
 def discounts(numbers: list[float]) -> np.ndarray:
     """What counts 0 to LARGE are multiplied by; ``numbers``: how many counts are 1, 2, ... LARGE + 1.
 
-    Good-Turing as Katz has it, so that what is taken away is the share of the
-    counts of 1.  Where the numbers are too small or uneven for that, a
-    constant is taken off each count instead.
+    Good-Turing as Katz has it, with the ratios of the numbers taken from a
+    line through their logarithms: what is taken off a count is in proportion
+    to what Good-Turing takes off it, and all that is taken is the number of
+    counts of 1.  All factors are above 0 and below 1, however uneven the
+    numbers.  Where no count is 2 to LARGE, those of 1 can't give all that,
+    and what is taken is by the line alone.
     """
-    n = np.concatenate([[0.0], np.asarray(numbers, float)])
+    n = np.asarray(numbers, float)
     out = np.ones(LARGE + 1)
-    if not n[1]:
+    if not n[0]:
         return out
-    rest = (LARGE + 1) * n[LARGE + 1] / n[1]
-    with np.errstate(all="ignore"):
-        r = np.arange(1, LARGE + 1)
-        katz = ((r + 1) * n[2:] / n[1:-1] / r - rest) / (1 - rest)
-    if rest < 1 and np.isfinite(katz).all() and (katz > 0).all() and (katz <= 1).all():
-        out[1:] = katz
+    r = np.arange(1, LARGE + 1)
+    power = slope(n) + 1
+    loss = -np.expm1(power * np.log1p(1 / r))  # 1 - r*/r
+    if n[1:LARGE].any():
+        out[1:] = 1 - loss * (n[0] / (loss * r * n[:LARGE]).sum())
     else:
-        out[1:] = (r - min(0.9, n[1] / (n[1] + 2 * n[2]))) / r
+        out[1:] = 1 - loss / -np.expm1(power * np.log(LARGE + 1))
     return out
 
 

@@ -91,6 +91,26 @@ def test_discounts():
     assert (discounts([5, 0, 0, 0, 0, 3])[1:] > 0).all()
 
 
+def test_discounts_of_uneven_numbers():
+    """Words and pairs of sf0.01, where copies in groups of five make the fifth number as large as the fourth."""
+    for numbers in ([51654, 14844, 5474, 2713, 2570, 1129], [206781, 32217, 5097, 1904, 2579, 670]):
+        d = discounts(numbers)
+        assert (d[1:] > 0).all() and (d[1:] < 1).all() and (d[2:] > d[1:-1]).all()
+        assert sum((1 - d[r]) * r * n for r, n in enumerate(numbers[:LARGE], 1)) == pytest.approx(numbers[0])
+
+
+def test_discounts_change_little_with_one_group_of_copies():
+    """Without the smoothing the fourth factor passes 1 between these two."""
+    a, b = discounts([1000, 400, 200, 120, 95, 60]), discounts([1000, 400, 200, 120, 97, 60])
+    assert abs(a - b).max() < 0.01
+
+
+def test_discounts_of_few_numbers():
+    for numbers in ([7, 0, 0, 0, 0, 0], [7, 0, 0, 0, 0, 3], [1, 0, 0, 0, 9, 0], [3, 5, 8, 9, 9, 9], [10**9, 1, 0, 0, 0, 0]):
+        d = discounts(numbers)
+        assert (d[1:] > 0).all() and (d[1:] < 1).all()
+
+
 def test_empty(empty):
     assert katz_scores(empty).count() == 0
 
