@@ -33,10 +33,14 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat a document with a smaller id are cut out.
 
     What is left of a text that loses words is joined by single spaces; other
-    texts stay as they are.  Documents that lose all their words go.
+    texts stay as they are.  Documents that lose all their words go.  Rows are
+    told apart by id and text, so null and repeated ids are cut each for itself.
     """
-    found = written(substring_dedup.substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text", (F.col("n_words") > F.col("n_removed")).alias("_some")), "cut").dropDuplicates(["_id"])
-    cut = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").where(F.coalesce("_some", F.lit(True)))
+    found = substring_dedup.substring_dedup(docs, digests=True).where("n_removed > 0")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "kept_text", (F.col("n_words") > F.col("n_removed")).alias("_some"))
+    found = written(found, "cut").dropDuplicates(["_id", "_md5"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_md5"))
+    cut = docs.join(found, same, "left").where(F.coalesce("_some", F.lit(True)))
     cut = cut.withColumn("text", F.coalesce("kept_text", "text"))
     return cut.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long")).select(*docs.columns)
 

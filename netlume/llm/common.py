@@ -168,17 +168,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Documents as arrays: ``ids`` and ``lengths`` by document, ``words`` (numbers into ``vocab``) one after another."""
+    """Documents as arrays: ``ids`` and ``lengths`` by document, ``words`` (numbers into ``vocab``) one after another; ``digests`` by document if they were asked for."""
 
-    __slots__ = ("block_id", "ids", "lengths", "words", "vocab")
+    __slots__ = ("block_id", "ids", "lengths", "words", "vocab", "digests")
 
-    def __init__(self, block_id, ids, lengths, words, vocab):
-        self.block_id, self.ids, self.lengths, self.words, self.vocab = block_id, ids, lengths, words, vocab
+    def __init__(self, block_id, ids, lengths, words, vocab, digests=None):
+        self.block_id, self.ids, self.lengths, self.words, self.vocab, self.digests = block_id, ids, lengths, words, vocab, digests
 
     @classmethod
     def of(cls, block_id: int, data: bytes) -> Block:
-        ids, lengths, words, vocab = unpack(data)
-        return cls(block_id, ids, lengths.astype(np.int64), words, vocab.tobytes().split(b" ") if len(vocab) else [])
+        ids, lengths, words, vocab, *digests = unpack(data)
+        digests = digests[0].reshape(-1, DIGEST) if digests else None
+        return cls(block_id, ids, lengths.astype(np.int64), words, vocab.tobytes().split(b" ") if len(vocab) else [], digests)
 
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.lengths)])
@@ -190,39 +191,45 @@ class Block:
 
 BLOCK_SCHEMA = "block_id long, data binary"
 BLOCK_BYTES = 4_000_000
+DIGEST = 16
+"""Bytes of the MD5 of a text; zeros stand for that of a null text."""
 
 
-def stage_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks") -> DataFrame:
+def stage_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", digests: bool = False) -> DataFrame:
     """Blocks of the words ``[^\\x20\\x09-\\x0D]+`` of all texts; ``lower`` maps A-Z to a-z first.
 
     A text is never cut; a block takes texts until it holds ``block_bytes``.
+    ``digests`` keeps the MD5 of each text as it is.
     """
 
     def run(batches):
         task, count = TaskContext.get().partitionId(), 0
-        ids, lengths, words, vocab, held = [], [], [], {}, 0
+        ids, lengths, words, vocab, held, md5 = [], [], [], {}, 0, []
 
         def flush():
-            nonlocal ids, lengths, words, vocab, held, count
+            nonlocal ids, lengths, words, vocab, held, count, md5
             flat = np.concatenate(words) if words else np.zeros(0, np.uint32)
-            data = pack(np.array(ids, np.int64), np.array(lengths, np.uint32), flat, np.frombuffer(b" ".join(vocab), np.uint8))
+            data = pack(np.array(ids, np.int64), np.array(lengths, np.uint32), flat, np.frombuffer(b" ".join(vocab), np.uint8), *([np.frombuffer(b"".join(md5), np.uint8)] if digests else []))
             out = pa.RecordBatch.from_pydict({"block_id": pa.array([(task << 24) + count], pa.int64()), "data": pa.array([data], pa.binary())})
-            ids, lengths, words, vocab, held, count = [], [], [], {}, 0, count + 1
+            ids, lengths, words, vocab, held, count, md5 = [], [], [], {}, 0, count + 1, []
             return out
 
         for batch in batches:
-            for i, text in zip(ids_of(batch.column(0)).tolist(), texts_of(batch.column(1)), strict=True):
+            carried = batch.column(2).to_pylist() if digests else [None] * batch.num_rows
+            for i, text, digest in zip(ids_of(batch.column(0)).tolist(), texts_of(batch.column(1)), carried, strict=True):
                 split = (text.lower() if lower else text).split()  # bytes: exactly the ASCII white space above, and A-Z only
                 words.append(np.fromiter([vocab.setdefault(w, len(vocab)) for w in split], np.uint32, len(split)))
                 ids.append(i)
                 lengths.append(len(split))
+                md5.append(digest or bytes(DIGEST))
                 held += len(text) + 16
                 if held >= block_bytes:
                     yield flush()
         if ids:
             yield flush()
 
-    blocks = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, BLOCK_SCHEMA)
+    text = F.col(text_col).cast("string")
+    blocks = docs.select(F.col(id_col).cast("long"), text, *([F.unhex(F.md5(text)).alias("md5")] if digests else [])).mapInArrow(run, BLOCK_SCHEMA)
     return written(blocks, name, (partitions(docs.sparkSession), "block_id"))
 
 

@@ -157,9 +157,10 @@ def _mark(block: Block, at: np.ndarray, lengths: np.ndarray, earliest: np.ndarra
 
 
 OUTPUT = "doc_id long, n_words long, n_removed long, removed array<struct<start:long,length:long>>, kept_text string"
+DIGEST_OUTPUT = OUTPUT + ", text_md5 binary"
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, removed (runs of words), kept_text.
 
     A word is removed if a window of ``window`` words that covers it also
@@ -168,11 +169,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     text of fewer than ``window`` words loses none, an empty table gives no
     rows.  A null id counts as larger than all others and stays null; rows
     with one id count as one document, so they take nothing from each other.
-    Other columns aren't read.
+    Other columns aren't read.  With ``digests`` there is also text_md5, the
+    MD5 of the text, zeros for a null text: the result of a row depends on its
+    id and text alone, so these two find it where ids are null or repeated.
     """
     spark = docs.sparkSession
     group, buckets = min(GROUP, window), partitions(spark)
-    blocks = stage_blocks(docs, id_col=id_col, text_col=text_col, name="passages")
+    blocks = stage_blocks(docs, id_col=id_col, text_col=text_col, name="passages", digests=digests)
 
     def ask_anchors(row):
         _, _, keys, least, most = _anchors(Block.of(row["block_id"], row["data"]), window, group)
@@ -228,9 +231,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": id_or_null(block.ids), "n_words": pa.array(block.lengths, pa.int64()), "n_removed": pa.array(counts, pa.int64()),
                     "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
+                    **({"text_md5": pa.array([x.tobytes() for x in block.digests], pa.binary())} if digests else {}),
                 })
 
-    return asked.join(earliest.withColumnRenamed("replies", "earliest"), "block_id", "left").mapInArrow(locate, OUTPUT)
+    return asked.join(earliest.withColumnRenamed("replies", "earliest"), "block_id", "left").mapInArrow(locate, DIGEST_OUTPUT if digests else OUTPUT)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

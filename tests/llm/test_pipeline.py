@@ -3,6 +3,7 @@ import hashlib
 import corpus_pipeline as pipeline
 from netlume.llm.quality_classifier import quality
 
+from .conftest import DOCS, LINE
 from .test_exact_dedup import norm
 from .test_simhash import brute_components, brute_print
 from .test_substring_dedup import brute as brute_passages
@@ -63,6 +64,18 @@ def test_odd_texts(spark, odd):
     assert pipeline.pack(spark, docs, "").count() >= docs.count()
 
 
+def test_passages_of_null_and_repeated_ids(spark):
+    texts = [(1, LINE), (2, f"a {LINE}"), (2, f"a {LINE}"), (2, f"b  {LINE} c"), (2, "clean  as it is"), (2, LINE), (2, None), (3, "alone")]
+    texts += [(None, LINE), (None, None), (None, ""), (None, "also  clean"), (None, f"x {LINE} y"), (None, f"{LINE} z"), (None, LINE)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in texts], DOCS).repartition(3)
+    want = [(1, LINE), (2, "a"), (2, "a"), (2, "b c"), (2, "clean  as it is"), (2, None), (3, "alone")]
+    want += [(None, None), (None, ""), (None, "also  clean"), (None, "x y"), (None, "z")]
+    got = pipeline.passages(spark, docs, "")
+    assert got.columns == COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.collect())
+
+
 def test_empty(spark, empty):
     docs = empty
     for _, stage in pipeline.STAGES:
