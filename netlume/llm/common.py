@@ -1,19 +1,23 @@
-"""What the training-data operators share: the shared folder, packed arrays,
-word blocks, and the keyed exchange between blocks.
+"""What the training-data operators share: the shared folder, places of rows,
+packed arrays, word blocks, and the keyed exchange between blocks.
 
 Blocks
     ``stage_blocks`` cuts a table of texts, in the order in which its tasks
-    read it, into blocks of a few MB of text, one row each.  A block holds the
+    read it, into blocks of some MB of text, one row each.  A block holds the
     block's vocabulary and its texts as arrays of vocabulary numbers.  Blocks
-    are written to the shared folder, bucketed by their number, so later steps
-    join small things to them without moving the texts again.
+    are written to the shared folder, bucketed by their number into as many
+    parts as the size of the input asks for, so later steps join small things
+    to them without moving the texts again.
 
 Exchange
     ``exchange`` lets blocks ask questions about keys (hashes of words, word
     windows, ...).  A block names each of its keys once, however often the key
     occurs in it, so a key that a third of all rows hold costs one entry for
-    each block.  Keys are dealt by hash; a reducer sees all entries of its keys
-    and answers each of them.
+    each block.  Keys are dealt by ranges to buckets; there are as many of
+    these as the measured number of words asks for, so that none outgrows a
+    worker.  A message is what a block has for a bucket: the segments that any
+    shuffle has, packed.  There is none without an entry, so messages are never
+    more than entries.  Keys go as differences of sorted ones.
 """
 
 from __future__ import annotations
@@ -56,6 +60,22 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIRS[app]
 
 
+_SCRATCH: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What ``written`` writes inside goes when this ends, but for results written with ``stays``."""
+    at = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(at)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(at)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def _setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key, None)
@@ -72,14 +92,14 @@ def _setting(spark: SparkSession, key: str, value: str):
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, bucket: tuple[int, str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, bucket: tuple[int, str] | None = None, stays: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there.
 
     This cuts the lineage, and lets go of the shuffle files behind it.  With
     ``bucket`` the files are bucketed, without a shuffle.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{_SCRATCH[-1] if _SCRATCH and not stays else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _setting(spark, CLEANUP, "true"):
         if bucket is None:
             df.write.parquet(at)
@@ -100,31 +120,83 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+PLACE = ("_place_file", "_place_row")
+"""The columns that name a row by where it is stored: the MD5 of its file's path, and its number in that file."""
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with PLACE, the same for a row however often and wherever it is read.
+
+    A table that isn't read from Parquet files as they are is written first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRelation" or "parquet" not in plan.toString().lower():
+        docs = written(docs, "rows")
+    return docs.withColumns({PLACE[0]: F.unhex(F.md5("_metadata.file_path")), PLACE[1]: F.col("_metadata.row_index")})
+
+
+FEW_ROWS = 1_000_000
+"""So many places (under 100 MB of them) are broadcast; more go through a shuffle."""
+
+
+def small(places: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A written table of places, to be broadcast if its rows, which are counted, are few."""
+    return F.broadcast(places) if places.count() <= most else places
+
+
+def without(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of ``placed`` documents that aren't at any of the written ``places``; texts stay where they are if the places are few."""
+    return docs.join(small(places), [*PLACE], "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+SPLIT_BYTES = 64 << 20
+
+
+def splits(docs: DataFrame) -> int:
+    """Parts for a table of texts: one for each SPLIT_BYTES of files, by the plan's own estimate, and as many as a shuffle has at least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(docs.sparkSession), min(size // SPLIT_BYTES, 100_000) if size < 1 << 50 else 0)  # more stands for a size that isn't known
+
+
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them."""
+    if a.dtype.kind == "b":
+        return a.astype(np.uint8)
+    if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
+        most = int(a.max())
+        return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64, copy=False)
+    return a
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one dimension as one compressed string."""
+    """Arrays of one dimension as one compressed string; the first bytes of all numbers come first, then the second ones."""
     import zstandard
 
     parts = [struct.pack("<I", len(arrays))]
     for a in arrays:
-        parts += [struct.pack("<4sQ", a.dtype.str.encode().ljust(4), len(a)), np.ascontiguousarray(a).tobytes()]
+        small = _narrow(a)
+        planes = np.ascontiguousarray(small).view(np.uint8).reshape(len(small), -1).T if len(small) else small
+        parts += [struct.pack("<4s4sQ", a.dtype.str.encode().ljust(4), small.dtype.str.encode().ljust(4), len(a)), planes.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays of ``pack``, in the types that they had."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(data)
     (n,), at, out = struct.unpack_from("<I", raw), 4, []
     for _ in range(n):
-        kind, length = struct.unpack_from("<4sQ", raw, at)
-        at += 12
-        dtype = np.dtype(kind.strip().decode())
-        out.append(np.frombuffer(raw, dtype, length, at))
-        at += length * dtype.itemsize
+        kind, held, length = struct.unpack_from("<4s4sQ", raw, at)
+        at += 16
+        dtype, small = np.dtype(kind.strip().decode()), np.dtype(held.strip().decode())
+        a = np.frombuffer(raw, np.uint8, length * small.itemsize, at)
+        at += length * small.itemsize
+        out.append(np.ascontiguousarray(a.reshape(small.itemsize, length).T).view(small).reshape(length).astype(dtype, copy=False) if small.itemsize > 1 else a.view(small).astype(dtype, copy=False))
     return out
 
 
@@ -167,19 +239,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class MisraGries:
+    """Counts that are too low by at most ``rows / (counters + 1)``."""
+
+    def __init__(self, counters: int):
+        self.counters, self.rows, self.held = counters, 0, {}
+
+    def add(self, values: list, counts: list[int]) -> None:
+        held = self.held
+        for v, c in zip(values, counts, strict=True):
+            held[v] = held.get(v, 0) + c
+            self.rows += c
+        if len(held) > self.counters:
+            cut = sorted(held.values(), reverse=True)[self.counters]
+            self.held = {v: c - cut for v, c in held.items() if c > cut}
+
+    def frequent(self) -> dict:
+        """Counters above the error; leaving out the others makes it at most twice as large."""
+        return {v: c for v, c in self.held.items() if c * (self.counters + 1) > self.rows}
+
+
 class Block:
-    """Documents as arrays: ``ids`` and ``lengths`` by document, ``words`` (numbers into ``vocab``) one after another; ``digests`` by document if they were asked for."""
+    """Documents as arrays: ``ids`` and ``lengths`` by document, ``words`` (numbers into ``vocab``) one after another; ``files`` and ``rows`` are their places if they were asked for."""
 
-    __slots__ = ("block_id", "ids", "lengths", "words", "vocab", "digests")
+    __slots__ = ("block_id", "ids", "lengths", "words", "vocab", "files", "rows")
 
-    def __init__(self, block_id, ids, lengths, words, vocab, digests=None):
-        self.block_id, self.ids, self.lengths, self.words, self.vocab, self.digests = block_id, ids, lengths, words, vocab, digests
+    def __init__(self, block_id, ids, lengths, words, vocab, files=None, rows=None):
+        self.block_id, self.ids, self.lengths, self.words, self.vocab, self.files, self.rows = block_id, ids, lengths, words, vocab, files, rows
 
     @classmethod
     def of(cls, block_id: int, data: bytes) -> Block:
-        ids, lengths, words, vocab, *digests = unpack(data)
-        digests = digests[0].reshape(-1, DIGEST) if digests else None
-        return cls(block_id, ids, lengths.astype(np.int64), words, vocab.tobytes().split(b" ") if len(vocab) else [], digests)
+        ids, lengths, words, vocab, *places = unpack(data)
+        files, rows = (places[0].reshape(-1, DIGEST), places[1]) if places else (None, None)
+        return cls(block_id, ids, lengths.astype(np.int64), words, vocab.tobytes().split(b" ") if len(vocab) else [], files, rows)
 
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.lengths)])
@@ -189,48 +281,62 @@ class Block:
         return np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
 
 
-BLOCK_SCHEMA = "block_id long, data binary"
-BLOCK_BYTES = 4_000_000
+BLOCK_SCHEMA = "block_id long, n_words long, n_distinct long, data binary"
+BLOCK_BYTES = 8_000_000
 DIGEST = 16
-"""Bytes of the MD5 of a text; zeros stand for that of a null text."""
+"""Bytes of the MD5 of a path."""
 
 
-def stage_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", digests: bool = False) -> DataFrame:
+def stage_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", places: bool = False) -> DataFrame:
     """Blocks of the words ``[^\\x20\\x09-\\x0D]+`` of all texts; ``lower`` maps A-Z to a-z first.
 
     A text is never cut; a block takes texts until it holds ``block_bytes``.
-    ``digests`` keeps the MD5 of each text as it is.
+    ``places`` keeps the PLACE of each row.
     """
 
     def run(batches):
         task, count = TaskContext.get().partitionId(), 0
-        ids, lengths, words, vocab, held, md5 = [], [], [], {}, 0, []
+        ids, lengths, words, vocab, held, files, rows = [], [], [], {}, 0, [], []
 
         def flush():
-            nonlocal ids, lengths, words, vocab, held, count, md5
+            nonlocal ids, lengths, words, vocab, held, count, files, rows
             flat = np.concatenate(words) if words else np.zeros(0, np.uint32)
-            data = pack(np.array(ids, np.int64), np.array(lengths, np.uint32), flat, np.frombuffer(b" ".join(vocab), np.uint8), *([np.frombuffer(b"".join(md5), np.uint8)] if digests else []))
-            out = pa.RecordBatch.from_pydict({"block_id": pa.array([(task << 24) + count], pa.int64()), "data": pa.array([data], pa.binary())})
-            ids, lengths, words, vocab, held, count, md5 = [], [], [], {}, 0, count + 1, []
+            own = [np.frombuffer(b"".join(files), np.uint8), np.array(rows, np.int64)] if places else []
+            data = pack(np.array(ids, np.int64), np.array(lengths, np.uint32), flat, np.frombuffer(b" ".join(vocab), np.uint8), *own)
+            out = pa.RecordBatch.from_pydict({
+                "block_id": pa.array([(task << 24) + count], pa.int64()), "n_words": pa.array([len(flat) + len(ids)], pa.int64()), "n_distinct": pa.array([len(vocab) + 2], pa.int64()),
+                "data": pa.array([data], pa.binary()),
+            })
+            ids, lengths, words, vocab, held, count, files, rows = [], [], [], {}, 0, count + 1, [], []
             return out
 
         for batch in batches:
-            carried = batch.column(2).to_pylist() if digests else [None] * batch.num_rows
-            for i, text, digest in zip(ids_of(batch.column(0)).tolist(), texts_of(batch.column(1)), carried, strict=True):
+            where = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) if places else [(None, None)] * batch.num_rows
+            for i, text, (file, row) in zip(ids_of(batch.column(0)).tolist(), texts_of(batch.column(1)), where, strict=True):
                 split = (text.lower() if lower else text).split()  # bytes: exactly the ASCII white space above, and A-Z only
                 words.append(np.fromiter([vocab.setdefault(w, len(vocab)) for w in split], np.uint32, len(split)))
                 ids.append(i)
                 lengths.append(len(split))
-                md5.append(digest or bytes(DIGEST))
+                if places:
+                    files.append(file)
+                    rows.append(row)
                 held += len(text) + 16
                 if held >= block_bytes:
                     yield flush()
         if ids:
             yield flush()
 
-    text = F.col(text_col).cast("string")
-    blocks = docs.select(F.col(id_col).cast("long"), text, *([F.unhex(F.md5(text)).alias("md5")] if digests else [])).mapInArrow(run, BLOCK_SCHEMA)
-    return written(blocks, name, (partitions(docs.sparkSession), "block_id"))
+    blocks = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *(PLACE if places else ())).mapInArrow(run, BLOCK_SCHEMA)
+    return written(blocks, name, (splits(docs), "block_id"))
+
+
+ENTRIES = 3_000_000
+"""Entries in a bucket of an exchange, if each word is one."""
+
+
+def buckets_for(blocks: DataFrame, column: str = "n_words") -> int:
+    """How many buckets an exchange needs in which each word (or distinct word) of a block is an entry at most."""
+    return max(1, -(-int(blocks.agg(F.sum(column)).first()[0] or 0) // ENTRIES))
 
 
 def word_hashes(vocab: list[bytes], seed: int) -> np.ndarray:
@@ -251,63 +357,74 @@ def rolling(values: np.ndarray, k: int, multiplier: int) -> np.ndarray:
     return mix(out)
 
 
-def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts keys by bucket, and where each bucket begins in it."""
-    to = ((mix(keys) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    order = np.argsort(to.astype(np.uint32), kind="stable")
-    return order, np.searchsorted(to[order], np.arange(buckets + 1))
+def _bounds(buckets: int) -> np.ndarray:
+    """Where the range of keys of each bucket begins."""
+    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as the first and the differences; ``np.cumsum`` makes them keys again."""
+    out = keys.copy()
+    out[1:] -= keys[:-1]
+    return out
 
 
-def exchange(asked: DataFrame, request, reduce, buckets: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Ask about keys, from all blocks, and answer each of them.
+class Question:
+    """One kind of question of an exchange.
 
-    ``asked`` has block_id, data, and what ``request(row)`` needs besides; it
-    returns arrays of one length, the first of them the distinct 64-bit keys.
-    ``reduce(arrays, source)`` gets, for a bucket of keys, such arrays of all
-    blocks one after another (source: the number of the block of each entry)
-    and returns (answers of that length, counters).  Returned are a table of
-    (block_id, replies) and one of the counters (one row for each bucket).
+    ``request(row)`` gives the sorted 64-bit keys of a block and a function
+    that gives for a range of them the arrays to send.  ``reduce(parts)`` gets
+    for a bucket what the blocks sent (lists of arrays, in the order of the
+    blocks) and returns an array of answers for each, and counters.
+    """
+
+    def __init__(self, buckets: int, request, reduce):
+        self.buckets, self.request, self.reduce = buckets, request, reduce
+
+
+def exchange(asked: DataFrame, questions: list[Question], name: str) -> tuple[DataFrame, DataFrame]:
+    """Ask questions from all blocks, and answer each of them.
+
+    ``asked`` has block_id, data, and what the requests need besides.
+    Returned are a table of (block_id, replies) and one of (question,
+    counters), a row for each bucket.  All requests of a row are called
+    together, so they may share what the first has made of it.
     """
     names = asked.columns
+    offsets = np.concatenate([[0], np.cumsum([q.buckets for q in questions])]).tolist()
 
     def ask(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                arrays = request({c: batch.column(j)[row].as_py() for j, c in enumerate(names)})
-                order, ends = dealt(arrays[0], buckets)
-                arrays = [a[order] for a in arrays]
-                full = np.flatnonzero(ends[1:] > ends[:-1])
-                if len(full):
-                    block = batch.column(names.index("block_id"))[row].as_py()
-                    data = [pack(*(a[ends[b] : ends[b + 1]] for a in arrays)) for b in full]
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "block_id": pa.array([block] * len(full), pa.int64()), "data": pa.array(data, pa.binary())})
+                of = {c: batch.column(j)[row].as_py() for j, c in enumerate(names)}
+                to, data = [], []
+                for q, offset in zip(questions, offsets, strict=False):
+                    keys, cut = q.request(of)
+                    ends = np.append(np.searchsorted(keys, _bounds(q.buckets)), len(keys))
+                    for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+                        to.append(offset + b)
+                        data.append(pack(*cut(int(ends[b]), int(ends[b + 1]))))
+                if to:
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(to, pa.int32()), "block_id": pa.array([of["block_id"]] * len(to), pa.int64()), "data": pa.array(data, pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        parts = [unpack(x) for x in table.column("data").to_pylist()]
-        sizes = np.array([len(p[0]) for p in parts])
-        arrays = [np.concatenate([p[j] for p in parts]) for j in range(len(parts[0]))]
-        answers, counters = reduce(arrays, np.repeat(np.arange(len(parts)), sizes))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        data = [pack(answers[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        first = [[float(x) for x in counters]] + [None] * (len(data) - 1)
-        return pa.Table.from_pydict({"block_id": table.column("block_id"), "bucket": table.column("bucket"), "data": pa.array(data, pa.binary()), "counters": pa.array(first, pa.list_(pa.float64()))})
-
-    requests = asked.mapInArrow(ask, "bucket int, block_id long, data binary")
+        table = table.sort_by("block_id").combine_chunks()  # sums of fractions don't depend on what came first
+        bucket = table.column("bucket")[0].as_py()
+        k = int(np.searchsorted(offsets, bucket, "right")) - 1
+        answers, counters = questions[k].reduce([unpack(x) for x in table.column("data").to_pylist()])
+        first = [[float(k), *map(float, counters)]] + [None] * (len(answers) - 1)
+        return pa.Table.from_pydict({"block_id": table.column("block_id"), "bucket": table.column("bucket"), "data": pa.array([pack(a) for a in answers], pa.binary()), "counters": pa.array(first, pa.list_(pa.float64()))})
+
+    requests = asked.mapInArrow(ask, "bucket int, block_id long, data binary").repartition(max(offsets[-1], partitions(asked.sparkSession)), "bucket")
     answers = written(requests.groupBy("bucket").applyInArrow(answer, "block_id long, bucket int, data binary, counters array<double>"), name)
     replies = answers.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "data")).alias("replies"))
-    return replies, answers.where("counters is not null").select("counters")
+    return replies, answers.where("counters is not null").select(F.col("counters")[0].cast("int").alias("question"), F.expr("slice(counters, 2, size(counters) - 1)").alias("counters"))
 
 
-def replied(keys: np.ndarray, replies, buckets: int) -> np.ndarray | None:
-    """The answers in the order of the keys that were asked; None if there were no keys."""
-    if not replies:
-        return None
-    order, _ = dealt(keys, buckets)
-    got = np.concatenate([unpack(r["data"])[0] for r in sorted(replies, key=lambda r: r["bucket"])])
-    out = np.empty_like(got)
-    out[order] = got
-    return out
+def replied(replies, first: int = 0, buckets: int | None = None) -> np.ndarray | None:
+    """The answers in the order of the keys that were asked, of the question whose buckets begin at ``first``; None if there were no keys."""
+    own = [r for r in replies or () if first <= r["bucket"] and (buckets is None or r["bucket"] < first + buckets)]
+    return np.concatenate([unpack(r["data"])[0] for r in sorted(own, key=lambda r: r["bucket"])]) if own else None
 
 
 def by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

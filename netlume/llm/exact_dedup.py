@@ -7,42 +7,24 @@ of all rows, of which there can only be a bounded number.  A second pass over
 the digests verifies these: it counts them exactly and finds the row that
 stays, which map-side sums bring to one row per digest and task.  That table is
 broadcast, and settles the rows of frequent texts where they are.  All other
-digests are rare, and go through an ordinary shuffle.
+digests are rare, and go through an ordinary shuffle: sums by digest, made
+before it as far as they can, and a join with those of two rows or more, which
+Spark can split.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import PLACE, MisraGries, placed, without, written
 
 COUNTERS = 4095
 """Counters of a Misra-Gries summary.  A digest is frequent from 4 / (COUNTERS + 1) of all rows on."""
 
 
-class MisraGries:
-    """Counts that are too low by at most ``rows / (counters + 1)``."""
-
-    def __init__(self, counters: int):
-        self.counters, self.rows, self.held = counters, 0, {}
-
-    def add(self, values: list, counts: list[int]) -> None:
-        held = self.held
-        for v, c in zip(values, counts, strict=True):
-            held[v] = held.get(v, 0) + c
-            self.rows += c
-        if len(held) > self.counters:
-            cut = sorted(held.values(), reverse=True)[self.counters]
-            self.held = {v: c - cut for v, c in held.items() if c > cut}
-
-    def frequent(self) -> dict:
-        """Counters above the error; leaving out the others makes it at most twice as large."""
-        return {v: c for v, c in self.held.items() if c * (self.counters + 1) > self.rows}
-
-
 def frequent_digests(keyed: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """Digests that may hold 4 / (counters + 1) of the rows of ``keyed`` or more: (counters + 1) / 2 of them at most, and none that does is missing."""
 
@@ -59,11 +41,8 @@ def frequent_digests(keyed: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return sums.where(F.col("digest").isNotNull() & (F.col("n") * (counters + 1) >= 2 * rows)).select("digest")
 
 
-OUTPUT = ("doc_id", "keep_id", "group_size", "kept", "digest")
-
-
-def exact_dedup(docs: DataFrame, counters: int = COUNTERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest (SHA-256 of the normalised text).
+def exact_dedup(docs: DataFrame, counters: int = COUNTERS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest (SHA-256 of the normalised text), and the columns ``carry``.
 
     Texts are equal if they are once all of ``[\\x20\\x09-\\x0D]`` is deleted.
     The row with the most code points stays, then the one with the smallest
@@ -77,29 +56,37 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS, id_col: str = "doc_id
         F.unhex(F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256)).alias("digest"),
         F.length(text).alias("size"),
         F.monotonically_increasing_id().alias("row"),
+        *carry,
     )
     keyed = written(keyed, "digests")  # texts are read once; row numbers are fixed from here on
     frequent = F.broadcast(frequent_digests(keyed, counters))
     best = F.max(F.struct("size", -F.col("doc_id"), -F.col("row"), "doc_id", "row")).alias("best")
-    winners = keyed.join(frequent, "digest").groupBy("digest").agg(F.count("*").alias("group_size"), best)
-    winners = written(winners, "winners")
-    hot = keyed.join(F.broadcast(winners), "digest").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest")
-    group = Window.partitionBy("digest")
-    ranked = group.orderBy(F.desc("size"), F.asc_nulls_last("doc_id"), "row")
-    cold = keyed.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "doc_id", F.first("doc_id").over(ranked).alias("keep_id"), F.count("*").over(group).alias("group_size"), (F.row_number().over(ranked) == 1).alias("kept"), "digest"
-    )
-    return hot.unionByName(cold)
+    totals = [F.count("*").alias("group_size"), best]
+    winners = written(keyed.join(frequent, "digest").groupBy("digest").agg(*totals), "winners")
+
+    def told(rows: DataFrame) -> DataFrame:
+        """Rows beside the totals of their group; without any they are alone."""
+        alone = F.col("best").isNull()
+        keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id"))
+        return rows.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("row") == F.col("best.row"))).alias("kept"), "digest", *carry)
+
+    hot = told(keyed.join(F.broadcast(winners), "digest"))
+    rare = keyed.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    groups = written(rare.groupBy("digest").agg(*totals).where("group_size > 1"), "groups")
+    return hot.unionByName(told(rare.join(groups, "digest", "left")))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
-    digest = F.unhex(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", ""), 256))
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    left = docs.withColumn("_own", digest)
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    # rows with one id and one text are repeated rows
-    return left.join(kept, match, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    """The rows of ``docs`` that exact_dedup keeps, with all their columns.
+
+    Rows are told apart by where they are stored, so null and repeated ids
+    are judged each by its own text: of (3, "a b") and (3, "a  b") the second
+    stays, as it has more code points.  Only digests and the places of rows
+    that go are shuffled, not the texts.
+    """
+    own = placed(docs)
+    gone = written(exact_dedup(own, carry=PLACE).where("not kept").select(*PLACE), "copies")
+    return without(own, gone).select(*docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

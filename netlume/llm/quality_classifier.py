@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of, portions, texts_of, written
+from .common import PLACE, id_or_null, ids_of, placed, portions, texts_of, written
 from .text_stats import SHARES, shares, statistics
 
 #: Labellers: the share that a labeller looks at, up to where it votes good, and from where on bad (turned round if the first is larger).
@@ -89,8 +89,8 @@ def shapes_of(text: bytes) -> list[bytes]:
 
 def word_features(word: bytes) -> tuple[int, int, int]:
     """The hashed features of a word's shape: how it is written, what it ends with, its length."""
-    kinds = "".join("Aa0é"[m.lastindex - 1] if m.lastindex < 5 else m.group(5).decode("latin-1") for m in _SHAPE.finditer(word[:64]))
-    return _bucket(b"shape " + kinds[:8].encode()), _bucket(b"end " + kinds[-1:].encode()), _bucket(b"size %d" % min(len(word), 32))
+    kinds = "".join("Aa0é"[m.lastindex - 1] if m.lastindex < 5 else m.group(5).decode("latin-1") for m in _SHAPE.finditer(word))
+    return _bucket(b"shape " + kinds.encode()), _bucket(b"end " + kinds[-1:].encode()), _bucket(b"size %d" % min(len(word), 32))
 
 
 def share_features(share: np.ndarray) -> list[int]:
@@ -164,26 +164,32 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
-    """Vote on all documents, estimate the labellers' accuracies, and train the scorer."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """Vote on all documents, estimate the labellers' accuracies, and train the scorer.
+
+    The scorer's rows are chosen by where they are stored, so at most
+    ``sample`` of them come to the driver, whatever the ids; null and repeated
+    ids count like others.  Which rows they are depends on the hash of the id
+    and then on the place.
+    """
+    own = placed(docs)
+    texts = own.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *PLACE)
     powers = 3 ** np.arange(len(LABELLERS))
 
     def vote(batches):
         for batch in batches:
             stats = np.array([statistics(t, t.split()) for t in texts_of(batch.column(1))], np.int64).reshape(batch.num_rows, -1)
             pattern = votes(shares(stats), stats[:, 0]) @ powers if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "pattern": pa.array(pattern, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "pattern": pa.array(pattern, pa.int64()), PLACE[0]: batch.column(2), PLACE[1]: batch.column(3)})
 
-    voted = written(texts.mapInArrow(vote, "doc_id long, pattern long"), "votes")
+    voted = written(texts.mapInArrow(vote, f"doc_id long, pattern long, {PLACE[0]} binary, {PLACE[1]} long"), "votes")
     counted = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** labellers rows
     patterns = np.array([[r["pattern"] // p % 3 for p in powers] for r in counted], np.int64).reshape(-1, len(LABELLERS))
     accuracy, prior, good = expectation_maximisation(patterns, np.array([r["count"] for r in counted]))
     posterior = {r["pattern"]: float(g) for r, g in zip(counted, good, strict=True)}
     bad = [p for p, g in posterior.items() if g < 0.5]
-    order = [F.xxhash64("doc_id", F.lit(1)), "doc_id"]
-    chosen = voted.where(F.col("pattern").isin(bad) & F.col("doc_id").isNotNull()).orderBy(*order).limit(sample // 2)
-    chosen = chosen.unionByName(voted.where(~F.col("pattern").isin(bad) & F.col("doc_id").isNotNull()).orderBy(*order).limit(sample // 2))
-    chosen = chosen.groupBy("doc_id").agg(F.min("pattern").alias("pattern"))
+    order = [F.xxhash64("doc_id", F.lit(1)), "doc_id", *PLACE]
+    chosen = voted.where(F.col("pattern").isin(bad)).orderBy(*order).limit(sample // 2)
+    chosen = chosen.unionByName(voted.where(~F.col("pattern").isin(bad)).orderBy(*order).limit(sample // 2)).select("pattern", *PLACE)
 
     def describe(batches):
         of = Remembered(word_features)
@@ -196,7 +202,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 rows.append(at.astype(np.uint16).tobytes() + row[at].tobytes())
             yield pa.RecordBatch.from_pydict({"pattern": batch.column(1), "row": pa.array(rows, pa.binary())})
 
-    wanted = texts.join(F.broadcast(chosen), "doc_id").select("text", "pattern")  # `sample` rows of two numbers
+    wanted = texts.join(F.broadcast(chosen), [*PLACE]).select("text", "pattern")  # `sample` rows of a few numbers; places are unique
     table = wanted.mapInArrow(describe, "pattern long, row binary").toArrow()
     rows = sorted(zip(table.column("pattern").to_pylist(), table.column("row").to_pylist(), strict=True))  # they come in any order
     x, y = np.zeros((len(rows), FEATURES), np.float32), np.array([posterior[p] for p, _ in rows])

@@ -9,8 +9,12 @@ posting list.  In a list the shared positional bytes of each pair are tallied,
 pairs that reach 5 are retained, and the differing bits of those are counted.
 
 A list yields the links of a spanning star of each of its components, never
-its pairs.  Copies are one entry, whatever their number.  Long lists are split
-by one more position, again without loss, since 5 positions have to agree.
+its pairs.  Copies are one entry, whatever their number.  Lists of more than
+LONG_LIST entries are split by one more position, again without loss, since 5
+positions have to agree.  Where 5 do agree in a list that is still so long,
+all its pairs reach the minimum, so counting tells nothing; there the entries
+within 3 bits are looked up among the 2,324 ways to change 3 bytes, which
+takes time in proportion to the list and finds the same links.
 """
 
 from __future__ import annotations
@@ -22,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of, partitions, texts_of, written
+from .common import PLACE, id_or_null, ids_of, partitions, placed, texts_of, without, written
 from .components import components
 
 SEED, SHINGLE, BITS, BYTES = 42, 3, 3, 8
 LEAST_SHARED = BYTES - BITS
 PLANES = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 LONG_LIST = 1500
+OFTEN = 1000
+"""Fingerprints of a thousandth of all rows or more are looked up without a shuffle."""
 
 
 def fingerprint(text: bytes) -> int:
@@ -54,14 +60,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of all rows."""
+    """(doc_id, fingerprint as a signed long) of all rows, and the columns PLACE if ``docs`` has them."""
+    carry = [c for c in PLACE if c in docs.columns]
 
     def run(batches):
         for batch in batches:
             prints = np.array([fingerprint(t) for t in texts_of(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "print": pa.array(prints.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "print": pa.array(prints.view(np.int64)), **{c: batch.column(2 + j) for j, c in enumerate(carry)}})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, print long")
+    types = {PLACE[0]: "binary", PLACE[1]: "long"}
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *carry).mapInArrow(run, ", ".join(["doc_id long, print long", *(f"{c} {types[c]}" for c in carry)]))
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -143,6 +151,12 @@ def links(nodes: DataFrame) -> DataFrame:
     return postings.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (one row for each fingerprint) with the root of their component."""
+    roots = components(links(nodes))
+    return nodes.join(roots, nodes["print"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "print").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, print (the fingerprint), component_id.
 
@@ -152,19 +166,31 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id, unless a component has no other.  An empty table gives no
     rows.  Other columns aren't read.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "prints")
-    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes))
-    rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    prints = written(fingerprints(docs.drop(*PLACE), id_col, text_col), "prints")
+    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    rooted = _rooted(nodes)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(least, "root").select("print", "component_id")
-    return prints.join(of, "print").select("doc_id", "print", "component_id")
+    of = written(rooted.join(least, "root").select("print", "component_id", "n"), "members")
+    often = F.broadcast(of.where(F.col("n") >= max(1, prints.count() // OFTEN)).select("print", "component_id"))  # OFTEN rows at most, or few more
+    hot = prints.join(often, "print")
+    rare = prints.join(often.select("print"), "print", "left_anti").join(of.drop("n"), "print")
+    return hot.unionByName(rare).select("doc_id", "print", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id, and rows without an id only where no other is left."""
-    found = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of ``docs`` for each component, with all its columns: that with the smallest id, and one without an id only where no other is left.
+
+    Rows are told apart by where they are stored: of repeated rows, of rows
+    with one id in one component, and of rows without an id one stays.  Texts
+    aren't shuffled, only fingerprints and the places of rows that go.
+    """
+    own = placed(docs)
+    prints = written(fingerprints(own), "prints")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *PLACE)).alias("least")
+    nodes = written(prints.groupBy("print").agg(least), "nodes")
+    stay = _rooted(nodes).groupBy("root").agg(F.min("least").alias("least")).select(*(F.col(f"least.{c}").alias(c) for c in PLACE))
+    gone = written(prints.select(*PLACE).join(stay, [*PLACE], "left_anti"), "near")
+    return without(own, gone).select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
