@@ -1,20 +1,23 @@
-"""Operator 6: scores of a bigram language model with Katz backoff.
-
-Good-Turing discounted counts (smoothed, see ``discounts``), with backoff weights that are exactly
-normalised for every history.  Counts live in tables partitioned by key, which
-blocks of documents ask (see ``common``): a block sends each of its words, word
-pairs and histories once, whatever their number in it, and is answered with
-sums over all blocks.  Three such exchanges give
-
-1. the count of each word, the number of tokens N and of distinct ones V;
-2. the count of each pair, and which block is to speak for it;
-3. for each history the sums, over the distinct pairs that begin with it, of
-   their discounted counts and of their second words' lower-order
-   probabilities, and from these its backoff weight.
-
-Every token is then scored by recursion: as a pair if that was seen, else by
-the backoff weight of its history and the lower order, which ends in one
-symbol for all unknown words.
+"""Operator 6: scores of an n-gram language model with Katz backoff.
+
+Good-Turing discounted counts (smoothed, see ``discounts``) of orders 1 to
+``order``, with backoff weights that are exactly normalised for every history.
+Counts live in tables partitioned by key, which blocks of documents ask (see
+``common``): a block sends each of its n-grams and histories once, whatever
+their number in it, and is answered with sums over all blocks.  In turn these
+exchanges give
+
+* the count of each n-gram, and which block is to speak for it, and for words
+  also the number of tokens N and of distinct ones V;
+* for each history the sums, over the distinct n-grams that begin with it, of
+  their discounted counts and of the lower-order probabilities of their last
+  words, and from these its backoff weight.  Only blocks that have the history
+  before a word that never follows it ask for that.
+
+Every token is then scored by recursion over orders: by its own count if the
+n-gram was seen, else by the backoff weight of its history and the order
+below, which ends in one symbol for all unknown words.  Histories don't reach
+beyond the beginning of a text, which is a symbol of its own.
 """
 
 from __future__ import annotations
@@ -26,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Block, by_key, exchange, id_or_null, mix, partitions, replied, stage_blocks, word_hashes
+from .common import NULL_ID, Block, Question, buckets_for, by_key, exchange, id_or_null, mix, replied, stage_blocks, steps, word_hashes
+
+ORDER = 3
 
 LARGE = 5
 """Counts above this aren't discounted."""
 END, BEGIN = 0x5BD1E995_9E3779B1, 0x27D4EB2F_165667C5
 """Keys of the end of a text, which is a token, and of its beginning, which is a history only."""
 ADDED = 0.1
+SIGN, WEIGHT = 1, 2
+"""What a block asks about a history: only whether its denominator is larger by one, or its weight too."""
 
 
 def held_out(ids: np.ndarray, folds: int) -> np.ndarray:
@@ -110,37 +117,62 @@ def backoff(seen: np.ndarray, lower: np.ndarray, counts: np.ndarray) -> tuple[np
     return np.where(known, weight, 1.0), np.where(known, over, 1.0)
 
 
-class Tokens:
-    """The tokens of a block, with their histories; distinct pairs are numbered."""
+class Order:
+    """The distinct n-grams of a block: their sorted 64-bit keys and ``counts`` in the documents to learn from.
+
+    ``at`` is the number of the n-gram that ends at each token (-1: none is
+    long enough), ``history`` and ``shorter`` are the numbers, in the order
+    below, of the n-gram without its last and without its first word.
+    """
+
+    __slots__ = ("keys", "counts", "at", "history", "shorter", "total", "speaks")
+
 
-    def __init__(self, block: Block, folds: int):
+class Grams:
+    """The n-grams of a block, order by order; ``orders[1]`` are words, the end and the beginning of a text."""
+
+    def __init__(self, block: Block, folds: int, order: int):
         docs, vocab = len(block.ids), len(block.vocab)
         self.lengths = block.lengths + 1
         ends = np.cumsum(self.lengths) - 1
         self.starts = ends - self.lengths + 1
-        self.tokens = np.empty(len(block.words) + docs, np.int64)
-        is_word = np.ones(len(self.tokens), bool)
+        words = np.empty(len(block.words) + docs, np.int64)
+        is_word = np.ones(len(words), bool)
         is_word[ends] = False
-        self.tokens[is_word] = block.words
-        self.tokens[ends] = vocab
-        self.histories = np.empty_like(self.tokens)
-        self.histories[1:] = self.tokens[:-1]
-        self.histories[self.starts] = vocab + 1
+        words[is_word], words[ends] = block.words, vocab
         self.held_out = held_out(block.ids, folds)
         self.learned = np.repeat(~self.held_out, self.lengths)
-        self.size = vocab + 2
-        self.keys = np.concatenate([word_hashes(block.vocab, 4), np.array([END, BEGIN], np.uint64)])
-
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts, in the documents to learn from, of all tokens."""
-        return self.keys[:-1], np.bincount(self.tokens[self.learned], minlength=self.size - 1)
-
-    def pairs(self) -> None:
-        code, self.pair = np.unique(self.histories * self.size + self.tokens, return_inverse=True)
-        self.first, self.second = code // self.size, code % self.size
+        keys = np.concatenate([word_hashes(block.vocab, 4), np.array([END, BEGIN], np.uint64)])
+        rank = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[rank] = np.arange(len(keys))
+        one = Order()
+        one.keys, one.at = keys[rank], place[words]
+        one.counts = np.bincount(one.at[self.learned], minlength=len(keys))
+        one.counts[place[vocab + 1]] = int((~self.held_out).sum())  # texts begin as often as they end
+        self.begin = int(place[vocab + 1])
+        self.orders = [None, one]
+        for _ in range(order - 1):
+            self._longer()
+
+    def _longer(self) -> None:
+        below, words, new = self.orders[-1], self.orders[1], Order()
+        before = np.empty_like(below.at)
+        before[1:] = below.at[:-1]
+        before[self.starts] = self.begin if len(self.orders) == 2 else -1
+        there = np.flatnonzero((before >= 0) & (below.at >= 0))
+        codes, first, number = np.unique(before[there] * len(words.keys) + words.at[there], return_index=True, return_inverse=True)
+        history, last = codes // len(words.keys), codes % len(words.keys)
         with np.errstate(over="ignore"):
-            self.pair_keys = mix(mix(self.keys[self.first]) + self.keys[self.second] * np.uint64(0x9E3779B97F4A7C15))
-        self.pair_counts = np.bincount(self.pair[self.learned], minlength=len(code))
+            keys = mix(mix(below.keys[history]) + words.keys[last] * np.uint64(0x9E3779B97F4A7C15))
+        rank = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[rank] = np.arange(len(keys))
+        new.keys, new.history, new.shorter = keys[rank], history[rank], below.at[there[first]][rank]
+        new.at = np.full(len(below.at), -1, np.int64)
+        new.at[there] = place[number]
+        new.counts = np.bincount(new.at[there][self.learned[there]], minlength=len(keys))
+        self.orders.append(new)
 
 
 def _sum_by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -152,104 +184,167 @@ def _numbers(counts: np.ndarray) -> list[float]:
     return np.bincount(np.minimum(counts, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2].tolist()
 
 
-def _totals(counters: DataFrame, width: int) -> list[float]:
-    row = counters.agg(*(F.sum(F.col("counters")[j]).alias(f"c{j}") for j in range(width))).first()
+def _totals(counters: DataFrame, question: int, width: int) -> list[float]:
+    row = counters.where(F.col("question") == question).agg(*(F.sum(F.col("counters")[j]).alias(f"c{j}") for j in range(width))).first()
     return [float(x or 0) for x in row]
 
 
+def _joined(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Arrays of all parts one after another, keys as they are, and where each part ends."""
+    return [np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), *(np.concatenate([p[j] for p in parts]) for j in range(1, len(parts[0])))], np.cumsum([len(p[0]) for p in parts])
+
+
+def _answer_counts(parts):
+    (keys, counts), ends = _joined(parts)
+    order, begin, number = by_key(keys)
+    sums = np.add.reduceat(counts[order], begin)
+    speaks = np.zeros(len(keys), np.int64)
+    speaks[order[begin]] = 1  # sorting keeps the order of blocks, so this is one block for each n-gram
+    begins = int(sums[number[keys == np.uint64(BEGIN)][:1]].sum())  # not a token
+    numbers = _numbers(np.delete(sums, number[keys == np.uint64(BEGIN)][:1]) if begins else sums)
+    return np.split(2 * sums[number] + speaks, ends[:-1]), (sums.sum() - begins, (sums > 0).sum() - (begins > 0), *numbers)
+
+
+def _answer_histories(parts):
+    (keys, counts, seen, lower, asks), ends = _joined(parts)
+    number, seen, lower = _sum_by_key(keys, seen, lower)
+    weight, over = backoff(seen[number], lower[number], counts)
+    out = np.where(over > counts, -1.0, 1.0) * np.where(asks == WEIGHT, weight, 1.0)  # the sign says that the denominator is larger by one
+    return [x[a > 0] for x, a in zip(np.split(out, ends[:-1]), np.split(asks, ends[:-1]), strict=True)], ()
+
+
 OUTPUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def katz_scores(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def katz_scores(docs: DataFrame, folds: int = 10, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     A-Z become a-z; tokens are the words ``[^\\x20\\x09-\\x0D]+`` and one end.
-    The model learns from documents whose id (crc32 of it as text) isn't 0
-    modulo ``folds``; all are scored.  Null and empty texts are their end
-    alone.  A null id is held out.  If nothing is learned every token is the
-    unknown symbol, with probability 1.  An empty table gives no rows.  Other
-    columns aren't read.  Words are told apart by 64-bit hashes.
+    The model of n-grams of up to ``order`` words learns from documents whose
+    id (crc32 of it as text) isn't 0 modulo ``folds``; all are scored.  Null
+    and empty texts are their end alone.  A null id is held out.  If nothing
+    is learned every token is the unknown symbol, with probability 1.  An
+    empty table gives no rows.  Other columns aren't read.  Words are told
+    apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
     blocks = stage_blocks(docs, lower=True, id_col=id_col, text_col=text_col, name="texts")
+    few, many = buckets_for(blocks, "n_distinct"), buckets_for(blocks)
+    size = {k: few if k == 1 else many for k in range(1, order + 1)}
+    models: dict[int, object] = {}  # the unigrams, and the discounts of each higher order, as they become known
+    rounds: list[list[tuple[str, int]]] = [[("count", 1), *([("count", 2)] if order > 1 else [])]]
+    rounds += [[("weight", k), *([("count", k + 1)] if k < order else [])] for k in range(2, order + 1)]
+
+    def replies(row, kind: str, k: int) -> np.ndarray | None:
+        for r, questions in enumerate(rounds):
+            if (kind, k) in questions:
+                before = questions[: questions.index((kind, k))]
+                return replied(row[f"replies{r}"], sum(size[j] if what == "count" else size[j - 1] for what, j in before), size[k] if kind == "count" else size[k - 1])
+        raise KeyError(kind)
+
+    def told(row, upto: int) -> Grams:
+        """N-grams of orders up to ``upto`` with their counts, as far as these are known."""
+        grams = Grams(Block.of(row["block_id"], row["data"]), folds, upto)
+        for k in range(1, upto + 1):
+            o = grams.orders[k]
+            if any(("count", k) in q for q in rounds[: row["known"]]):
+                got = replies(row, "count", k)
+                got = np.zeros(0, np.int64) if got is None else got
+                o.total, o.speaks = got >> 1, (got & 1).astype(bool)
+        return grams
+
+    def asking(grams: Grams, k: int) -> np.ndarray:
+        """What the block has to know about each history (an n-gram of the order below): WEIGHT if a word follows that never did in the documents to learn from; SIGN if it may be that nothing was taken off."""
+        o, below = grams.orders[k], grams.orders[k - 1]
+        out = np.zeros(len(below.keys), np.uint8)
+        used = o.history[below.total[o.history] > (LARGE if (models[k][1:] < 1).all() else 0)]
+        out[used] = SIGN
+        out[o.history[o.total == 0]] = WEIGHT
+        out[below.total == 0] = 0
+        return out
+
+    def probabilities(row, grams: Grams, upto: int) -> list[np.ndarray]:
+        """Of the n-grams of each order up to ``upto``, by recursion from those of the order below."""
+        out = [np.empty(0), models[1].probability(grams.orders[1].total)]
+        for k in range(2, upto + 1):
+            o, below = grams.orders[k], grams.orders[k - 1]
+            weight, over = np.ones(len(below.keys)), below.total.astype(float)
+            asked = np.flatnonzero(asking(grams, k))
+            if len(asked):
+                got = replies(row, "weight", k)
+                weight[asked] = np.abs(got)
+                over[asked] += got < 0
+            out.append(np.where(o.total > 0, discounted(o.total, models[k]) / np.maximum(over, 1)[o.history], weight[o.history] * out[-1][o.shorter]))
+        return out
 
-    def of(row) -> Tokens:
-        return Tokens(Block.of(row["block_id"], row["data"]), folds)
-
-    def answer_words(arrays, source):
-        number, counts = _sum_by_key(*arrays)
-        return counts[number], (counts.sum(), (counts > 0).sum(), *_numbers(counts))
-
-    words, counters = exchange(blocks, lambda row: of(row).words(), answer_words, buckets, "words")
-    total, distinct, *numbers = _totals(counters, LARGE + 3)
-    unigrams = Unigrams(total, distinct, numbers)
-
-    def ask_pairs(row):
-        t = of(row)
-        t.pairs()
-        return t.pair_keys, t.pair_counts
-
-    def answer_pairs(arrays, source):
-        keys, counts = arrays
-        order, begin, number = by_key(keys)
-        sums = np.add.reduceat(counts[order], begin)
-        speaks = np.zeros(len(keys), np.int64)
-        speaks[order[begin]] = 1  # sorting keeps the order of blocks, so this is one block for each pair
-        return 2 * sums[number] + speaks, _numbers(sums)
-
-    pairs, counters = exchange(blocks, ask_pairs, answer_pairs, buckets, "pairs")
-    factors = discounts(_totals(counters, LARGE + 1))
-
-    def answered(row):
-        """Tokens with the counts of words, pairs and histories, and the pairs that the block speaks for."""
-        t = of(row)
-        t.pairs()
-        counts = replied(t.words()[0], row["words"], buckets)
-        t.counts = np.concatenate([counts, [counts[-1]]])  # texts begin as often as they end
-        got = replied(t.pair_keys, row["pairs"], buckets)
-        t.seen, t.speaks = got >> 1, (got & 1).astype(bool)
-        return t
-
-    def ask_histories(row):
-        t = answered(row)
-        mine = t.speaks & (t.seen > 0)
-        first = t.first[mine]
-        seen = np.bincount(first, weights=discounted(t.seen[mine], factors), minlength=t.size)
-        lower = np.bincount(first, weights=unigrams.probability(t.counts[t.second[mine]]), minlength=t.size)
-        used = np.unique(t.first)
-        return t.keys[used], t.counts[used], seen[used], lower[used]
-
-    def answer_histories(arrays, source):
-        keys, counts, seen, lower = arrays
-        number, seen, lower = _sum_by_key(keys, seen, lower)
-        weight, over = backoff(seen[number], lower[number], counts)
-        return np.where(over > counts, -weight, weight), ()  # the sign says that the denominator is larger by one
-
-    asked = blocks.join(words.withColumnRenamed("replies", "words"), "block_id").join(pairs.withColumnRenamed("replies", "pairs"), "block_id")
-    histories, _ = exchange(asked, ask_histories, answer_histories, buckets, "histories")
+    def ask_counts(k: int):
+        def ask(row):
+            o = row["grams"].orders[k]
+            return o.keys, lambda a, b: [steps(o.keys[a:b]), o.counts[a:b]]
+
+        return ask
+
+    def ask_weights(k: int):
+        def ask(row):
+            grams = row["grams"]
+            o, below = grams.orders[k], grams.orders[k - 1]
+            p = probabilities(row, grams, k - 1)[-1]
+            mine = o.speaks & (o.total > 0)
+            seen = np.bincount(o.history[mine], weights=discounted(o.total[mine], models[k]), minlength=len(below.keys))
+            lower = np.bincount(o.history[mine], weights=p[o.shorter[mine]], minlength=len(below.keys))
+            asks = asking(grams, k)
+            used = np.flatnonzero((asks > 0) | (seen > 0))
+            keys = below.keys[used]
+            return keys, lambda a, b: [steps(keys[a:b]), below.total[used[a:b]], seen[used[a:b]], lower[used[a:b]], asks[used[a:b]]]
+
+        return ask
+
+    def with_grams(ask, upto: int, known: int):
+        """What asks first in a round makes the n-grams that all others of the round use."""
+
+        def first(row):
+            if "grams" not in row:
+                row["known"] = known
+                row["grams"] = told(row, upto)
+            return ask(row)
+
+        return first
+
+    asked = blocks
+    for r, questions in enumerate(rounds):
+        upto = max(k for _, k in questions)
+        made = [
+            Question(size[k], with_grams(ask_counts(k), upto, r), _answer_counts) if kind == "count" else Question(size[k - 1], with_grams(ask_weights(k), upto, r), _answer_histories)
+            for kind, k in questions
+        ]
+        answers, counters = exchange(asked, made, f"round{r}")
+        asked = asked.join(answers.withColumnRenamed("replies", f"replies{r}"), "block_id", "left")
+        for j, (kind, k) in enumerate(questions):
+            if kind == "count":
+                total, distinct, *numbers = _totals(counters, j, LARGE + 3)
+                models[k] = Unigrams(total, distinct, numbers) if k == 1 else discounts(numbers)
 
     def score(batches):
+        total, distinct = models[1].total, models[1].distinct
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Block.of(row["block_id"], row["data"])
-                t = answered(row)
-                used = np.unique(t.first)
-                weight = np.ones(t.size)
-                weight[used] = replied(t.keys[used], row["histories"], buckets)
-                counts = t.counts[t.first]
-                own = t.counts[t.second]
-                over = np.maximum(counts + (weight[t.first] < 0), 1)
-                p = np.where(t.seen > 0, discounted(t.seen, factors) / over, np.abs(weight[t.first]) * unigrams.probability(own))
-                base = np.log10((t.counts[:-1] + ADDED) / (total + ADDED * (distinct + 1)))
-                known = (t.counts[:-1] > 0).astype(np.int64)
-                each = lambda values: np.add.reduceat(values, t.starts)  # noqa: E731  each text has a token at least
+            for row in range(batch.num_rows):
+                row = {c: batch.column(j)[row].as_py() for j, c in enumerate(batch.schema.names)}
+                row["known"] = len(rounds)
+                grams = told(row, order)
+                one, p = grams.orders[1], probabilities(row, grams, order)
+                top = np.log10(p[1])[one.at]
+                for k in range(2, order + 1):
+                    long = grams.orders[k].at >= 0  # a token near the beginning has no n-gram of high orders
+                    top[long] = np.log10(p[k])[grams.orders[k].at[long]]
+                base = np.log10((one.total + ADDED) / (total + ADDED * (distinct + 1)))
+                known = (one.total > 0).astype(np.int64)
+                each = lambda values: np.add.reduceat(values, grams.starts)  # noqa: E731,B023  each text has a token at least
+                ids = Block.of(row["block_id"], row["data"]).ids
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": id_or_null(block.ids), "held_out": pa.array(t.held_out), "n_tokens": pa.array(t.lengths, pa.int64()), "n_known": pa.array(each(known[t.tokens])),
-                    "train_tokens": pa.array(np.full(len(block.ids), int(total))), "base_score": pa.array(each(base[t.tokens])), "score": pa.array(each(np.log10(p)[t.pair])),
+                    "doc_id": id_or_null(ids), "held_out": pa.array(grams.held_out), "n_tokens": pa.array(grams.lengths, pa.int64()), "n_known": pa.array(each(known[one.at])),
+                    "train_tokens": pa.array(np.full(len(ids), int(total))), "base_score": pa.array(each(base[one.at])), "score": pa.array(each(top)),
                 })
 
-    return asked.join(histories.withColumnRenamed("replies", "histories"), "block_id").mapInArrow(score, OUTPUT)
+    return asked.mapInArrow(score, OUTPUT)
 
 
 def op6_katz(spark, sf_dir: str) -> DataFrame:

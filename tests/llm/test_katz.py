@@ -61,13 +61,69 @@ def compare(df):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     model = Brute(rows)
     want = sorted((model.row(*r) for r in rows), key=str)
-    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz_scores(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz_scores(df, order=2).collect()), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
     return model, got
 
 
+class BruteOfOrder(Brute):
+    """Any order, by the definition: histories of up to ``order`` - 1 tokens, which end at the beginning of the text."""
+
+    def __init__(self, rows, order):
+        super().__init__(rows)
+        self.order, self.counts, self.after, self.memo = order, [None, None], defaultdict(set), {}
+        texts = [["<s>", *(text or "").encode().lower().split(), "</s>"] for i, text in rows if learns(i)]
+        for k in range(2, order + 1):
+            grams = Counter(tuple(t[j : j + k]) for t in texts for j in range(len(t) - k + 1))
+            self.counts.append(grams)
+            for g in grams:
+                self.after[g[:-1]].add(g[-1])
+        self.d = [None, None, *(self.factors(c) for c in self.counts[2:])]
+
+    def of(self, h, w):
+        """The probability of w after the tuple h."""
+        if not h:
+            return self.lower(w)
+        if (h, w) not in self.memo:
+            k = len(h) + 1
+            c, d = self.counts[k], self.d[k]
+            total = sum(c[(*h, x)] for x in self.after[h])
+            if not total:
+                p = self.of(h[1:], w)
+            else:
+                seen = sum(self.times(c[(*h, x)], d) for x in self.after[h])
+                over = total + (seen >= total * (1 - 1e-12))
+                p = self.times(c[(*h, w)], d) / over if c[(*h, w)] else (1 - seen / over) / (1 - sum(self.of(h[1:], x) for x in self.after[h])) * self.of(h[1:], w)
+            self.memo[h, w] = p
+        return self.memo[h, w]
+
+    def score(self, text):
+        tokens = ["<s>", *(text or "").encode().lower().split(), "</s>"]
+        return sum(math.log10(self.of(tuple(tokens[max(0, j - self.order + 1) : j]), tokens[j])) for j in range(1, len(tokens)))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_any_order(odd, sample, order):
+    for df in (odd, sample):
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        model = BruteOfOrder(rows, order)
+        want = sorted(((i, model.score(text)) for i, text in rows), key=str)
+        got = sorted(((r.doc_id, r.score) for r in katz_scores(df, order=order).collect()), key=str)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert sorted(g[1] for g in got) == pytest.approx(sorted(w[1] for w in want), rel=1e-9, abs=1e-9)
+        known = [w for w, c in model.words.items() if c]
+        for h in list(model.after)[:: max(1, len(model.after) // 7)]:
+            assert sum(model.of(h, w) for w in known) + model.of(h, b"never seen") == pytest.approx(1)
+
+
+def test_higher_orders_use_more_context(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    score = {k: sum(r.score for r in katz_scores(docs, order=k).collect() if r.held_out) for k in (1, 2)}
+    assert score[2] > score[1]
+
+
 def test_odd_texts(odd):
     compare(odd)
 
