@@ -4,8 +4,11 @@ Map-side two-tier lookup.  A text falls into pre-tokens that no piece of the
 vocabulary reaches across, so its count is the sum of theirs.  The counts of
 frequent pre-tokens come from a broadcast table of a fixed number of entries;
 all others are encoded once in each worker and kept in its cache, which is
-bounded too.  No pre-token is ever shuffled, and no count depends on what the
-table or the caches hold.
+bounded too.  Which pre-tokens are frequent is found over all texts: each task
+sums up its own in a Misra-Gries summary of a fixed size, summaries (one row
+for each task) meet in a few tasks, which add them up, and the sums of these
+meet in the driver.  Pre-tokens are never shuffled, and no count depends on
+what the table or the caches hold.
 """
 
 from __future__ import annotations
@@ -13,18 +16,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of, partitions
+from .common import MisraGries, id_or_null, ids_of, pack, portions, unpack
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 """Pre-tokens: a word with the spaces before it, spaces alone, a line end.  Checked against the vocabulary by ``_checked``."""
 
-TABLE, SAMPLE, CACHE = 65_536, 5_000, 1_000_000
+TABLE, CACHE = 65_536, 1_000_000
+COUNTERS, MERGERS, LONGEST = 65_536, 8, 64
+"""Counters of a summary, tasks that add summaries up, and characters of a pre-token in the table."""
 _MODELS: dict = {}
 
 
@@ -77,25 +83,47 @@ class Lengths(dict):
         return n
 
 
-def frequent_lengths(docs: DataFrame, text_col: str, model: str, entries: int = TABLE, sample_rows: int = SAMPLE) -> dict[str, int]:
-    """Counts of the most frequent pre-tokens of about ``sample_rows`` rows; at most ``entries`` of them, whatever the size of ``docs``."""
-    rows = docs.count()
-    if not rows:
-        return {}
-    sample = docs if rows <= sample_rows else docs.sample(sample_rows / rows, seed=5)
+def packed_table(units: list[str], numbers: list[int]) -> bytes:
+    """Strings and numbers as one compressed string; a zero byte stands before each string but the first."""
+    return pack(np.frombuffer("\0".join(units).encode(), np.uint8), np.array(numbers, np.int64))
+
+
+def table_entries(table: bytes) -> tuple[list[str], list[int]]:
+    units, numbers = unpack(table)
+    return (units.tobytes().decode().split("\0"), numbers.tolist()) if len(numbers) else ([], [])
+
+
+def frequent_lengths(docs: DataFrame, text_col: str, model: str, entries: int = TABLE, counters: int = COUNTERS, mergers: int = MERGERS) -> bytes:
+    """Counts of the most frequent pre-tokens of all rows, at most ``entries`` of them, as ``packed_table``."""
+
+    def summed(summary: MisraGries) -> pa.RecordBatch:
+        found = summary.frequent()
+        return pa.RecordBatch.from_pydict({"summary": pa.array([packed_table([*found], [*found.values()])], pa.binary())})
 
     def count(batches):
-        seen: Counter = Counter()
-        for batch in batches:
+        summary = MisraGries(counters)
+        for batch in portions(batches, 0):
+            seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 seen.update(pre_tokens(text))
-        top = seen.most_common(entries)
-        yield pa.RecordBatch.from_pydict({"unit": pa.array([u for u, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+            kept = [u for u in seen if len(u) <= LONGEST and "\0" not in u]
+            summary.add(kept, [seen[u] for u in kept])
+        yield summed(summary)
 
-    counted = sample.select(F.col(text_col).cast("string")).coalesce(partitions(docs.sparkSession)).mapInArrow(count, "unit string, n long")
-    top = counted.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "unit").limit(entries).collect()
+    def merge(batches):
+        summary = MisraGries(counters)
+        for batch in batches:
+            for table in batch.column(0).to_pylist():
+                summary.add(*table_entries(table))
+        yield summed(summary)
+
+    summaries = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "summary binary")
+    total = MisraGries(counters)
+    for r in summaries.repartition(mergers).mapInArrow(merge, "summary binary").collect():  # ``mergers`` rows of a fixed size
+        total.add(*table_entries(r["summary"]))
+    top = sorted(((n, u) for u, n in total.held.items() if n > 1), key=lambda x: (-x[0], x[1]))[:entries]
     encode = loaded(model).encode
-    return {r["unit"]: len(encode(r["unit"])) for r in top if len(r["unit"]) <= 64}
+    return packed_table([u for _, u in top], [len(encode(u)) for _, u in top])
 
 
 def token_counts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +137,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", te
     shared = spark.sparkContext.broadcast(frequent_lengths(docs, text_col, model))
 
     def run(batches):
-        lengths = Lengths(shared.value, model)
+        lengths = Lengths(dict(zip(*table_entries(shared.value), strict=True)), model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             counts = [sum(map(lengths.__getitem__, pre_tokens(t))) for t in texts]
