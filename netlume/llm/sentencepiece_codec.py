@@ -6,12 +6,19 @@ them out as a depth-first walk through their trie: a word differs from the one
 before it only below their common prefix.  The forward scores, and the pieces
 that are still open, of that prefix are reused; only the rest is computed.
 
-The public model is one of merges, so the segmentation with the best sum of
-scores is not the library's.  The lattice therefore has transitions: a piece
-may follow another one if merging leaves the two as they are.  A sequence of
-pieces in which all neighbours may follow each other is the one that merging
-ends with, and there is one for each word and each of its prefixes; the best
-path is the library's segmentation.
+The public model is one of merges: its scores are ranks, the best-ranked two
+neighbours are joined first, of equal ones the leftmost, and the segmentation
+with the best sum of scores is not the one that this ends with.  The state of
+the search is therefore the last piece, and its transitions come from the
+ranks: a piece may follow another one if merging the characters of both by
+rank ends with the two as they are.  A sequence of pieces in which all
+neighbours may follow each other is the one that merging ends with, and there
+is one for each word and each of its prefixes.
+
+Pieces of spaces alone rank below all others, so merging first joins a word
+with the last space before it, and then what is left of the run, from its left
+end.  Runs are merged by rank, words go through the trie, whatever the number
+of spaces before them.  The library's encoder is not used.
 """
 
 from __future__ import annotations
@@ -28,24 +35,29 @@ from .token_counts import MODEL, SPACE, loaded, pre_tokens
 
 UNKNOWN = -1
 """Stands for a character without a piece, which becomes the pieces of its bytes."""
-PAIRS = 500_000
+NEVER = float("-inf")
+PAIRS, RUNS = 500_000, 10_000
 CACHE = 600_000
 _LEXICA: dict = {}
 
 
 class Lexicon:
-    """The pieces of a model as a trie, with their scores."""
+    """The pieces of a model as a trie, with their scores.  ``scores``: others than the model's."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, scores: list[float] | None = None):
         sp = loaded(model)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(len(self.pieces))]
-        self.scores = [sp.get_score(i) for i in range(len(self.pieces))]
-        self.encode, self.pairs, self.known = sp.encode, {}, {}  # known: words and their ids, for all tasks of the worker
+        self.scores = scores or [sp.get_score(i) for i in range(len(self.pieces))]
+        self.rank = {p: self.scores[i] for i, p in enumerate(self.pieces) if self.plain[i]}
+        self.number = {p: i for i, p in enumerate(self.pieces) if self.plain[i]}
+        self.longest_run = max((len(p) for p in self.rank if not p.strip(SPACE)), default=1)
+        self.lone_space = np.array([self.number.get(SPACE, 0)], "<u4").tobytes()
+        self.pairs, self.known, self.runs = {}, {}, {}  # known: words and their ids, for all tasks of the worker
         self.root: dict = {}
         for i, piece in enumerate(self.pieces):
-            if self.plain[i] and self.encode(piece) == [i]:  # others are never what merging ends with
+            if self.plain[i] and self.merged(piece) == [piece]:  # others are never what merging ends with
                 node = self.root
                 for c in piece:
                     node = node.setdefault(c, {})
@@ -53,6 +65,26 @@ class Lexicon:
         byte_pieces = set(self.bytes.values())
         self.texts = [bytes([int(p[3:5], 16)]) if i in byte_pieces else p.replace(SPACE, " ").encode() if self.plain[i] else b"" for i, p in enumerate(self.pieces)]
 
+    def merged(self, text: str, border: int = -1) -> list[str] | None:
+        """What merging by rank makes of characters; None as soon as it joins those on both sides of ``border``."""
+        parts, rank = [*text], self.rank.get
+        values = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while values:
+            best = max(values)
+            if best == NEVER:
+                break
+            at = values.index(best)  # the leftmost of equal ones
+            if at + 1 == border:
+                return None
+            border -= at + 1 < border
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del values[at]
+            if at:
+                values[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
+            if at < len(values):
+                values[at] = rank(parts[at] + parts[at + 1], NEVER)
+        return parts
+
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging leaves two pieces side by side as they are; remembered, as few pairs make up most texts."""
         key = left << 32 | right
@@ -60,21 +92,53 @@ class Lexicon:
         if found is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            found = self.pairs[key] = self.encode(self.pieces[left] + self.pieces[right]) == [left, right]
+            a, b = self.pieces[left], self.pieces[right]
+            found = self.pairs[key] = self.merged(a + b, len(a)) is not None
         return found
 
+    def run(self, n: int) -> bytes:
+        """The ids of ``n`` spaces in a row; merging goes from the left, so a long run begins with pieces of one kind."""
+        if n not in self.runs:
+            if len(self.runs) >= RUNS:
+                self.runs.clear()
+            head = self.merged(SPACE * min(n, 4 * self.longest_run))[0]
+            alike = max(0, n // len(head) - 4)
+            parts = [head] * alike + self.merged(SPACE * (n - alike * len(head)))
+            self.runs[n] = self._ids([self.number.get(p, UNKNOWN) for p in parts], parts)
+        return self.runs[n]
+
+    def _ids(self, numbers: list[int], parts: list[str]) -> bytes:
+        ids = []
+        for i, p in zip(numbers, parts, strict=True):
+            ids += [i] if i >= 0 else [self.bytes[b] for b in p.encode()]
+        return np.array(ids, "<u4").tobytes()
+
     def segment(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word (little-endian unsigned 32-bit).
+        """The ids of each word (little-endian unsigned 32-bit), with all the spaces before it."""
+        spaced, plain = {}, set()
+        for word in words:
+            rest = word.lstrip(SPACE)
+            n = len(word) - len(rest)
+            spaced[word] = n, SPACE * min(n, 1) + rest
+            if rest:
+                plain.add(spaced[word][1])
+        found, out = self._segmented(sorted(plain)), {}
+        for word, (n, core) in spaced.items():
+            if not core.strip(SPACE):
+                out[word] = self.run(n)
+            elif n < 2:
+                out[word] = found[core]
+            elif found[core][:4] == self.lone_space:  # the last space isn't joined with the word, but with the run
+                out[word] = self.run(n) + found[core][4:]
+            else:
+                out[word] = self.run(n - 1) + found[core]
+        return out
 
-        Runs of spaces are left to the library: their pieces all have one
-        score, so which ones are merged depends on where a run begins.
-        """
+    def _segmented(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of sorted words with one space before them at most."""
         root, scores, may_follow = self.root, self.scores, self.may_follow
         best, back, opened, before, out = [0.0], [(0, UNKNOWN)], [[]], "", {}
-        for word in sorted(words):
-            if SPACE * 2 in word:
-                out[word] = np.array(self.encode(word), "<u4").tobytes()
-                continue
+        for word in words:
             shared, limit = 0, min(len(word), len(before))
             while shared < limit and word[shared] == before[shared]:
                 shared += 1
@@ -97,12 +161,13 @@ class Lexicon:
                 best.append(top)
                 back.append(came)
                 opened.append(still)
-            ids, d = [], len(word)
+            numbers, parts, d = [], [], len(word)
             while d:
                 start, piece = back[d]
-                ids += [piece] if piece >= 0 else [self.bytes[b] for b in reversed(word[start:d].encode())]
+                numbers.append(piece)
+                parts.append(word[start:d])
                 d = start
-            out[word] = np.array(ids[::-1], "<u4").tobytes()
+            out[word] = self._ids(numbers[::-1], parts[::-1])
             before = word
         return out
 
@@ -147,7 +212,13 @@ def sentencepiece_encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc
 
 
 def sentencepiece_decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with the column decoded: the text of the ids.  Decoding gives what was encoded, but for U+2581, which stands for a space; null ids give null."""
+    """``encoded`` with the column decoded: the text of the ids.
+
+    Decoding gives what was encoded, but for U+2581, which stands for a space;
+    null ids give null.  A column called decoded is replaced.
+    """
+    if ids_col != "decoded":
+        encoded = encoded.drop("decoded")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, decoded string"
     at = encoded.columns.index(ids_col)
 
