@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlume.llm import exact_dedup, packing, quality_classifier, simhash, substring_dedup
-from netlume.llm.common import written
+from netlume.llm.common import PLACE, placed, removed, scratch, small, without, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
+    """One row of each group of near duplicates stays, the one with the smallest id."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -34,15 +34,16 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     What is left of a text that loses words is joined by single spaces; other
     texts stay as they are.  Documents that lose all their words go.  Rows are
-    told apart by id and text, so null and repeated ids are cut each for itself.
+    told apart by where they are stored, so null and repeated ids are cut each
+    for itself.  Only what is left of cut texts is shuffled.
     """
-    found = substring_dedup.substring_dedup(docs, digests=True).where("n_removed > 0")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "kept_text", (F.col("n_words") > F.col("n_removed")).alias("_some"))
-    found = written(found, "cut").dropDuplicates(["_id", "_md5"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_md5"))
-    cut = docs.join(found, same, "left").where(F.coalesce("_some", F.lit(True)))
-    cut = cut.withColumn("text", F.coalesce("kept_text", "text"))
-    return cut.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long")).select(*docs.columns)
+    own = placed(docs)
+    cut = written(substring_dedup.substring_dedup(own, places=True).where("n_removed > 0").select(*PLACE, F.when(F.col("n_words") > F.col("n_removed"), F.col("kept_text")).alias("text")), "cut")
+    places = written(cut.select(*PLACE), "cut_places")
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    changed = own.select(*others, *PLACE).join(small(places), [*PLACE]).join(cut.where("text is not null"), [*PLACE])
+    changed = changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return without(own, places).select(*docs.columns).unionByName(changed)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what a stage writes on its way goes when its result is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, "stage")
-    return docs
+    before = None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), "stage", stays=True)
+        if before is not None:
+            removed(spark, before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
