@@ -81,18 +81,19 @@ def rates(vector_packets: DataFrame, thresholds: Thresholds = Thresholds(), seco
     return buckets.withColumn("rate", F.sum("n").over(w)).groupBy(*KEY, "interval_ts", "episode").agg(F.max("rate").alias("interval_ppm"))
 
 
-def attack_rows(packets: DataFrame, thresholds: Thresholds = Thresholds(), seconds: int = INTERVAL) -> DataFrame:
+def attack_rows(packets: DataFrame, thresholds: Thresholds = Thresholds(), seconds: int = INTERVAL, first: int | None = None) -> DataFrame:
     """All vectors, an OUTPUT row for each interval in which they have packets, whether they reach the thresholds or not.
 
     ``packets`` are tagged ones (column maxmind); counts are those of the
-    episode up to the interval's end.
+    episode up to the interval's end.  With ``first``, the first packet's
+    second, the interval that this is in is called by it.
     """
     tags = {"continent": F.coalesce("maxmind.continent", F.lit(NOWHERE)), "country": F.coalesce("maxmind.country", F.lit(NOWHERE))}
     v = vectors(packets).withColumns({**tags, "interval_ts": aligned(F.col("ts_sec"), seconds), "_small": F.col("caplen") <= LARGEST_FIRST})
-    first = F.struct("ts_sec", "ts_usec", "seq", "caplen", "attack_port", "target_port", "continent", "country", F.col("l2_bytes").alias("packet"))
+    earliest = F.struct("ts_sec", "ts_usec", "seq", "caplen", "attack_port", "target_port", "continent", "country", F.col("l2_bytes").alias("packet"))
     by_interval = v.groupBy(*KEY, "interval_ts").agg(
         F.count("*").alias("packets"), F.sum("mismatch").alias("mismatches"), F.sum(F.col("ip_len").cast("long")).alias("bytes"),
-        F.min(F.when(F.col("_small"), first)).alias("first"), F.max(F.struct("ts_sec", "ts_usec")).alias("last"),
+        F.min(F.when(F.col("_small"), earliest)).alias("first"), F.max(F.struct("ts_sec", "ts_usec")).alias("last"),
     )
     episodes = _with_episodes(by_interval, seconds)
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(n).cast("long").alias("value")) for k, n in enumerate(("attacker_slash16", "attack_port", "target_port"))))
@@ -102,8 +103,9 @@ def attack_rows(packets: DataFrame, thresholds: Thresholds = Thresholds(), secon
     joined = episodes.join(rates(v, thresholds, seconds, episodes), [*KEY, "interval_ts", "episode"]).join(new, [*KEY, "interval_ts", "episode"], "left")
     w = Window.partitionBy(*KEY, "episode").orderBy("interval_ts").rowsBetween(Window.unboundedPreceding, 0)
     so_far = lambda n: F.sum(F.coalesce(n, F.lit(0))).over(w).cast("long")
+    begin = F.col("interval_ts") if first is None else F.greatest("interval_ts", F.lit(first))
     out = joined.select(
-        F.col("interval_ts").alias("bin_timestamp"), *KEY, so_far("new0").alias("attacker_slash16_cnt"), so_far("new1").alias("attack_port_cnt"), so_far("new2").alias("target_port_cnt"),
+        begin.alias("bin_timestamp"), *KEY, so_far("new0").alias("attacker_slash16_cnt"), so_far("new1").alias("attack_port_cnt"), so_far("new2").alias("target_port_cnt"),
         so_far("packets").alias("packet_cnt"), so_far("mismatches").alias("icmp_mismatches"), so_far("bytes").alias("byte_cnt"), F.max("interval_ppm").over(w).alias("max_ppm_interval"),
         F.min("first").over(w).alias("f"), F.max("last").over(w).alias("l"),
     ).where("f is not null")
@@ -121,6 +123,6 @@ def reached(thresholds: Thresholds = Thresholds()) -> Column:
     return (F.col("max_ppm_interval") >= thresholds.rate) & (F.col("packet_cnt") >= thresholds.packets) & (lasted >= thresholds.seconds * 1_000_000)
 
 
-def attacks(packets: DataFrame, thresholds: Thresholds = Thresholds(), seconds: int = INTERVAL) -> DataFrame:
+def attacks(packets: DataFrame, thresholds: Thresholds = Thresholds(), seconds: int = INTERVAL, first: int | None = None) -> DataFrame:
     """The rows of ``attack_rows`` that reach all thresholds."""
-    return attack_rows(packets, thresholds, seconds).where(reached(thresholds))
+    return attack_rows(packets, thresholds, seconds, first).where(reached(thresholds))

@@ -83,16 +83,20 @@ def _any(*filters: Column) -> Column:
     return reduce(Column.__or__, filters)
 
 
+#: Bytes of peer-to-peer messages, in hexadecimal.
+TORRENT_HANDSHAKE = "13426974546f7272656e742070726f746f636f6c"
+TORRENT_SHORT = "7fffffffab020400010000000800000000000000"
+
+
 def _bittorrent() -> Column:
     head = _payload_in(0, "64313a61", "64313a72") & _payload(4, "64323a69") & _payload(8, "6432303a")
-    handshake = "".join(("13426974", "546f7272", "656e7420", "70726f74", "6f636f6c"))
     end = F.substring("payload", -10, 10) == F.unhex(F.lit("00080000000000000000"))
     return reduce(Column.__or__, (
         (c("udp_len") >= 20) & (c("payload_len") >= 12) & head,
-        (c("udp_len") >= 48) & (c("payload_len") >= 40) & _payload(20, handshake),
+        (c("udp_len") >= 48) & (c("payload_len") >= 40) & _payload(20, TORRENT_HANDSHAKE),
         (c("ip_len") >= 58) & _payload_in(0, "4102", "2102", "3102", "1102") & (c("payload_len") >= 10) & (c("payload_len") >= c("udp_len") - 8) & end,
         (c("ip_len") == 48) & _payload_in(0, "4100", "2100", "3102", "1100"),
-        (c("ip_len") == 61) & _payload(12, "7fffffff" + "ab020400" + "01000000" + "08000000" + "00000000"),
+        (c("ip_len") == 61) & _payload(12, TORRENT_SHORT),
     ))
 
 

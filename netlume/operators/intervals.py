@@ -56,6 +56,6 @@ def late(packets: DataFrame, stream: str = "stream", arrival: str = "arrival", s
     return packets.withColumn("late", F.coalesce(F.col("ts_sec") < seen, F.lit(False)))
 
 
-def counter(packets: DataFrame, seconds: int = INTERVAL) -> DataFrame:
+def counter(packets: DataFrame, seconds: int = INTERVAL, first: int | None = None) -> DataFrame:
     """Packets by interval, and nothing else."""
-    return packets.groupBy(aligned(F.col("ts_sec"), seconds).alias("interval_ts")).agg(F.count("*").alias("packet_cnt"))
+    return assigned(packets, seconds, first).groupBy("interval_ts").agg(F.count("*").alias("packet_cnt"))

@@ -1,10 +1,11 @@
 """Metrics by interval: packets, bytes, and exact numbers of sources, destinations and source ASNs.
 
-A packet counts for many metrics at once.  Packets are first collapsed to
-their distinct tags and addresses, with sums; only then do they fan out to
-metrics, and to the three kinds of values to count.  One shuffle on (interval,
-metric, kind, value) removes repetitions, and spreads a metric that every
-packet has over all its addresses; a second one, of counts, ends it.
+A packet counts for many metrics at once, and for the values of three kinds in
+each.  Metrics are numbers while they are counted; only the few rows of a
+result get names.  Packets fan out where they are, and map-side sums by
+(interval, metric, kind, value) collapse what repeats before the one shuffle
+that removes repetitions, which spreads even a metric that every packet has
+over all its addresses; a second one, of counts, ends it.
 """
 
 from __future__ import annotations
@@ -44,10 +45,31 @@ UNLABELED = "unlabeled"
 _GEO = {"maxmind_continent", "maxmind_country", "netacq_continent", "netacq_country", "netacq_region", "netacq_polygon"}
 
 
-def _metric(name: str, value: Column, when: Column, parent: Column | None = None) -> Column:
-    """A metric of a packet, null where it has none."""
-    full = F.lit(CLASSES[name]) if parent is None else F.concat_ws(".", F.lit(CLASSES[name]), parent)
-    return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(name).alias("metric_class"), full.alias("metric_name"), value.cast("string").alias("metric_value")))
+_ID = {name: k for k, name in enumerate(CLASSES)}
+_SEPARATOR = "\x1f"
+_LABELS = tuple(FILTER_LABELS.values())
+
+
+def _metric(name: str, when: Column, number: Column | None = None, place: Column | None = None) -> Column:
+    """A metric of a packet, as its class and a number or a place, null where it has none."""
+    number = F.lit(0) if number is None else number
+    place = F.lit(None) if place is None else place
+    return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(_ID[name]).cast("byte").alias("id"), number.cast("long").alias("number"), place.cast("string").alias("place")))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Rows with metric_class, metric_name and metric_value in place of id, number and place."""
+    ident, number, place = F.col("id"), F.col("number"), F.col("place")
+    base = F.element_at(F.array(*map(F.lit, CLASSES.values())), ident.cast("int") + 1)
+    countries = ident.isin(*(k for n, k in _ID.items() if n.endswith("_country")))
+    value = (
+        F.when(ident == _ID["combined"], F.lit(""))
+        .when(ident == _ID["icmp"], F.concat(F.lit("type."), F.shiftright(number, 16).cast("string"), F.lit(".code."), number.bitwiseAND(0xFFFF).cast("string")))
+        .when(ident == _ID["filter"], F.element_at(F.array(*map(F.lit, _LABELS)), F.when(ident == _ID["filter"], number + 1).otherwise(1).cast("int")))
+        .when(place.isNotNull(), F.substring_index(place, _SEPARATOR, -1)).otherwise(number.cast("string"))
+    )
+    name = F.when(countries, F.concat_ws(".", base, F.substring_index(place, _SEPARATOR, 1))).otherwise(base)
+    return rows.withColumns({"metric_class": F.element_at(F.array(*map(F.lit, CLASSES)), ident.cast("int") + 1), "metric_name": name, "metric_value": value}).drop("id", "number", "place")
 
 
 def _split(label: Column) -> tuple[Column, Column]:
@@ -64,38 +86,38 @@ def chosen(limit: set[str] | None = None, geo_lite: bool = False) -> list[str]:
 
 
 def metrics(names: list[str], ports: dict[str, str] | None = None) -> Column:
-    """The array of a tagged packet's metrics.  ``ports``: allow-lists for tcp_src_port and so on."""
+    """The array of a tagged packet's metrics, null where it has one not.  ``ports``: allow-lists for tcp_src_port and so on."""
     c = F.col
     tagged, made = c("has_basic"), []
     if "combined" in names:
-        made.append(_metric("combined", F.lit(""), F.lit(True)))
+        made.append(_metric("combined", F.lit(True)))
     if "protocol" in names:
-        made.append(_metric("protocol", c("tag_protocol"), tagged))
+        made.append(_metric("protocol", tagged, c("tag_protocol")))
     if "icmp" in names:
-        code = F.concat(F.lit("type."), c("tag_src_port"), F.lit(".code."), c("tag_dst_port"))
-        made.append(_metric("icmp", code, tagged & (c("tag_protocol") == 1) & ~((c("tag_src_port") == 255) & (c("tag_dst_port") == 255))))
+        code = c("tag_src_port").cast("long") * 65536 + c("tag_dst_port")
+        made.append(_metric("icmp", tagged & (c("tag_protocol") == 1) & ~((c("tag_src_port") == 255) & (c("tag_dst_port") == 255)), code))
     for protocol, number in (("tcp", 6), ("udp", 17)):
         for side in ("src", "dst"):
             if (name := f"{protocol}_{side}_port") in names:
                 port = c(f"tag_{side}_port")
-                made.append(_metric(name, port, tagged & (c("tag_protocol") == number) & port_allowed(port, (ports or {}).get(name))))
+                made.append(_metric(name, tagged & (c("tag_protocol") == number) & port_allowed(port, (ports or {}).get(name)), port))
     for provider in ("maxmind", "netacq"):
         there = c(provider).isNotNull()
         if f"{provider}_continent" in names:
-            made.append(_metric(f"{provider}_continent", c(f"{provider}.continent"), there))
+            made.append(_metric(f"{provider}_continent", there, place=c(f"{provider}.continent")))
         if f"{provider}_country" in names:
-            made.append(_metric(f"{provider}_country", c(f"{provider}.country"), there, c(f"{provider}.continent")))
+            made.append(_metric(f"{provider}_country", there, place=F.concat(c(f"{provider}.continent"), F.lit(_SEPARATOR), c(f"{provider}.country"))))
     if "asn" in names:
-        made.append(_metric("asn", c("prefix_asn"), c("prefix_asn").isNotNull()))
+        made.append(_metric("asn", c("prefix_asn").isNotNull(), c("prefix_asn")))
     if "netacq_region" in names:
-        made.append(_metric("netacq_region", c("netacq.region"), c("netacq").isNotNull() & (c("netacq.region") > 0)))
+        made.append(_metric("netacq_region", c("netacq").isNotNull() & (c("netacq.region") > 0), c("netacq.region")))
     if "filter" in names:
-        made += [_metric("filter", F.lit(label), c("filterbits").bitwiseAND(F.lit(1 << NAMES.index(n))) != 0) for n, label in FILTER_LABELS.items()]
-    out = F.filter(F.array(*made), lambda m: m.isNotNull())
+        made += [_metric("filter", c("filterbits").bitwiseAND(F.lit(1 << NAMES.index(n))) != 0, F.lit(k)) for k, n in enumerate(FILTER_LABELS)]
+    out = F.array(*made) if made else None
     if "netacq_polygon" in names:
         ids = F.coalesce(polygon_ids(c("netacq.polygons")), F.array().cast("array<long>"))
-        of = F.transform(ids, lambda p: F.struct(F.lit("netacq_polygon").alias("metric_class"), F.lit(CLASSES["netacq_polygon"]).alias("metric_name"), p.cast("string").alias("metric_value")))
-        out = F.concat(out, of)
+        of = F.transform(ids, lambda p: F.struct(F.lit(_ID["netacq_polygon"]).cast("byte").alias("id"), p.alias("number"), F.lit(None).cast("string").alias("place")))
+        out = of if out is None else F.concat(out, of)
     return out
 
 
@@ -112,14 +134,6 @@ def counted_ip(ip: Column, method: str = "none", bits: int = 32, interval: Colum
     raise ValueError(f"no such way of counting: {method!r}")
 
 
-TAGS = ["has_basic", "tag_protocol", "tag_src_port", "tag_dst_port", "maxmind", "netacq", "prefix_asn", "filterbits"]
-_FROM = {
-    "protocol": {"tag_protocol"}, "icmp": {"tag_protocol", "tag_src_port", "tag_dst_port"}, "asn": {"prefix_asn"}, "filter": {"filterbits"},
-    **{f"{p}_{s}_port": {"tag_protocol", f"tag_{s}_port"} for p in ("tcp", "udp") for s in ("src", "dst")},
-    **{k: {k.split("_")[0]} for k in _GEO},
-}
-
-
 def report(tagged: DataFrame, seconds: int = INTERVAL, limit: set[str] | None = None, ports: dict[str, str] | None = None, label: str = UNLABELED, first: int | None = None, src_method: str = "none", src_bits: int = 32, dst_method: str = "none", dst_bits: int = 32, geo_lite: bool = False) -> DataFrame:
     """A row for each interval and metric that any packet has: OUTPUT, and metric_class.
 
@@ -127,26 +141,23 @@ def report(tagged: DataFrame, seconds: int = INTERVAL, limit: set[str] | None =
     as value; ``labelled`` puts their names in.
     """
     names = chosen(limit, geo_lite)
-    need = {"has_basic", "prefix_asn"}.union(*(_FROM.get(n, set()) for n in names))
     packets = assigned(tagged.where("src_ip is not null"), seconds, first)
-    keys = [t for t in TAGS if t in need]
-    distinct = packets.groupBy("interval_ts", "src_ip", "dst_ip", *keys).agg(F.count("*").alias("pkts"), F.sum(F.col("ip_len").cast("long")).alias("bytes"))
     none = F.lit(0).cast("long")
     kinds = F.array(*(
-        F.named_struct(F.lit("kind"), F.lit(kind), F.lit("value"), value.cast("long"), F.lit("pkts"), pkts.cast("long"), F.lit("bytes"), size.cast("long"))
+        F.named_struct(F.lit("kind"), F.lit(kind).cast("byte"), F.lit("value"), value.cast("long"), F.lit("pkts"), pkts.cast("long"), F.lit("bytes"), size.cast("long"))
         for kind, (value, pkts, size) in enumerate((
-            (counted_ip(F.col("src_ip"), src_method, src_bits, F.col("interval_ts"), seconds), F.col("pkts"), F.col("bytes")),
+            (counted_ip(F.col("src_ip"), src_method, src_bits, F.col("interval_ts"), seconds), F.lit(1), F.coalesce("ip_len", F.lit(0))),
             (counted_ip(F.col("dst_ip"), dst_method, dst_bits, F.col("interval_ts"), seconds), none, none),
             (F.col("prefix_asn"), none, none),
         ))
     ))
-    fanned = distinct.select("interval_ts", F.explode(metrics(names, ports)).alias("m"), kinds.alias("kinds")).select("interval_ts", "m.*", F.inline("kinds"))
-    metric = ["interval_ts", "metric_class", "metric_name", "metric_value"]
+    fanned = packets.select("interval_ts", F.explode(metrics(names, ports)).alias("m"), kinds.alias("kinds")).where("m is not null").select("interval_ts", "m.*", F.inline("kinds")).where("kind = 0 or value is not null")
+    metric = ["interval_ts", "id", "number", "place"]
     values = fanned.groupBy(*metric, "kind", "value").agg(F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes"))
     number = lambda kind: F.count(F.when(F.col("kind") == kind, F.col("value")))
-    out = values.groupBy(*metric).agg(
+    out = _named(values.groupBy(*metric).agg(
         number(0).alias("src_ip_cnt"), number(1).alias("dest_ip_cnt"), F.sum("pkts").alias("pkt_cnt"), F.sum("bytes").alias("byte_cnt"), number(2).alias("src_asn_cnt")
-    )
+    ))
     return out.withColumnRenamed("interval_ts", "bin_timestamp").withColumn("source_label", F.lit(label)).select(*OUTPUT, "metric_class")
 
 

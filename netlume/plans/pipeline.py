@@ -8,7 +8,7 @@ until a plugin's result is read or written.  Plugins are looked up by name;
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +32,14 @@ def on(value) -> bool:
 
 @dataclass
 class Config:
-    """What a run is.  ``plugins``: (name, options); ``providers``: range tables by name."""
+    """What a run is.
+
+    ``plugins``: (name, options); ``providers``: range tables by name;
+    ``labels``: tables (id, label) of ``regions`` and ``polygons``, and
+    ``countries`` (continent, country) that reports have rows for even where
+    nothing came from them.  While a run is planned, ``captured`` are the
+    packets before any are removed, and ``first`` is the second of the first.
+    """
 
     sources: list[str] = field(default_factory=list)
     source_format: str = "pcap"
@@ -46,7 +53,10 @@ class Config:
     remove: dict[str, bool] = field(default_factory=dict)
     providers: dict[str, tagging.Ranges] = field(default_factory=dict)
     plugins: list[tuple[str, dict]] = field(default_factory=list)
+    labels: dict[str, DataFrame] = field(default_factory=dict)
     threads: int = 4
+    captured: DataFrame | None = None
+    first: int | None = None
 
     def __post_init__(self):
         if self.interval <= 0:
@@ -103,14 +113,14 @@ def plugin(name: str) -> Callable[[Plugin], Plugin]:
 
 @plugin("flowtuple")
 def _flows(tagged, run, options):
-    rows = flows.flows(tagged, run.interval)
+    rows = flows.flows(tagged, run.interval, run.first)
     return flows.ordered(rows) if on(options.get("sorttuples", "no")) else rows
 
 
 @plugin("dos")
 def _dos(tagged, run, options):
     words = {"min_attack_packets": "packets", "min_attack_duration": "seconds", "min_attack_packet_rate": "rate", "rate_window_size": "window", "rate_window_slide": "slide"}
-    return dos.attacks(tagged, dos.Thresholds(**{words[k]: int(v) for k, v in options.items() if k in words}), run.interval)
+    return dos.attacks(tagged, dos.Thresholds(**{words[k]: int(v) for k, v in options.items() if k in words}), run.interval, run.first)
 
 
 _LIMITS = {
@@ -127,16 +137,19 @@ def _report(tagged, run, options):
     src, dst = count("source_ip_counting", "src_ip_counting"), count("dest_ip_counting", "dst_ip_counting")
     way = lambda text: (text.partition("/")[0].strip(), int(text.partition("/")[2] or 32))
     (src_method, src_bits), (dst_method, dst_bits) = way(src), way(dst)
+    lite = options.get("geo_mode") == "lite"
     rows = report.report(
-        tagged, run.interval, limit or None, ports, str(options.get("output_row_label", report.UNLABELED)), None, src_method, src_bits, dst_method, dst_bits, options.get("geo_mode") == "lite"
+        tagged, run.interval, limit or None, ports, str(options.get("output_row_label", report.UNLABELED)), run.first, src_method, src_bits, dst_method, dst_bits, lite
     )
-    rows = report.complete_only(rows, intervals.intervals(tagged, run.interval))
+    rows = report.complete_only(rows, intervals.intervals(run.captured, run.interval))
+    rows = report.zero_filled(rows, report.expected(tagged.sparkSession, report.chosen(limit or None, lite), ports, run.labels.get("countries")))
+    rows = report.labelled(rows, run.labels.get("regions"), run.labels.get("polygons"))
     return report.time_series(rows) if options.get("output_format") == "libtimeseries" else rows.drop("metric_class")
 
 
 @plugin("null")
 def _count(tagged, run, options):
-    return intervals.counter(tagged, run.interval)
+    return intervals.counter(tagged, run.interval, run.first)
 
 
 @plugin("archive")
@@ -146,28 +159,34 @@ def _archive(tagged, run, options):
     return archive.rotated(archive.chronological(tagged.select(*SCHEMA.names)), run.interval, run.rotate)
 
 
+def captured(packets: DataFrame, run: Config) -> DataFrame:
+    """Packets in the run's time that its capture filter lets through; both are predicates that Catalyst takes down to the source."""
+    kept = packets.where(filters.within_time(run.start, run.end))
+    return kept.where(compile_filter(run.basic_filter)) if run.basic_filter else kept
+
+
 def prepared(packets: DataFrame, run: Config) -> DataFrame:
-    """Packets in the run's time that its filters leave, with tags.
+    """Captured packets that removal leaves, with tags.
 
-    Time, capture filter and removal come first, as predicates of the packets,
-    so that Catalyst takes them down to the source.
+    Removal has no say in which intervals there are, where the first one
+    begins, and which are complete.
     """
-    kept = packets.where(filters.within_time(run.start, run.end))
-    if run.basic_filter:
-        kept = kept.where(compile_filter(run.basic_filter))
+    kept = captured(packets, run)
     if any(run.remove.values()):
         kept = kept.where(filters.removal(**run.remove))
     return tagging.tag(kept, **run.providers)
 
 
 def results(spark: SparkSession, run: Config, packets: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The result of each plugin, by its name."""
+    """The result of each plugin, by its name; one row, the first packet's second, comes to the driver."""
+    if unknown := [n for n, _ in run.plugins if n.lower() not in PLUGINS]:
+        raise ValueError(f"no such plugins: {unknown}")
     if packets is None:
         packets = spark.read.format(run.source_format).option("paths", "\n".join(run.sources)).load() if run.source_format == "pcap" else spark.read.format(run.source_format).load(run.sources)
+    all_packets = captured(packets, run)
+    own = replace(run, captured=all_packets, first=intervals.first_second(all_packets))
     tagged = prepared(packets, run)
-    if unknown := [n for n, _ in run.plugins if n.lower() not in PLUGINS]:
-        raise ValueError(f"no such plugins: {unknown}")
-    return {n: PLUGINS[n.lower()](tagged, run, options) for n, options in run.plugins}
+    return {n: PLUGINS[n.lower()](tagged, own, options) for n, options in run.plugins}
 
 
 def write(result: DataFrame, run: Config, name: str, time_column: str | None = None, fmt: str = "parquet", **options) -> str:

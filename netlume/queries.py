@@ -7,13 +7,14 @@ DataFrame code; filters, lookups, episodes and all the rest are written anew.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.bpf import compile_filter
 from .functions.u32 import dotted, network
 from .operators import archive, dos, filters, flows, intervals, report, tagging
+from .operators.ordering import placed, with_group_size
 from .sinks import text as text_sink
 from .sources.packets import synthetic_packets, synthetic_sql
 
@@ -80,10 +81,17 @@ _TORRENT = (
     "OR (ip_len = 48 AND substr(payload_hex, 1, 4) IN ('4100', '2100', '3102', '1100')) "
     f"OR (ip_len = 61 AND {_hex(12, '7fffffffab020400010000000800000000000000')}))"
 )
-_SPECIAL = (
-    "src_ip < 16777216 OR src_ip >> 24 = 10 OR src_ip >> 24 = 127 OR src_ip >> 16 = 43518 OR src_ip >> 20 = 2753 OR src_ip >> 8 = 12582912 OR src_ip >> 8 = 12582914 "
-    "OR src_ip >> 8 = 12605539 OR src_ip >> 16 = 49320 OR src_ip >> 17 = 25353 OR src_ip >> 8 = 12989284 OR src_ip >> 8 = 13303921 OR src_ip >= 3758096384"
-)
+#: Networks that aren't routed.
+_NETWORKS = "0.0.0.0/8 10.0.0.0/8 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.88.99.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/3"
+
+
+def _in_network(net: str) -> str:
+    address, bits = net.split("/")
+    low = int.from_bytes(bytes(map(int, address.split("."))))
+    return f"src_ip BETWEEN {low} AND {low + (1 << 32 - int(bits)) - 1}"
+
+
+_SPECIAL = " OR ".join(map(_in_network, _NETWORKS.split()))
 _SYN = "protocol = 6 AND (tcp_flags & 2) <> 0 AND (tcp_flags & 16) = 0"
 _NARROW = {
     4: "protocol NOT IN (1, 17, 41) AND (protocol <> 6 OR ((tcp_flags & 63) <> 0 AND (tcp_flags & 63) NOT IN (2, 16, 4, 1, 3, 18, 17, 24, 25)))",
@@ -310,8 +318,8 @@ def flows_merged(spark, sf_dir):
 
 @query(f"""{TAGGED}{_FLOWS} SELECT time, place, protocol, src_ip, dst_ip FROM (SELECT *, row_number() OVER (PARTITION BY time ORDER BY protocol, ttl, tcp_flags, src_ip, dst_ip, src_port, dst_port, ip_len, tcp_synlen, tcp_synwinlen) AS place FROM flows)""")
 def flows_ordered(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("time").orderBy(*flows.ORDER, "tcp_synlen", "tcp_synwinlen"))
-    return _flows(spark, sf_dir).withColumn("place", place).select("time", "place", "protocol", "src_ip", "dst_ip")
+    leading = [F.col("protocol"), F.col("ttl"), F.col("tcp_flags"), F.shiftright("src_ip", 24)]
+    return placed(_flows(spark, sf_dir), ["time"], leading, [*flows.ORDER[3:], "tcp_synlen", "tcp_synwinlen"]).select("time", "place", "protocol", "src_ip", "dst_ip")
 
 
 @query(f"{PACKETS}{_hash_sql('packets')} SELECT (CASE WHEN (ip_off & 8191) = 0 THEN hash ELSE 0 END) % 16 AS kafka_partition, count(*) AS packet_cnt FROM h5 GROUP BY 1")
@@ -327,7 +335,8 @@ def flows_messages(spark, sf_dir):
     return flows.packed_record(_flows(spark, sf_dir), "telescope").select("topic", F.hex("value").alias("value_hex"))
 
 
-@query()
+_SAMPLE_KEY = " || ',' || ".join(n.strip() for n in f"time, {_FLOW_KEY}".split(","))
+@query(f"""{TAGGED}{_FLOWS} SELECT * FROM flows WHERE ('0x' || substr(md5({_SAMPLE_KEY}), 1, 8))::BIGINT % 10000 < 2500""")
 def flows_sampled(spark, sf_dir):
     return flows.sampled(_flows(spark, sf_dir), 2500)
 
@@ -336,8 +345,7 @@ _DOT = "((({0}) >> 24) || '.' || ((({0}) >> 16) & 255) || '.' || ((({0}) >> 8) &
 @query(f"""{TAGGED}{_FLOWS} SELECT time, {_DOT.format('src_ip')} || '|' || {_DOT.format('dst_ip')} || '|' || src_port || '|' || dst_port || '|' || protocol || '|' || ttl || '|0x' || printf('%02x', tcp_flags)
 || '|' || ip_len || ',' || packet_cnt AS line, count(*) OVER (PARTITION BY time) AS flow_cnt FROM flows""")
 def flows_ascii(spark, sf_dir):
-    rows = _flows(spark, sf_dir)
-    return rows.select("time", text_sink.flow_line().alias("line"), F.count("*").over(Window.partitionBy("time")).alias("flow_cnt"))
+    return with_group_size(_flows(spark, sf_dir), ["time"], "flow_cnt").select("time", text_sink.flow_line().alias("line"), "flow_cnt")
 
 
 # ---------------------------------------------------------------- reports
@@ -499,9 +507,8 @@ def episodes(spark, sf_dir):
 SELECT *, row_number() OVER (PARTITION BY ts_sec - ts_sec % 60 ORDER BY ts_sec, ts_usec, input_idx, seq) AS place FROM two""")
 def archive_order(spark, sf_dir):
     packets = synthetic_packets(spark, sf_dir).select("ts_sec", "ts_usec", "seq")
-    merged = archive.chronological(packets, packets.withColumn("ts_sec", F.col("ts_sec") + 30))
-    place = F.row_number().over(Window.partitionBy(intervals.aligned(F.col("ts_sec"))).orderBy("ts_sec", "ts_usec", "input_idx", "seq"))
-    return merged.withColumn("place", place)
+    merged = archive.chronological(packets, packets.withColumn("ts_sec", F.col("ts_sec") + 30)).withColumn("minute", intervals.aligned(F.col("ts_sec")))
+    return placed(merged, ["minute"], [F.col("ts_sec"), F.floor(F.col("ts_usec") / 1000)], ["ts_usec", "input_idx", "seq"]).drop("minute")
 
 
 @query("""SELECT epoch_us(ts) // 1000000 - (epoch_us(ts) // 1000000) % 86400 AS interval_ts, sum(user_id)::BIGINT AS accepted, sum(CASE WHEN event_type <> 'click' THEN event_id END)::BIGINT AS dropped FROM events GROUP BY 1""")

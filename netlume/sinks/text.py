@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.u32 import dotted
 from ..operators.flows import ORDER
+from ..operators.ordering import with_group_size
 
 CATEGORIES = ("flowtuple_backscatter", "flowtuple_icmpreq", "flowtuple_other")
 """The format names three categories; all flows are in the last."""
@@ -63,9 +64,9 @@ def file_name(template: str, plugin: str = "", monitor: str = "", ts: int = 0, t
 def time_series_messages(points: DataFrame, prefix: str = "", batch: int = 1000) -> DataFrame:
     """Points as messages (topic, key, value): lines of one time, so many in a message at most, under a key that keeps a time together."""
     topic = f"{prefix}.timeseries" if prefix else "timeseries"
-    part = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("ts")) / batch)))
+    part = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.ceil(F.col("_of_time") / batch)))
     line = F.concat_ws(" ", "key", F.col("value").cast("string"), F.col("ts").cast("string"))
-    messages = points.withColumn("_part", part).groupBy("ts", "_part").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("value"))
+    messages = with_group_size(points, ["ts"], "_of_time").withColumn("_part", part).groupBy("ts", "_part").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("value"))
     return messages.select(F.lit(topic).alias("topic"), F.col("ts").cast("string").alias("key"), "value")
 
 
