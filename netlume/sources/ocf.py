@@ -1,8 +1,9 @@
 """Avro object container files without a jar: formats "ocf" for reading and writing.
 
-Codecs null and deflate; records of null, boolean, int, long, float, double,
-bytes, string, enum, fixed, arrays, maps and unions of null and one type.  A
-file is a partition.  On close a file may get an empty ``.done`` beside it.
+Codecs null, deflate and snappy; records of null, boolean, int, long, float,
+double, bytes, string, enum, fixed, arrays, maps and unions of null and one
+type.  A file is a partition.  On close a file may get an empty ``.done``
+beside it.  Files are on any file system that ``files`` knows.
 """
 
 from __future__ import annotations
@@ -11,16 +12,16 @@ import io
 import json
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from .pcap import _files
+from .files import Output, listed, opened
 
 MAGIC, BLOCK = b"Obj\x01", 16 * 1024
 _SPARK = {"boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType(), "null": T.NullType()}
@@ -149,6 +150,36 @@ def _header(f) -> tuple[dict, str, bytes]:
     return json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null").decode(), f.read(16)
 
 
+CODECS = ("null", "deflate", "snappy")
+
+
+def packed(codec: str, data: bytes) -> bytes:
+    """A block in its codec; a snappy block ends with the CRC-32 of what is in it."""
+    if codec == "deflate":
+        c = zlib.compressobj(wbits=-15)
+        return c.compress(data) + c.flush()
+    if codec == "snappy":
+        return pa.compress(data, codec="snappy", asbytes=True) + zlib.crc32(data).to_bytes(4)
+    return data
+
+
+def unpacked(codec: str, data: bytes, name: str = "") -> bytes:
+    if codec == "deflate":
+        return zlib.decompress(data, -15)
+    if codec == "snappy":
+        size = shift = at = 0
+        while True:  # a snappy block begins with its unpacked size
+            size |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                break
+        out = pa.decompress(data[:-4], decompressed_size=size, codec="snappy", asbytes=True)
+        if zlib.crc32(out) != int.from_bytes(data[-4:]):
+            raise ValueError(f"{name} is damaged")
+        return out
+    return data
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -162,17 +193,16 @@ class OcfReader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        with opened(partition.path) as f:
             kind, codec, sync = _header(f)
-            if codec not in ("null", "deflate"):
+            if codec not in CODECS:
                 raise ValueError(f"{partition.path}: no reader for codec {codec}")
             while True:
                 try:
                     n = _long(f)
                 except EOFError:
                     return
-                data = _bytes(f)
-                block = io.BytesIO(zlib.decompress(data, -15) if codec == "deflate" else data)
+                block = io.BytesIO(unpacked(codec, _bytes(f), partition.path))
                 for _ in range(n):
                     yield _value(block, kind)
                 if f.read(16) != sync:
@@ -181,29 +211,26 @@ class OcfReader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    path: str
+    name: str
 
 
 class OcfWriter(DataSourceWriter):
-    def __init__(self, schema: T.StructType, options: dict):
-        self.kind, self.path = avro_schema(schema), options["path"].removeprefix("file://")
-        self.codec, self.done = options.get("codec", "deflate"), options.get("done", "false") == "true"
-        if self.codec not in ("null", "deflate"):
+    def __init__(self, schema: T.StructType, options: dict, overwrite: bool):
+        self.kind, self.codec = avro_schema(schema), options.get("codec", "deflate")
+        if self.codec not in CODECS:
             self.codec = "deflate"
+        self.output = Output(options["path"], overwrite, ".avro", options.get("done", "false") == "true")
 
     def write(self, rows) -> _Written:
-        os.makedirs(self.path, exist_ok=True)
-        path, sync = os.path.join(self.path, f".{uuid.uuid4().hex}.avro"), os.urandom(16)
+        f, name = self.output.new()
+        sync = os.urandom(16)
         meta = {"avro.schema": json.dumps(self.kind).encode(), "avro.codec": self.codec.encode()}
-        with open(path, "wb") as f:
+        with f:
             f.write(MAGIC + _varint(len(meta)) + b"".join(_varint(len(k)) + k.encode() + _varint(len(v)) + v for k, v in meta.items()) + b"\x00" + sync)
             held, size = [], 0
 
             def flush():
-                data = b"".join(held)
-                if self.codec == "deflate":
-                    c = zlib.compressobj(wbits=-15)
-                    data = c.compress(data) + c.flush()
+                data = packed(self.codec, b"".join(held))
                 f.write(_varint(len(held)) + _varint(len(data)) + data + sync)
 
             for row in rows:
@@ -214,21 +241,13 @@ class OcfWriter(DataSourceWriter):
                     held, size = [], 0
             if held:
                 flush()
-        return _Written(path)
+        return _Written(name)
 
     def commit(self, messages) -> None:
-        os.makedirs(self.path, exist_ok=True)
-        for k, p in enumerate(sorted(m.path for m in messages if m)):
-            final = os.path.join(self.path, f"part-{k:05d}-{os.path.basename(p)[1:]}")
-            os.rename(p, final)
-            if self.done:
-                open(f"{final}.done", "w").close()
-        open(os.path.join(self.path, "_SUCCESS"), "w").close()
+        self.output.commit([m.name for m in messages if m])
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+        self.output.abort()
 
 
 class OcfSource(DataSource):
@@ -237,15 +256,14 @@ class OcfSource(DataSource):
         return "ocf"
 
     def schema(self):
-        paths = _files(self.options)
-        with open(paths[0], "rb") as f:
+        with opened(listed(self.options)[0]) as f:
             return spark_schema(_header(f)[0])
 
     def reader(self, schema) -> OcfReader:
-        return OcfReader(_files(self.options))
+        return OcfReader(listed(self.options))
 
     def writer(self, schema, overwrite: bool) -> OcfWriter:
-        return OcfWriter(schema, self.options)
+        return OcfWriter(schema, self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -253,7 +271,7 @@ def register(spark: SparkSession) -> None:
 
 
 def read_flows(spark: SparkSession, path: str):
-    """Flow files as flows: fields by name, in their order."""
+    """Flow files as flows: fields by name, in their order.  All providers count as used: what isn't known is ``??`` or 0 in the fields themselves."""
     from ..operators.flows import FIELDS
 
     rows = spark.read.format("ocf").load(path)

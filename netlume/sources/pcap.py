@@ -1,26 +1,28 @@
 """Packet captures as a data source and a sink: format "pcap".
 
-Reading: one partition for each file.  Files are pcap with microseconds or
-nanoseconds in either byte order, with Ethernet, raw IP or Linux cooked
-frames.  802.1Q tags, MPLS labels and PPPoE headers are taken off until an IP
-header is found.  Predicates on ts_sec are used while reading.  A file that
-ends in the middle of a packet gives the packets before it.
-
-Writing: one file for each task, of rows with ts_sec, ts_usec, wirelen, l2_bytes.
+Reading: one partition for each file, in batches of Arrow rows.  Files are
+pcap with microseconds or nanoseconds in either byte order, pcapng, or ERF
+(option ``kind`` "erf", or a name that says so), packed or not (see ``files``),
+with Ethernet, raw IP or Linux cooked frames.  802.1Q tags, MPLS labels and
+PPPoE headers are taken off until an IP header is found.  Predicates on ts_sec
+are used while reading.  A file that ends in the middle of a packet gives the
+packets before it.
+
+Writing: one file for each task, of rows with ts_sec, ts_usec, wirelen,
+l2_bytes; ``compression`` "gz" packs files.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from .files import Output, listed, opened
 from .packets import SCHEMA
 
 ETHERNET, RAW, COOKED = 1, 101, 113
@@ -104,6 +106,101 @@ def _transport(protocol: int, data: bytes) -> dict:
     return row
 
 
+Record = tuple[int, int, int, bytes, int]
+"""Second, microsecond, length on the wire, frame, link."""
+BATCH = 4096
+SECTION = b"\x0a\x0d\x0d\x0a"
+
+
+def _pcap(f, head: bytes) -> Iterator[Record]:
+    order, unit = _MAGIC[head]
+    rest = f.read(20)
+    if len(rest) < 20:
+        return
+    link = struct.unpack(f"{order}I", rest[16:20])[0] & 0xFFFF
+    while len(record := f.read(16)) == 16:
+        sec, part, caplen, wirelen = struct.unpack(f"{order}IIII", record)
+        frame = f.read(caplen)
+        if len(frame) < caplen:
+            return
+        yield sec, part // unit, wirelen, frame, link
+
+
+def _ticks(options: bytes, order: str) -> int:
+    """Ticks in a second of an interface, from its options."""
+    at = 0
+    while at + 4 <= len(options):
+        code, size = struct.unpack_from(f"{order}HH", options, at)
+        if code == 9 and size:
+            exponent = options[at + 4]
+            return 2 ** (exponent & 127) if exponent & 128 else 10**exponent
+        at += 4 + (size + 3) // 4 * 4
+    return 1_000_000
+
+
+def _pcapng(f, head: bytes) -> Iterator[Record]:
+    order, interfaces, kind = "<", [], head
+    while len(kind) == 4:
+        size = f.read(4)
+        if len(size) < 4:
+            return
+        if kind == SECTION:
+            magic = f.read(4)
+            order, interfaces = (">" if magic == b"\x1a\x2b\x3c\x4d" else "<"), []
+            body = f.read(struct.unpack(f"{order}I", size)[0] - 16)
+        else:
+            length = struct.unpack(f"{order}I", size)[0] - 12
+            body = f.read(length)
+            if len(body) < length:
+                return
+            number = struct.unpack(f"{order}I", kind)[0]
+            if number == 1:
+                interfaces.append((struct.unpack_from(f"{order}H", body)[0], _ticks(body[8:], order)))
+            elif number in (2, 6) and len(body) >= 20:
+                port, high, low, caplen, wirelen = struct.unpack_from(f"{order}IIIII" if number == 6 else f"{order}HxxIIII", body)
+                link, ticks = interfaces[port]
+                time = high << 32 | low
+                yield time // ticks, time % ticks * 1_000_000 // ticks, wirelen, body[20 : 20 + caplen], link
+            elif number == 3 and interfaces:
+                wirelen = struct.unpack_from(f"{order}I", body)[0]
+                yield 0, 0, wirelen, body[4 : 4 + wirelen], interfaces[0][0]
+        f.read(4)
+        kind = f.read(4)
+
+
+def _erf(f, head: bytes) -> Iterator[Record]:
+    while len(head) == 4:
+        rest = f.read(12)
+        if len(rest) < 12:
+            return
+        time, kind, _, size, _, wirelen = struct.unpack("<QBB", head + rest[:6]) + struct.unpack(">HHH", rest[6:])
+        body = f.read(size - 16)
+        if len(body) < size - 16:
+            return
+        at, more = 0, kind & 128
+        while more:
+            more = body[at] & 128
+            at += 8
+        if kind & 127 == 2:  # Ethernet, after two bytes that align it; the length on the wire has the checksum, which captures don't
+            frame = body[at + 2 :][: max(0, wirelen - 4)]
+            yield time >> 32, (time & 0xFFFFFFFF) * 1_000_000 >> 32, max(0, wirelen - 4), frame, ETHERNET
+        head = f.read(4)
+
+
+def records(f, name: str, kind: str | None = None) -> Iterator[Record]:
+    """The packets of a capture in one of its formats."""
+    head = f.read(4)
+    if kind == "erf" or kind is None and ".erf" in name.rpartition("/")[2]:
+        return _erf(f, head)
+    if head == SECTION:
+        return _pcapng(f, head)
+    if len(head) < 4:
+        return iter(())
+    if head not in _MAGIC:
+        raise ValueError(f"{name} isn't a packet capture")
+    return _pcap(f, head)
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -111,7 +208,7 @@ class _File(InputPartition):
 
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths, self.low, self.high = _files(options), None, None
+        self.paths, self.kind, self.low, self.high = listed(options), options.get("kind"), None, None
 
     def pushFilters(self, filters):
         for f in filters:
@@ -125,70 +222,48 @@ class PcapReader(DataSourceReader):
     def partitions(self):
         return [_File(p) for p in self.paths]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            head = f.read(24)
-            if len(head) < 24:
-                return
-            if head[:4] not in _MAGIC:
-                raise ValueError(f"{partition.path} isn't a packet capture")
-            order, unit = _MAGIC[head[:4]]
-            link, seq = struct.unpack(f"{order}I", head[20:24])[0] & 0xFFFF, 0
-            while len(record := f.read(16)) == 16:
-                sec, part, caplen, wirelen = struct.unpack(f"{order}IIII", record)
-                frame = f.read(caplen)
-                if len(frame) < caplen:
-                    return
-                seq += 1
-                if (self.low is None or sec >= self.low) and (self.high is None or sec <= self.high):
-                    yield packet(sec, part // unit, seq, wirelen, frame, link)
-
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-def _files(options: dict) -> list[str]:
-    """The files of ``path`` (or ``paths``, one in a line): files, folders or patterns."""
-    out = []
-    for p in options.get("paths", options.get("path", "")).splitlines():
-        p = p.removeprefix("file://")
-        out += sorted(glob.glob(os.path.join(p, "*"))) if os.path.isdir(p) else sorted(glob.glob(p)) or [p]
-    return [p for p in out if not os.path.basename(p).startswith((".", "_")) and not p.endswith(".done")]
+        schema, rows = to_arrow_schema(SCHEMA), []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        with opened(partition.path) as f:
+            for seq, (sec, usec, wirelen, frame, link) in enumerate(records(f, partition.path, self.kind), 1):
+                if (self.low is None or sec >= self.low) and (self.high is None or sec <= self.high):
+                    rows.append(packet(sec, usec, seq, wirelen, frame, link))
+                    if len(rows) == BATCH:
+                        yield batch()
+                        rows = []
+            if rows:
+                yield batch()
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    path: str
+    name: str
     packets: int
 
 
 class PcapWriter(DataSourceWriter):
-    def __init__(self, schema, options: dict, overwrite: bool):
-        self.names, self.path, self.overwrite = schema.names, options["path"].removeprefix("file://"), overwrite
+    def __init__(self, options: dict, overwrite: bool):
+        self.output = Output(options["path"], overwrite, ".pcap" + (f".{options['compression']}" if options.get("compression") else ""))
 
     def write(self, rows) -> _Written:
-        os.makedirs(self.path, exist_ok=True)
-        path, n = os.path.join(self.path, f".{uuid.uuid4().hex}.pcap"), 0
-        with open(path, "wb") as f:
+        f, name = self.output.new()
+        with f:
             f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65536, ETHERNET))
+            n = 0
             for row in rows:
                 frame = bytes(row["l2_bytes"] or b"")
                 f.write(struct.pack("<IIII", row["ts_sec"], row["ts_usec"], len(frame), row["wirelen"]) + frame)
                 n += 1
-        return _Written(path, n)
+        return _Written(name, n)
 
     def commit(self, messages) -> None:
-        os.makedirs(self.path, exist_ok=True)
-        new = {m.path for m in messages if m}
-        if self.overwrite:
-            for p in set(glob.glob(os.path.join(self.path, "*.pcap"))) - new:
-                os.remove(p)
-        for k, p in enumerate(sorted(new)):
-            os.rename(p, os.path.join(self.path, f"part-{k:05d}-{os.path.basename(p)[1:]}"))
-        with open(os.path.join(self.path, "_SUCCESS"), "w"):
-            pass
+        self.output.commit([m.name for m in messages if m])
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+        self.output.abort()
 
 
 class PcapSource(DataSource):
@@ -205,7 +280,7 @@ class PcapSource(DataSource):
         return PcapReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> PcapWriter:
-        return PcapWriter(schema, self.options, overwrite)
+        return PcapWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
