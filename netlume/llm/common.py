@@ -330,7 +330,7 @@ def stage_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_
     return written(blocks, name, (splits(docs), "block_id"))
 
 
-ENTRIES = 3_000_000
+ENTRIES = 1_500_000
 """Entries in a bucket of an exchange, if each word is one."""
 
 
@@ -415,7 +415,7 @@ def exchange(asked: DataFrame, questions: list[Question], name: str) -> tuple[Da
         first = [[float(k), *map(float, counters)]] + [None] * (len(answers) - 1)
         return pa.Table.from_pydict({"block_id": table.column("block_id"), "bucket": table.column("bucket"), "data": pa.array([pack(a) for a in answers], pa.binary()), "counters": pa.array(first, pa.list_(pa.float64()))})
 
-    requests = asked.mapInArrow(ask, "bucket int, block_id long, data binary").repartition(max(offsets[-1], partitions(asked.sparkSession)), "bucket")
+    requests = asked.mapInArrow(ask, "bucket int, block_id long, data binary").repartition(max(2 * offsets[-1], partitions(asked.sparkSession)), "bucket")
     answers = written(requests.groupBy("bucket").applyInArrow(answer, "block_id long, bucket int, data binary, counters array<double>"), name)
     replies = answers.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "data")).alias("replies"))
     return replies, answers.where("counters is not null").select(F.col("counters")[0].cast("int").alias("question"), F.expr("slice(counters, 2, size(counters) - 1)").alias("counters"))
