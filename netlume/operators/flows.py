@@ -84,3 +84,15 @@ def packed_record(flow_rows: DataFrame, prefix: str = "") -> DataFrame:
     parts = [*(number(n, s) for n, s in sizes), *(F.encode(F.rpad(n, 2, "?"), "UTF-8") for n in codes), number("prefix2asn", 4)]
     topic = f"{prefix}.flows" if prefix else "flows"
     return flow_rows.select(F.lit(topic).alias("topic"), F.concat(*parts).alias("value"))
+
+
+RECORD_BYTES = 43
+BATCH_BYTES = 512 * 1024
+
+
+def batched_records(flow_rows: DataFrame, prefix: str = "", most: int = BATCH_BYTES) -> DataFrame:
+    """Flows as messages (topic, time, value) that hold the records of many flows of one interval, of about ``most`` bytes each; no interval goes to one task."""
+    records = packed_record(flow_rows, prefix).withColumn("time", F.conv(F.hex(F.substring("value", 1, 4)), 16, 10).cast("long"))
+    sizes = records.groupBy("time").agg(F.ceil(F.count("*") * F.lit(RECORD_BYTES) / F.lit(most)).alias("_batches"))
+    dealt = records.join(sizes, "time").withColumn("_batch", F.pmod(F.xxhash64("value"), F.col("_batches")))
+    return dealt.groupBy("topic", "time", "_batch").agg(F.unhex(F.array_join(F.sort_array(F.collect_list(F.hex("value"))), "")).alias("value")).drop("_batch")

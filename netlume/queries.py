@@ -16,7 +16,7 @@ from .functions.u32 import dotted, network
 from .operators import archive, dos, filters, flows, intervals, report, tagging
 from .operators.ordering import placed, with_group_size
 from .sinks import text as text_sink
-from .sources.packets import synthetic_packets, synthetic_sql
+from .sources.packets import synthetic_packets, synthetic_sql, with_frames, with_others
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -139,10 +139,13 @@ def _hash_sql(source: str) -> str:
 
 def _filter_query(name: str, number: int) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hit = synthetic_packets(spark, sf_dir).where(filters.filter_by(name))
+        hit = with_others(synthetic_packets(spark, sf_dir)).where(filters.filter_by(name))
         return hit.groupBy(intervals.aligned(F.col("ts_sec"), 600).alias("interval_ts")).agg(F.count("*").alias("packet_cnt"), F.sum("ip_len").alias("byte_cnt"), F.countDistinct("src_ip").alias("src_ip_cnt"))
 
     run.__name__ = f"filter_{name}"
+    if name == "not_ip":
+        query(f"{PACKETS} SELECT ts_sec - ts_sec % 600 AS interval_ts, count(*) AS packet_cnt, NULL::BIGINT AS byte_cnt, 0::BIGINT AS src_ip_cnt FROM packets WHERE n % 101 = 0 GROUP BY 1")(run)
+        return
     query(
         f"{FILTERED} SELECT ts_sec - ts_sec % 600 AS interval_ts, count(*) AS packet_cnt, sum(ip_len)::BIGINT AS byte_cnt, count(DISTINCT src_ip) AS src_ip_cnt FROM filtered WHERE f{number} GROUP BY 1"
     )(run)
@@ -335,6 +338,18 @@ def flows_messages(spark, sf_dir):
     return flows.packed_record(_flows(spark, sf_dir), "telescope").select("topic", F.hex("value").alias("value_hex"))
 
 
+_MESSAGE = """upper(printf('%08x%08x%08x', time, src_ip, dst_ip) || printf('%04x%04x%02x%02x%02x', src_port, dst_port, protocol, ttl, tcp_flags)
+|| printf('%04x%04x%04x%08x%02x%02x', ip_len, tcp_synlen, tcp_synwinlen, packet_cnt, is_spoofed, is_masscan) || hex(encode(maxmind_country)) || hex(encode(maxmind_continent))
+|| hex(encode(netacq_country)) || hex(encode(netacq_continent)) || printf('%08x', prefix2asn))"""
+@query(f"{TAGGED}{_FLOWS} SELECT time, {_MESSAGE} AS value_hex, true AS small FROM flows")
+def flows_batches(spark, sf_dir):
+    """The records of all batches, none of which is much larger than asked for."""
+    size = flows.RECORD_BYTES
+    batches = flows.batched_records(_flows(spark, sf_dir), "telescope", 100 * size).withColumn("text", F.hex("value"))
+    record = F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"length(value) div {size} - 1")), lambda k: F.substring(F.col("text"), k * (2 * size) + 1, F.lit(2 * size))))
+    return batches.select("time", record.alias("value_hex"), (F.length("value") <= 200 * size).alias("small"))
+
+
 _SAMPLE_KEY = " || ',' || ".join(n.strip() for n in f"time, {_FLOW_KEY}".split(","))
 @query(f"""{TAGGED}{_FLOWS} SELECT * FROM flows WHERE ('0x' || substr(md5({_SAMPLE_KEY}), 1, 8))::BIGINT % 10000 < 2500""")
 def flows_sampled(spark, sf_dir):
@@ -459,25 +474,35 @@ j AS (SELECT *, interval_ts - 600 * row_number() OVER (PARTITION BY target_proto
 x AS (SELECT w.*, island FROM w JOIN j USING (target_protocol, target_ip, interval_ts)),
 b AS (SELECT target_protocol, target_ip, island, interval_ts, bucket, count(*) AS n FROM x GROUP BY ALL),
 r AS (SELECT target_protocol, target_ip, island, interval_ts, max(rate) AS ppm FROM (SELECT *, sum(n) OVER (PARTITION BY target_protocol, target_ip, island ORDER BY bucket RANGE BETWEEN 50 PRECEDING AND CURRENT ROW) AS rate FROM b) GROUP BY ALL)"""
+_FRAME = """'02020202020202020202020208004500' || printf('%04x0000%04x%02x%02x0000', ip_len, ip_off, ttl, protocol) || printf('%08x%08x', src_ip, dst_ip)
+|| CASE WHEN protocol = 6 THEN printf('%04x%04x0000000000000000', src_port, dst_port) || printf('%02x%02x%04x00000000', tcp_doff * 16, tcp_flags, tcp_window) || repeat('00', 4 * tcp_doff - 20)
+ELSE printf('%02x%02x000000000000', src_port, dst_port) || CASE WHEN inner_dst_ip IS NULL THEN '' ELSE '450000000000000000' || printf('%02x0000%08x%08x', inner_protocol, inner_src_ip, inner_dst_ip) || printf('%04x%04x', inner_sport, inner_dport) END END"""
+_FIRST = "(ts_sec, ts_usec, seq, caplen, attack_port, target_port, continent, country)"
 _ATTACKS = f"""{_VECTORS}, a AS (SELECT j.interval_ts AS bin_timestamp, j.target_protocol, j.target_ip, count(DISTINCT x.dst_ip >> 16) AS attacker_slash16_cnt, count(DISTINCT attack_port) AS attack_port_cnt,
 count(DISTINCT target_port) AS target_port_cnt, count(*) AS packet_cnt, sum(mismatch)::BIGINT AS icmp_mismatches, sum(ip_len)::BIGINT AS byte_cnt,
 min(ts_sec * 1000000 + ts_usec) AS start, max(ts_sec * 1000000 + ts_usec) AS latest, arg_min(attack_port, (ts_sec, ts_usec, seq, caplen, attack_port, target_port)) AS first_attack_port,
-arg_min(target_port, (ts_sec, ts_usec, seq, caplen, attack_port, target_port)) AS first_target_port, arg_min(caplen, (ts_sec, ts_usec, seq, caplen)) AS initial_packet_len,
+arg_min(target_port, (ts_sec, ts_usec, seq, caplen, attack_port, target_port)) AS first_target_port, arg_min(caplen, (ts_sec, ts_usec, seq, caplen)) AS initial_packet_len, arg_min({_FRAME}, {_FIRST[:-1]}, {_FRAME})) AS initial_packet,
 arg_min(continent, (ts_sec, ts_usec, seq, caplen, attack_port, target_port, continent, country)) AS maxmind_continent, arg_min(country, (ts_sec, ts_usec, seq, caplen, attack_port, target_port, continent, country)) AS maxmind_country
 FROM j JOIN x ON x.target_protocol = j.target_protocol AND x.target_ip = j.target_ip AND x.island = j.island AND x.interval_ts <= j.interval_ts GROUP BY ALL),
 m AS (SELECT r.*, max(ppm) OVER (PARTITION BY target_protocol, target_ip, island ORDER BY interval_ts) AS max_ppm_interval FROM r)"""
 _ATTACK_ROWS = """SELECT bin_timestamp, initial_packet_len, a.target_ip, a.target_protocol, attacker_slash16_cnt, attack_port_cnt, target_port_cnt, packet_cnt, icmp_mismatches, byte_cnt,
 max_ppm_interval::BIGINT AS max_ppm_interval, start // 1000000 AS start_time_sec, start % 1000000 AS start_time_usec, latest // 1000000 AS latest_time_sec, latest % 1000000 AS latest_time_usec,
-first_attack_port, first_target_port, maxmind_continent, maxmind_country FROM a JOIN m ON a.bin_timestamp = m.interval_ts AND a.target_protocol = m.target_protocol AND a.target_ip = m.target_ip"""
+first_attack_port, first_target_port, maxmind_continent, maxmind_country, initial_packet FROM a JOIN m ON a.bin_timestamp = m.interval_ts AND a.target_protocol = m.target_protocol AND a.target_ip = m.target_ip"""
+
 
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged packets with frames; what was captured of them counts as without."""
+    packets = with_frames(synthetic_packets(spark, sf_dir)).withColumn("caplen", F.col("ip_len") + 14)
+    return tagging.tag(packets, maxmind=providers(spark, sf_dir)["maxmind"])
 
-def _attack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dos.attack_rows(tagged(spark, sf_dir, "maxmind"), seconds=600)
+
+def _spelled(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("initial_packet", F.lower(F.hex("initial_packet")))
 
 
 @query(f"{TAGGED}{_ATTACKS} {_ATTACK_ROWS}")
 def dos_vectors(spark, sf_dir):
-    return _attack_rows(spark, sf_dir).drop("initial_packet")
+    return _spelled(dos.attack_rows(_framed(spark, sf_dir), seconds=600))
 
 
 @query(f"{TAGGED}{_VECTORS} SELECT target_protocol, target_ip, interval_ts, ppm::BIGINT AS interval_ppm FROM r")
@@ -488,7 +513,7 @@ def dos_rates(spark, sf_dir):
 
 @query(f"{TAGGED}{_ATTACKS} {_ATTACK_ROWS} WHERE max_ppm_interval >= 4 AND packet_cnt >= 10 AND latest - start >= 60000000")
 def dos_attacks(spark, sf_dir):
-    return dos.attacks(tagged(spark, sf_dir, "maxmind"), dos.Thresholds(packets=10, rate=4), seconds=600).drop("initial_packet")
+    return _spelled(dos.attacks(_framed(spark, sf_dir), dos.Thresholds(packets=10, rate=4), seconds=600))
 
 
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 - (epoch_us(ts) // 1000000) % 3600 AS h FROM events), d AS (SELECT user_id, h, count(*) AS n FROM e GROUP BY 1, 2),
@@ -522,3 +547,6 @@ def archive_counters(spark, sf_dir):
 @query(f"{PACKETS} SELECT {_DOT.format('src_ip')} AS source, (src_ip >> 8) * 256 AS net, count(*) AS packet_cnt FROM packets GROUP BY 1, 2")
 def addresses(spark, sf_dir):
     return synthetic_packets(spark, sf_dir).groupBy(dotted(F.col("src_ip")).alias("source"), network(F.col("src_ip"), 24).alias("net")).agg(F.count("*").alias("packet_cnt"))
+
+
+from . import files_queries  # noqa: E402,F401  it adds its queries to those above

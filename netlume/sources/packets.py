@@ -70,6 +70,33 @@ SYNTHETIC = (
 )
 
 
+def _big_endian(value, size: int):
+    """A number as so many bytes in hexadecimal."""
+    return F.lpad(F.hex(F.coalesce(value, F.lit(0)).cast("long").bitwiseAND((1 << 8 * size) - 1)), 2 * size, "0")
+
+
+def with_frames(packets: DataFrame) -> DataFrame:
+    """``packets`` with l2_bytes: Ethernet frames with the headers and the payload that the columns tell of; caplen is what that makes."""
+    c, n = F.col, _big_endian
+    zeros = lambda count: F.lit("00" * count)
+    payload = F.coalesce(F.hex("payload"), F.lit(""))
+    tcp = F.concat(n(c("src_port"), 2), n(c("dst_port"), 2), zeros(8), n(F.shiftleft("tcp_doff", 4), 1), n(c("tcp_flags"), 1), n(c("tcp_window"), 2), zeros(4), F.expr("repeat('00', greatest(4 * tcp_doff - 20, 0))"), payload)
+    udp = F.concat(n(c("src_port"), 2), n(c("dst_port"), 2), n(c("udp_len"), 2), zeros(2), payload)
+    inner = F.concat(F.lit("45"), zeros(8), n(c("inner_protocol"), 1), zeros(2), n(c("inner_src_ip"), 4), n(c("inner_dst_ip"), 4), n(c("inner_sport"), 2), n(c("inner_dport"), 2))
+    icmp = F.concat(n(c("src_port"), 1), n(c("dst_port"), 1), zeros(6), F.when(c("inner_dst_ip").isNotNull(), inner).otherwise(F.lit("")))
+    body = F.when(c("protocol") == 6, tcp).when(c("protocol") == 17, udp).when(c("protocol") == 1, icmp).otherwise(F.lit(""))
+    ip = F.concat(F.lit("4500"), n(c("ip_len"), 2), zeros(2), n(c("ip_off"), 2), n(c("ttl"), 1), n(c("protocol"), 1), zeros(2), n(c("src_ip"), 4), n(c("dst_ip"), 4), body)
+    frame = F.unhex(F.concat(F.lit("02" * 12), n(c("ethertype"), 2), F.when(c("src_ip").isNotNull(), ip).otherwise(F.lit("00" * 28))))
+    return packets.withColumn("l2_bytes", frame).withColumn("caplen", F.length("l2_bytes"))
+
+
+def with_others(packets: DataFrame) -> DataFrame:
+    """``packets`` and some that aren't IP: of every 101 one more, that has nothing of a header."""
+    common = {"ts_sec", "ts_usec", "seq", "caplen", "wirelen"}
+    others = packets.where("seq % 101 = 0").select(*(F.col(f.name) if f.name in common else F.lit(0x0806 if f.name == "ethertype" else None).cast(f.dataType).alias(f.name) for f in SCHEMA))
+    return packets.select(*SCHEMA.names).unionByName(others)
+
+
 def synthetic_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A packet for each row of ``lineitem``."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
