@@ -58,13 +58,13 @@ class _Parser:
     def term(self) -> Column:
         token = self.next()
         if token == "not":
-            return ~self.term()
+            return ~F.coalesce(self.term(), F.lit(False))
         if token == "(":
             inside = self.expression()
             if self.next() != ")":
                 raise ValueError(f"a parenthesis is open in {self.text!r}")
             return inside
-        return F.coalesce(self.primitive(token), F.lit(False))
+        return self.primitive(token)
 
     def number(self) -> int:
         """A number or a name of one, or several joined by ``|``."""
@@ -143,12 +143,16 @@ class _Parser:
         return tests[0] if len(tests) == 1 else tests[0] | tests[1]
 
 
-def compile_filter(text: str) -> Column:
-    """The predicate as a Column that is true or false, never null; Catalyst pushes it to the source like any other."""
+def compile_filter(text: str, known: bool = True) -> Column:
+    """The predicate as a Column that is true or false, never null.
+
+    Without ``known`` it may be null for false, which is the same to ``where``;
+    then Catalyst pushes its parts down to the source like any others.
+    """
     parser = _Parser(text)
     if not parser.tokens:
         return F.lit(True)
     out = parser.expression()
     if parser.peek() is not None:
         raise ValueError(f"{parser.peek()!r} is left over in {text!r}")
-    return out
+    return F.coalesce(out, F.lit(False)) if known else out

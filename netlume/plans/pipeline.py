@@ -162,7 +162,7 @@ def _archive(tagged, run, options):
 def captured(packets: DataFrame, run: Config) -> DataFrame:
     """Packets in the run's time that its capture filter lets through; both are predicates that Catalyst takes down to the source."""
     kept = packets.where(filters.within_time(run.start, run.end))
-    return kept.where(compile_filter(run.basic_filter)) if run.basic_filter else kept
+    return kept.where(compile_filter(run.basic_filter, known=False)) if run.basic_filter else kept
 
 
 def prepared(packets: DataFrame, run: Config) -> DataFrame:
