@@ -4,7 +4,8 @@ Texts are read once, for their statistics.  The forest is fitted on a bounded
 sample of these (trees isolate rows by random splits of a few hundred rows
 each), then every document is scored by the mean length of its paths: rows
 that few splits isolate are unlike the rest.  From which score on a document
-is rejected is calibrated on a bounded sample of labelled rows, good and bad.
+is rejected is calibrated on all labelled rows, good and bad, which are scored
+where they are and counted by score, in a fixed number of steps.
 """
 
 from __future__ import annotations
@@ -18,18 +19,26 @@ from .common import id_or_null, ids_of, texts_of, written
 from .text_stats import NAMES, shares, statistics
 
 TREES, ROWS, SEED = 100, 256, 10
-LABELLED = 20_000
-"""At most so many labelled rows calibrate the threshold."""
+STEPS = 100_000
+"""Labelled rows are counted by score in so many steps."""
 GOOD_WEIGHT = 10
 """How many times worse it is to lose a share of the good labelled rows than to keep that share of the bad ones."""
 
 
-def best_threshold(good: np.ndarray, bad: np.ndarray, weight: float = GOOD_WEIGHT) -> float:
-    """The score above which to reject: of all, the one with the least cost on labelled rows, and of such the highest."""
+def best_threshold(good: np.ndarray, bad: np.ndarray, weight: float = GOOD_WEIGHT, n_good: np.ndarray | None = None, n_bad: np.ndarray | None = None) -> float:
+    """The score above which to reject: of all, the one with the least cost on labelled rows, and of such the highest.
+
+    ``n_good`` and ``n_bad``: how many rows have each score, one if they aren't given.
+    """
     at = np.unique(np.concatenate([good, bad, [1.0]]))
-    lost = 1 - np.searchsorted(np.sort(good), at, side="right") / max(len(good), 1)
-    kept = np.searchsorted(np.sort(bad), at, side="right") / max(len(bad), 1)
-    cost = weight * lost * (len(good) > 0) + kept
+
+    def up_to(scores: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, float]:
+        order = np.argsort(scores)
+        sums = np.concatenate([[0], np.cumsum(np.ones(len(scores)) if counts is None else counts[order])])
+        return sums[np.searchsorted(scores[order], at, side="right")], sums[-1]
+
+    (kept_good, all_good), (kept_bad, all_bad) = up_to(good, n_good), up_to(bad, n_bad)
+    cost = weight * (1 - kept_good / max(all_good, 1)) * (all_good > 0) + kept_bad / max(all_bad, 1)
     return float(at[len(at) - 1 - np.argmin(cost[::-1])])
 
 
@@ -106,7 +115,7 @@ def _matrix(rows: DataFrame, names=NAMES) -> np.ndarray:
     return np.stack([table.column(n).to_numpy() for n in names], axis=1) if table.num_rows else np.zeros((0, len(names)), np.int64)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_weight: float = GOOD_WEIGHT, trees: int = TREES, rows: int = ROWS, labelled: int = LABELLED) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_weight: float = GOOD_WEIGHT, trees: int = TREES, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, the statistics, base_failed, anomaly (0 to 1), kept.
 
     A document fails the base rules with fewer than 10 words or with more than
@@ -121,8 +130,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     passed = stats.where("not base_failed")
     order = [F.xxhash64("doc_id"), "doc_id", *NAMES]
     forest = IsolationForest(shares(_matrix(passed.orderBy(*order).limit(trees * rows))), trees, rows)
-    marked = [passed.join(labels.where(F.col("quality") == k).select("doc_id").distinct(), "doc_id", "left_semi").orderBy(*order).limit(labelled // 2) for k in (1, 0)]
-    threshold = best_threshold(*(forest.score(shares(_matrix(m))) for m in marked), good_weight)
+    marks = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
+
+    def score(batches):
+        for batch in batches:
+            x = np.stack([batch.column(j + 1).to_numpy() for j in range(len(NAMES))], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.score(shares(x)))], ["quality", "score"])
+
+    scored = passed.join(marks, "doc_id").select("quality", *NAMES).mapInArrow(score, "quality int, score double")
+    counted = scored.groupBy("quality", F.floor(F.col("score") * STEPS)).agg(F.count("*").alias("n"), F.max("score").alias("score")).collect()  # 2 * (STEPS + 1) rows at most
+    numbers = [np.array([(r["score"], r["n"]) for r in counted if r["quality"] == k]).reshape(-1, 2).T for k in (1, 0)]
+    threshold = best_threshold(numbers[0][0], numbers[1][0], good_weight, numbers[0][1], numbers[1][1])
     shared = spark.sparkContext.broadcast((forest, threshold))
 
     def run(batches):
