@@ -130,6 +130,10 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return labels
 
 
+MOST_LANGUAGES = 256
+"""A model has a table for each language, which are on the driver and broadcast; more languages than this are an error of the column."""
+
+
 def _fold(column: str, folds: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
@@ -137,6 +141,8 @@ def _fold(column: str, folds: int):
 def fit(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Count the n-grams of all documents to learn from: those with a language whose id isn't 0 modulo ``folds``."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (_fold(id_col, folds) != 0))
+    if len(found := rows.select(F.col(lang_col).cast("string")).distinct().limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages, such as {sorted(r[0] for r in found[:5])}")
 
     def count(batches):
         tables = defaultdict(lambda: np.zeros(BUCKETS + len(SCRIPT_NAMES)))
