@@ -32,4 +32,20 @@ def empty(spark):
 
 @pytest.fixture(scope="session")
 def sample(spark):
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120).cache()
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").cache()
+
+
+@pytest.fixture(scope="session")
+def larger(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def same_ids(spark):
+    """Null and repeated ids, with equal, near and different texts, and texts that share passages."""
+    base = " ".join(f"word{k}" for k in range(60))
+    texts = [
+        (1, base), (1, base), (1, base.replace(" ", "  ")), (2, base.replace("word7 ", "other ")), (2, f"clean text of two {LINE}"), (3, "a b c"), (3, "a   b   c"), (3, LINE), (5, "alone"), (5, "alone"),
+        (None, base), (None, None), (None, ""), (None, f"tail {LINE} of nothing"), (None, "  "), (None, "alone"), (7, f"{LINE} tail seven"), (7, f"{base} second row of seven"), (7, None), (None, "only here  it is"),
+    ]
+    return spark.createDataFrame([(i, t, "en", f"s{k}", None if t is None else len(t)) for k, (i, t) in enumerate(texts)], DOCS).repartition(4)

@@ -59,5 +59,20 @@ def test_kept_rows(odd):
     assert kept.columns == odd.columns and kept.count() == sum(x[3] for x in got(odd))
 
 
+def test_larger(larger):
+    assert got(larger, counters=63) == brute([(r.doc_id, r.text) for r in larger.collect()])
+
+
+def test_rows_with_one_id_are_judged_each_by_its_text(same_ids):
+    rows = [tuple(r) for r in same_ids.collect()]
+    want = {}
+    for r in rows:
+        key = norm(r[1])
+        rank = (-len(r[1] or ""), r[0] is None, r[0] or 0)
+        if key not in want or rank < want[key][0]:
+            want[key] = (rank, r[:2])
+    assert sorted((tuple(r)[:2] for r in drop_duplicates(same_ids).collect()), key=str) == sorted((r for _, r in want.values()), key=str)
+
+
 def test_empty(empty):
     assert exact_dedup(empty).count() == 0

@@ -76,6 +76,62 @@ def test_passages_of_null_and_repeated_ids(spark):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.collect())
 
 
+def whole(df):
+    return sorted((tuple(r) for r in df.select(*COLUMNS).collect()), key=str)
+
+
+def test_stages_on_null_and_repeated_ids(spark, same_ids):
+    """Each stage, on the same input, against the definition, as a multiset of whole rows."""
+    rows = [tuple(r) for r in same_ids.collect()]
+    kept = quality(same_ids).where("kept").count()
+    assert len(whole(pipeline.quality(spark, same_ids, ""))) == kept
+
+    def first_of(groups):
+        """One row of each group, by id; which of several rows that are alike in this isn't said."""
+        out = {}
+        for key, rank, row in groups:
+            if key not in out or rank < out[key][0]:
+                out[key] = (rank, {row})
+            elif rank == out[key][0]:
+                out[key][1].add(row)
+        return [options for _, options in out.values()]
+
+    def check(got, groups):
+        assert len(got) == len(groups) and all(sum(r in options for r in got) == 1 for options in groups)
+
+    check(whole(pipeline.exact(spark, same_ids, "")), first_of((norm(r[1]), (-len(r[1] or ""), r[0] is None, r[0] or 0), r) for r in rows))
+    roots = brute_components([brute_print(r[1]) for r in rows])
+    check(whole(pipeline.near(spark, same_ids, "")), first_of((root, (r[0] is None, r[0] or 0), r) for r, root in zip(rows, roots, strict=True)))
+    want = []
+    first = {}
+    for r in rows:
+        words = (r[1] or "").split()
+        for k in range(len(words) - 12):
+            w = tuple(words[k : k + 13])
+            first[w] = min(first.get(w, 1 << 62), 1 << 62 if r[0] is None else r[0])
+    for r in rows:
+        words, gone = (r[1] or "").split(), set()
+        for k in range(len(words) - 12):
+            if first[tuple(words[k : k + 13])] < (1 << 62 if r[0] is None else r[0]):
+                gone.update(range(k, k + 13))
+        left = " ".join(w for k, w in enumerate(words) if k not in gone)
+        if not gone:
+            want.append(r)
+        elif len(gone) < len(words):
+            want.append((r[0], left, r[2], r[3], len(left)))
+    assert whole(pipeline.passages(spark, same_ids, "")) == sorted(want, key=str)
+    packed = pipeline.pack(spark, same_ids, "").where("piece = 0").collect()
+    assert sorted(str(r.doc_id) for r in packed) == sorted(str(r[0]) for r in rows)
+
+
+def test_what_stages_leave_goes(spark, tmp_path, monkeypatch):
+    from netlume.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    pipeline.run(spark, "/root/testdata/sf0.001").count()
+    assert not list(tmp_path.glob("scratch-*")) and len(list(tmp_path.glob("stage-*"))) == 1
+
+
 def test_empty(spark, empty):
     docs = empty
     for _, stage in pipeline.STAGES:

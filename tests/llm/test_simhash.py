@@ -111,3 +111,20 @@ def test_one_of_each_stays(odd):
 
 def test_empty(empty):
     assert simhash_components(empty).count() == 0
+
+
+def test_one_row_of_each_component_stays(same_ids, odd):
+    for df in (same_ids, odd):
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        roots = brute_components([brute_print(t) for _, t in rows])
+        best = {}
+        for (i, _), root in zip(rows, roots, strict=True):
+            best[root] = min(best.get(root, (True, 0)), (i is None, i or 0)) if root in best else (i is None, i or 0)
+        stay = drop_near_duplicates(df)
+        assert stay.columns == df.columns
+        assert sorted(str(r.doc_id) for r in stay.collect()) == sorted(str(None if null else i) for null, i in best.values())
+
+
+def test_components_of_a_long_chain(spark):
+    chain = [(k + 1, k) for k in range(300)]
+    assert {r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()} == {0}

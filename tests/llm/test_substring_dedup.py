@@ -49,3 +49,37 @@ def test_spans_name_the_removed_words(odd):
 
 def test_empty(empty):
     assert substring_dedup(empty).count() == 0
+
+
+def test_larger(larger):
+    assert got(larger) == brute([(r.doc_id, r.text) for r in larger.collect()])
+
+
+def test_shards_and_letters(sample, monkeypatch):
+    """Many small shards, and more words than two letters can spell."""
+    from pyspark.cloudpickle import register_pickle_by_value, unregister_pickle_by_value
+
+    from netlume.llm import substring_dedup as module
+
+    want = brute([(r.doc_id, r.text) for r in sample.collect()])
+    monkeypatch.setattr(module, "SHARD", 50)
+    monkeypatch.setattr(module, "BASE", 9)
+    monkeypatch.setattr(module, "LONGEST", 20)
+    register_pickle_by_value(module)
+    try:
+        assert got(sample) == want
+    finally:
+        unregister_pickle_by_value(module)
+
+
+def test_windows_are_confirmed_by_words(monkeypatch):
+    """A hash that takes all windows for equal is found out."""
+    import numpy as np
+
+    from netlume.llm import substring_dedup as module
+
+    monkeypatch.setattr(module, "MULTIPLIERS", (0, *module.MULTIPLIERS))
+    words = np.array([1, 2, 3, 9, 1, 2, 3, 4, 5], np.uint32)
+    order, begin = module._equal_windows(words, np.arange(7), 3)
+    kinds = [sorted(order[a:b].tolist()) for a, b in zip(begin, [*begin[1:], 7], strict=True)]
+    assert sorted(kinds) == [[0, 4], [1], [2], [3], [5], [6]]

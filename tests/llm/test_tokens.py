@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from netlume.llm import token_counts as counts
 from netlume.llm.packing import best_fit, plan
-from netlume.llm.sentencepiece_codec import lexicon, sentencepiece_decode, sentencepiece_encode
+from netlume.llm.sentencepiece_codec import Lexicon, lexicon, sentencepiece_decode, sentencepiece_encode
 from netlume.llm.token_counts import token_counts
 
 
@@ -99,3 +99,42 @@ def test_plan_uses_as_many_sequences_as_best_fit():
 
 def test_empty(empty):
     assert token_counts(empty).count() == best_fit(empty).count() == sentencepiece_decode(sentencepiece_encode(empty)).count() == 0
+
+
+def test_runs_of_spaces_are_the_librarys():
+    lex, library = lexicon(counts.MODEL), counts.loaded(counts.MODEL)
+    words = ["▁" * k + w for k in [*range(1, 70), 500, 501, 515] for w in ("", "word", "①x", ".", "(", "12", "é")]
+    assert all(np.frombuffer(ids, "<u4").tolist() == library.encode(w) for w, ids in lex.segment(words).items())
+
+
+def test_scores_decide():
+    """Other ranks give other pieces: those that merging by these ranks ends with."""
+    own = lexicon(counts.MODEL)
+    other = Lexicon(counts.MODEL, [-s for s in own.scores])
+    words = [f"▁{w}" for w in "the different segmentation of words follows from another order of merging pieces international understanding".split()]
+    a, b = own.segment(words), other.segment(words)
+    assert sum(a[w] != b[w] for w in words) >= 3
+    for w in words:
+        assert [other.pieces[i] for i in np.frombuffer(b[w], "<u4").tolist()] == other.merged(w)
+
+
+def test_encoder_of_the_library_is_not_used(monkeypatch):
+    lex = Lexicon(counts.MODEL)
+    monkeypatch.setattr(counts, "_MODELS", {})
+    monkeypatch.setattr(counts, "loaded", lambda model: pytest.fail("the library's encoder"))
+    assert lex.segment(["▁hello", "▁▁▁world", "▁▁"])
+
+
+def test_decoded_column_that_is_there(spark, odd):
+    rows = sentencepiece_decode(sentencepiece_encode(odd).selectExpr("*", "1 AS decoded"))
+    assert rows.columns.count("decoded") == 1 and rows.where("decoded is null").count() == 0
+
+
+def test_frequent_pre_tokens_of_all_rows(spark):
+    """What is frequent in all rows is found, wherever it is, and no pre-token is shuffled."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('common words and number', id, ' ', if(id > 2000, 'late', 'early'), ' common') AS text").repartition(6)
+    table = dict(zip(*counts.table_entries(counts.frequent_lengths(docs, "text", counts.MODEL, entries=6, counters=64)), strict=True))
+    assert {"▁common", "▁words", "▁and", "▁early"} <= set(table) and len(table) <= 6
+    library = counts.loaded(counts.MODEL)
+    assert all(n == len(library.encode(u)) for u, n in table.items())
+    assert counts.table_entries(counts.packed_table([], [])) == ([], [])
