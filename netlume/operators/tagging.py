@@ -77,6 +77,12 @@ def range_table(spark: SparkSession, ranges: list[tuple[int, int, object]], valu
     return Ranges(spark.createDataFrame(ranges, schema).withColumn("block", F.explode(blocks)), sum((r[1] >> 16) - (r[0] >> 16) + 1 for r in ranges))
 
 
+def ranges_from(rows: DataFrame) -> Ranges:
+    """Ranges (low, high, value) that a table says are disjoint already; they stay on the executors, and are counted."""
+    blocks = F.sequence(F.shiftright("low", 16), F.shiftright("high", 16))
+    return Ranges(rows.select("low", "high", "value", F.explode(blocks).alias("block")), rows.agg(F.sum(F.size(blocks))).first()[0] or 0)
+
+
 def lookup(packets: DataFrame, ranges: Ranges, column: str, ip: str = "src_ip") -> DataFrame:
     """``packets`` with the value of the range that holds ``ip``, or null.
 
@@ -124,8 +130,11 @@ def tag(packets: DataFrame, maxmind: Ranges | None = None, netacq: Ranges | None
     return out.withColumn("providers_used", sum((F.when(test, bit).otherwise(0) for bit, test in used.items()), F.lit(0)))
 
 
-def with_labels(metrics: DataFrame, labels: DataFrame, key: str, small: bool = True) -> DataFrame:
-    """Rows with the fully qualified label of their id; "unknown" where there is none."""
+def with_labels(metrics: DataFrame, labels: DataFrame, key: str, small: bool = False) -> DataFrame:
+    """Rows with the fully qualified label of their id; "unknown" where there is none.
+
+    Spark broadcasts labels that its statistics tell are few; ``small`` says so of others.
+    """
     right = labels.select(F.col("id").alias(key), F.col("label"))
     return metrics.join(F.broadcast(right) if small else right, key, "left").withColumn("label", F.coalesce("label", F.lit("unknown")))
 

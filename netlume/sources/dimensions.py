@@ -1,8 +1,13 @@
 """Dimension tables: prefixes with places and origins, and labels.
 
-Files are read by Spark.  Prefix tables are flattened on the driver: they are
-routing tables and geolocation databases, of a size that does not depend on
-the packets; still ``lookup`` broadcasts one only if it has few enough rows.
+Files are read by Spark.  Columns are found by the names that published
+databases give them (GeoLite2: network, geoname_id, continent_code,
+country_iso_code; the older GeoLite: startIpNum, endIpNum, locId, country),
+and by their order where they have others.  Tables of ranges are disjoint and
+stay on the executors.  Prefixes may be nested, as in routing tables, and are
+flattened on the driver: their number does not depend on the packets, and more
+than MOST_PREFIXES are an error.  ``lookup`` broadcasts a table only if it has
+few enough rows.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.u32 import parsed
-from ..operators.tagging import GEO, NETACQ_GEO, Ranges, flatten_prefixes, range_table
+from ..operators.tagging import GEO, NETACQ_GEO, Ranges, flatten_prefixes, range_table, ranges_from
 
 MOST_PREFIXES = 5_000_000
 
@@ -33,31 +38,62 @@ def pfx2as(spark: SparkSession, path: str) -> Ranges:
     return range_table(spark, flatten_prefixes([(r["address"], r["bits"], r["asns"]) for r in _collected(rows)]), T.ArrayType(T.LongType()))
 
 
-def maxmind(spark: SparkSession, blocks: str, locations: str, skip: int = 0) -> Ranges:
-    """A range table of (continent, country) from CSV: blocks (network, location id) and locations (id, continent, country)."""
+#: What published databases call their columns.
+_NETWORK, _LOW, _HIGH, _IDENT = ("network",), ("startipnum", "start_ip"), ("endipnum", "end_ip"), ("geoname_id", "locid", "id")
+_CONTINENT, _COUNTRY = ("continent_code", "continent"), ("country_iso_code", "country")
+
+
+def _column(df: DataFrame, names: tuple[str, ...], place: int | None = None):
+    """The column with one of the names, else that at a place, else null."""
+    for c in df.columns:
+        if c.strip().lower() in names:
+            return F.col(f"`{c}`")
+    return F.col(f"`{df.columns[place]}`") if place is not None and place < len(df.columns) else F.lit(None).cast("string")
+
+
+def _with_places(blocks: DataFrame, places: DataFrame, value) -> Ranges:
+    """Range tables of blocks (prefixes, or ranges as numbers) and the places (_id, and what ``value`` takes) that they name."""
+    ranged = any(c.strip().lower() in _LOW for c in blocks.columns)
+    if ranged:
+        rows = blocks.select(_column(blocks, _LOW).cast("long").alias("low"), _column(blocks, _HIGH).cast("long").alias("high"), _column(blocks, _IDENT, 2).alias("_id"))
+        return ranges_from(rows.join(places, "_id").select("low", "high", value.alias("value")))
+    net = F.split(_column(blocks, _NETWORK, 0), "/")
+    rows = blocks.select(parsed(net[0]).alias("address"), net[1].cast("int").alias("bits"), _column(blocks, _IDENT, 1).alias("_id"))
+    kind = places.select(value.alias("value")).schema["value"].dataType
+    return range_table(places.sparkSession, flatten_prefixes([(r["address"], r["bits"], r["value"]) for r in _collected(rows.join(places, "_id").select("address", "bits", value.alias("value")))]), kind)
+
+
+def maxmind(spark: SparkSession, blocks: str, locations: str, continents: str | None = None) -> Ranges:
+    """A range table of (continent, country) from CSV: blocks (network, or first and last address as numbers, and location id) and locations (id, continent, country).
+
+    Locations without continents need ``continents``, a CSV (country, continent).
+    """
+    places = spark.read.csv(locations, header=True)
+    rows = places.select(_column(places, _IDENT, 0).alias("_id"), _column(places, _CONTINENT, None if continents else 1).alias("continent"), _column(places, _COUNTRY, None if continents else 2).alias("country"))
+    if continents:
+        of = spark.read.csv(continents, header=True)
+        rows = rows.drop("continent").join(of.select(F.col(of.columns[0]).alias("country"), F.col(of.columns[1]).alias("continent")), "country", "left")
+    return _with_places(spark.read.csv(blocks, header=True), rows, F.struct("continent", "country").cast(GEO))
+
+
+def netacuity(spark: SparkSession, blocks: str, locations: str, polygons: str | None = None, regions: str | None = None) -> Ranges:
+    """A range table of (continent, country, region, polygons) from CSV: blocks (as for ``maxmind``), locations (id, continent, country, region), and polygons (location id, table, polygon id).
+
+    With ``regions``, a CSV (country, region code, number), locations name regions by their code.
+    """
     places = spark.read.csv(locations, header=True)
-    network, ident = spark.read.csv(blocks, header=True), places.columns
-    net = F.split(network[network.columns[0]], "/")
-    rows = network.select(parsed(net[0]).alias("address"), net[1].cast("int").alias("bits"), F.col(network.columns[1]).alias("_id"))
-    rows = rows.join(places.select(F.col(ident[0]).alias("_id"), F.col(ident[1]).alias("continent"), F.col(ident[2]).alias("country")), "_id")
-    return range_table(spark, flatten_prefixes([(r["address"], r["bits"], (r["continent"], r["country"])) for r in _collected(rows)]), GEO)
-
-
-def netacuity(spark: SparkSession, blocks: str, locations: str, polygons: str | None = None) -> Ranges:
-    """A range table of (continent, country, region, polygons) from CSV: blocks (network, location id), locations (id, continent, country, region), and polygons (location id, table, polygon id)."""
-    network, places = spark.read.csv(blocks, header=True), spark.read.csv(locations, header=True)
-    net = F.split(network[network.columns[0]], "/")
-    ident = places.columns
-    rows = network.select(parsed(net[0]).alias("address"), net[1].cast("int").alias("bits"), F.col(network.columns[1]).alias("_id"))
-    rows = rows.join(places.select(F.col(ident[0]).alias("_id"), F.col(ident[1]).alias("continent"), F.col(ident[2]).alias("country"), F.col(ident[3]).cast("int").alias("region")), "_id")
+    rows = places.select(_column(places, _IDENT, 0).alias("_id"), _column(places, _CONTINENT, 1).alias("continent"), _column(places, _COUNTRY, 2).alias("country"), _column(places, ("region",), 3).alias("region"))
+    if regions:
+        of = spark.read.csv(regions, header=True)
+        rows = rows.withColumnRenamed("region", "_code").join(of.select(F.col(of.columns[0]).alias("country"), F.col(of.columns[1]).alias("_code"), F.col(of.columns[2]).alias("region")), ["country", "_code"], "left")
     if polygons:
         p = spark.read.csv(polygons, header=True)
         number = F.shiftleft(F.col(p.columns[1]).cast("long"), 24).bitwiseOR(F.col(p.columns[2]).cast("long"))
         rows = rows.join(p.groupBy(F.col(p.columns[0]).alias("_id")).agg(F.sort_array(F.collect_list(number)).alias("polygons")), "_id", "left")
     else:
-        rows = rows.withColumn("polygons", F.array().cast("array<long>"))
-    values = [(r["address"], r["bits"], (r["continent"], r["country"], r["region"], r["polygons"] or [])) for r in _collected(rows)]
-    return range_table(spark, flatten_prefixes(values), NETACQ_GEO)
+        rows = rows.withColumn("polygons", F.lit(None).cast("array<long>"))
+    value = F.struct("continent", "country", F.coalesce(F.col("region").cast("int"), F.lit(0)).alias("region"), F.coalesce("polygons", F.array().cast("array<long>")).alias("polygons"))
+    return _with_places(spark.read.csv(blocks, header=True), rows, value.cast(NETACQ_GEO))
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:

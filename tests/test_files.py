@@ -10,7 +10,7 @@ from netlume.functions.bpf import compile_filter
 from netlume.operators import flows, tagging
 from netlume.operators.ordering import placed, with_group_size
 from netlume.plans import logs
-from netlume.sources import files, ocf, pcap
+from netlume.sources import dimensions, files, ocf, pcap
 from netlume.sources.packets import synthetic_packets, with_frames, with_others
 
 from .packets_of import packets
@@ -155,3 +155,20 @@ def test_logging(tmp_path, capsys):
     with pytest.raises(ValueError):
         logs.logger("pigeon")
     logs.logger("disabled")
+
+
+def test_published_databases(spark, tmp_path):
+    p = lambda n: str(tmp_path / n)
+    (tmp_path / "blocks2.csv").write_text("network,geoname_id,registered_country_geoname_id,represented_country_geoname_id,is_anonymous_proxy\n1.2.0.0/16,7,7,,0\n1.9.0.0/16,8,8,,0\n")
+    (tmp_path / "places2.csv").write_text("geoname_id,locale_code,continent_code,continent_name,country_iso_code,country_name\n7,en,EU,Europe,DE,Germany\n8,en,NA,North America,US,United States\n")
+    (tmp_path / "blocks1.csv").write_text("startIpNum,endIpNum,locId\n16908288,16973823,7\n17367040,17432575,8\n")
+    (tmp_path / "places1.csv").write_text("locId,country,region,city\n7,DE,1,x\n8,US,2,y\n")
+    (tmp_path / "continents.csv").write_text("country,continent\nDE,EU\nUS,NA\n")
+    (tmp_path / "places3.csv").write_text("id,continent,country,region\n7,EU,DE,BY\n8,NA,US,CA\n")
+    (tmp_path / "regions.csv").write_text("country,region,number\nDE,BY,5\nUS,CA,6\n")
+    df = packets(spark, {"src_ip": SRC}, {"src_ip": SRC + (7 << 16)}, {"src_ip": SRC - (1 << 16)})
+    for own in (dimensions.maxmind(spark, p("blocks2.csv"), p("places2.csv")), dimensions.maxmind(spark, p("blocks1.csv"), p("places1.csv"), p("continents.csv"))):
+        rows = tagging.tag(df, maxmind=own).orderBy("seq").collect()
+        assert [r.maxmind and tuple(r.maxmind) for r in rows] == [("EU", "DE"), ("NA", "US"), None]
+    own = dimensions.netacuity(spark, p("blocks1.csv"), p("places3.csv"), regions=p("regions.csv"))
+    assert [r.netacq and r.netacq.region for r in tagging.tag(df, netacq=own).orderBy("seq").collect()] == [5, 6, None]
