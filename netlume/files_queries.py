@@ -320,3 +320,23 @@ def stream_attacks(spark, sf_dir):
     """Attacks of a stream whose batches hold packets of all times, within the watermark."""
     limits = dos.Thresholds(packets=10, rate=4)
     return _streamed(spark, sf_dir, lambda p: streams.stream_attacks(p, limits, 600, "2 hours"), shuffled=True).withColumn("initial_packet", F.lower(F.hex("initial_packet")))
+
+
+@query(f"{TAGGED} SELECT country, protocol, count(*) AS packet_cnt, sum(ip_len)::BIGINT AS byte_cnt FROM tagged GROUP BY 1, 2")
+def stream_reloaded(spark, sf_dir):
+    """Batches that are tagged with tables read anew for each, and written under their numbers."""
+    at = folder(spark, "batches")
+    synthetic_packets(spark, sf_dir).repartition(3).write.parquet(f"{at}/in")
+    make = lambda t: t.groupBy(F.coalesce("maxmind.country", F.lit("??")).alias("country"), "protocol").agg(F.count("*").alias("packet_cnt"), F.sum("ip_len").alias("byte_cnt"))
+    write = streams.by_batch(lambda batch: tagging.tag(batch, maxmind=providers(spark, sf_dir)["maxmind"], filterbits=False), make, f"{at}/out")
+    running = streams.packet_stream(spark, f"{at}/in", 1).writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("country", "protocol").agg(F.sum("packet_cnt").alias("packet_cnt"), F.sum("byte_cnt").alias("byte_cnt"))
+
+
+@query(f"{TAGGED}, twice AS (SELECT * FROM tagged UNION ALL SELECT * FROM tagged WHERE protocol = 6) SELECT minute AS interval_ts, count(*) AS packet_cnt FROM twice GROUP BY 1")
+def run_merged(spark, sf_dir):
+    """Results of two runs as one."""
+    packets = synthetic_packets(spark, sf_dir)
+    run = pipeline.config({"plugins": ["null"]})
+    return pipeline.merged("null", *(pipeline.results(spark, run, p)["null"] for p in (packets, packets.where("protocol = 6")))).withColumn("interval_ts", intervals.aligned(F.col("interval_ts"))).groupBy("interval_ts").agg(F.sum("packet_cnt").alias("packet_cnt"))

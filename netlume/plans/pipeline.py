@@ -2,13 +2,15 @@
 
 A configuration (YAML or a dict) becomes a chain of DataFrames; nothing runs
 until a plugin's result is read or written.  Plugins are looked up by name;
-``plugin`` adds others.
+``plugin`` adds others, with what they do besides when results of several runs
+are merged, when a file is complete, and when a run ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,18 +102,34 @@ class Plugin(Protocol):
     def __call__(self, tagged: DataFrame, run: Config, options: dict) -> DataFrame: ...
 
 
+@dataclass
+class Hooks:
+    """What a plugin does besides: ``merge`` makes one result of those of several runs, ``rotated`` gets the path and the start of a file that is complete, ``halted`` the run that ends."""
+
+    merge: Callable[..., DataFrame] | None = None
+    rotated: Callable[[str, int], None] | None = None
+    halted: Callable[[Config], None] | None = None
+
+
 PLUGINS: dict[str, Plugin] = {}
+HOOKS: dict[str, Hooks] = {}
 
 
-def plugin(name: str) -> Callable[[Plugin], Plugin]:
+def plugin(name: str, merge=None, rotated=None, halted=None) -> Callable[[Plugin], Plugin]:
     def put(f: Plugin) -> Plugin:
-        PLUGINS[name.lower()] = f
+        PLUGINS[name.lower()], HOOKS[name.lower()] = f, Hooks(merge, rotated, halted)
         return f
 
     return put
 
 
-@plugin("flowtuple")
+def merged(name: str, *parts: DataFrame) -> DataFrame:
+    """The results of several runs of a plugin as one: as the plugin says, else all rows."""
+    merge = HOOKS[name.lower()].merge
+    return merge(*parts) if merge else reduce(DataFrame.unionByName, parts)
+
+
+@plugin("flowtuple", merge=flows.merged)
 def _flows(tagged, run, options):
     rows = flows.flows(tagged, run.interval, run.first)
     return flows.ordered(rows) if on(options.get("sorttuples", "no")) else rows
@@ -147,12 +165,16 @@ def _report(tagged, run, options):
     return report.time_series(rows) if options.get("output_format") == "libtimeseries" else rows.drop("metric_class")
 
 
-@plugin("null")
+def _counts_merged(*parts: DataFrame) -> DataFrame:
+    return archive.merged_counters(reduce(DataFrame.unionByName, parts), ["packet_cnt"])
+
+
+@plugin("null", merge=_counts_merged)
 def _count(tagged, run, options):
     return intervals.counter(tagged, run.interval, run.first)
 
 
-@plugin("archive")
+@plugin("archive", merge=lambda *parts: archive.chronological(*parts).drop("input_idx"))
 def _archive(tagged, run, options):
     from ..sources.packets import SCHEMA
 
@@ -197,4 +219,15 @@ def write(result: DataFrame, run: Config, name: str, time_column: str | None = N
         writer_of = result.withColumn("rotate_ts", intervals.rotation(F.col(time_column), run.interval, run.rotate))
     writer = writer_of.write.mode("append").format(fmt).options(**options)
     (writer.partitionBy("rotate_ts") if run.rotate and time_column else writer).save(path)
+    if name.lower() in HOOKS and (rotated := HOOKS[name.lower()].rotated):
+        starts = writer_of.select("rotate_ts").distinct().orderBy("rotate_ts").collect() if run.rotate and time_column else [(run.start,)]  # a row for each file
+        for row in starts:
+            rotated(f"{path}/rotate_ts={row[0]}" if run.rotate and time_column else path, row[0])
     return path
+
+
+def halt(run: Config) -> None:
+    """Tell the plugins of a run, in their order, that it ends."""
+    for name, _ in run.plugins:
+        if halted := HOOKS[name.lower()].halted:
+            halted(run)

@@ -94,3 +94,43 @@ def test_batches(spark, tmp_path):
     for _ in range(2):
         write(packets(spark, {}, {}), 7)
     assert spark.read.parquet(str(tmp_path)).first()["count"] == 2
+
+
+def test_hooks_of_plugins(spark, tmp_path):
+    said = []
+
+    @pipeline.plugin("hooked", rotated=lambda path, ts: said.append((path.rpartition("/")[2], ts)), halted=lambda run: said.append("end"))
+    def hooked(tagged, run, options):
+        return tagged.select("ts_sec")
+
+    run = pipeline.config({"plugins": ["hooked"], "rotatefreq": 1}, template=f"{tmp_path}/%P")
+    out = pipeline.results(spark, run, packets(spark, {"ts_sec": 60}, {"ts_sec": 130}))
+    pipeline.write(out["hooked"], run, "hooked", "ts_sec")
+    pipeline.halt(run)
+    assert said == [("rotate_ts=60", 60), ("rotate_ts=120", 120), "end"]
+    one = flows.flows(tagging.tag(packets(spark, {})))
+    assert pipeline.merged("flowtuple", one, one).first().packet_cnt == 2 and pipeline.merged("hooked", one, one).count() == 2
+
+
+def test_intervals_that_removal_empties_are_complete(spark):
+    """Removal neither takes intervals away nor moves the first one."""
+    rows = [{"ts_sec": t, "ttl": 64, "ip_off": off} for t, off in ((61, 5), (120, 0), (179, 0), (180, 5), (239, 5), (240, 0), (299, 0))]
+    run = pipeline.config({"plugins": [{"report": {"limitmetrics": ["combined"]}}, "null", "flowtuple"], "removespoofed": "yes"})
+    out = pipeline.results(spark, run, packets(spark, *rows))
+    assert {r.bin_timestamp: r.pkt_cnt for r in out["report"].collect()} == {120: 2, 240: 2}
+    assert {r.interval_ts: r.packet_cnt for r in out["null"].collect()} == {120: 2, 240: 2} and {r.time for r in out["flowtuple"].collect()} == {120, 240}
+    first = pipeline.results(spark, pipeline.config({"plugins": ["flowtuple"]}), packets(spark, *rows))["flowtuple"]
+    assert min(r.time for r in first.collect()) == 61
+
+
+def test_quiet_intervals_end_by_the_clock(spark, tmp_path):
+    packets(spark, {"ts_sec": 60}, {"ts_sec": 61}, {"ts_sec": 125}).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = streams.stream_quiet_intervals(streams.packet_stream(spark, str(tmp_path / "in")), 60, 1)
+    q = out.writeStream.format("memory").queryName("quiet").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if spark.table("quiet").count() == 2 or q.awaitTermination(1):
+                break
+    finally:
+        q.stop()
+    assert {(r.interval_ts, r.packet_cnt) for r in spark.table("quiet").collect()} == {(60, 2), (120, 1)}
