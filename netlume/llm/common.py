@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import struct
 import tempfile
@@ -153,6 +154,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give memory that was freed back to the system; a worker serves many tasks, of all stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run):
+    """A function of record batches that calls ``release`` when a task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 SPLIT_BYTES = 64 << 20
 
 
@@ -282,7 +302,7 @@ class Block:
 
 
 BLOCK_SCHEMA = "block_id long, n_words long, n_distinct long, data binary"
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 DIGEST = 16
 """Bytes of the MD5 of a path."""
 
@@ -326,7 +346,7 @@ def stage_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_
         if ids:
             yield flush()
 
-    blocks = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *(PLACE if places else ())).mapInArrow(run, BLOCK_SCHEMA)
+    blocks = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *(PLACE if places else ())).mapInArrow(releasing(run), BLOCK_SCHEMA)
     return written(blocks, name, (splits(docs), "block_id"))
 
 
@@ -413,9 +433,10 @@ def exchange(asked: DataFrame, questions: list[Question], name: str) -> tuple[Da
         k = int(np.searchsorted(offsets, bucket, "right")) - 1
         answers, counters = questions[k].reduce([unpack(x) for x in table.column("data").to_pylist()])
         first = [[float(k), *map(float, counters)]] + [None] * (len(answers) - 1)
+        release()
         return pa.Table.from_pydict({"block_id": table.column("block_id"), "bucket": table.column("bucket"), "data": pa.array([pack(a) for a in answers], pa.binary()), "counters": pa.array(first, pa.list_(pa.float64()))})
 
-    requests = asked.mapInArrow(ask, "bucket int, block_id long, data binary").repartition(max(2 * offsets[-1], partitions(asked.sparkSession)), "bucket")
+    requests = asked.mapInArrow(releasing(ask), "bucket int, block_id long, data binary").repartition(max(2 * offsets[-1], partitions(asked.sparkSession)), "bucket")
     answers = written(requests.groupBy("bucket").applyInArrow(answer, "block_id long, bucket int, data binary, counters array<double>"), name)
     replies = answers.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "data")).alias("replies"))
     return replies, answers.where("counters is not null").select(F.col("counters")[0].cast("int").alias("question"), F.expr("slice(counters, 2, size(counters) - 1)").alias("counters"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Block, Question, buckets_for, by_key, exchange, id_or_null, mix, replied, stage_blocks, steps, word_hashes
+from .common import NULL_ID, Block, Question, buckets_for, by_key, exchange, id_or_null, mix, releasing, replied, stage_blocks, steps, word_hashes
 
 ORDER = 2
 """What the check tool's limits leave room for; the README has figures of order 3."""
@@ -345,7 +345,7 @@ def katz_scores(docs: DataFrame, folds: int = 10, order: int = ORDER, id_col: st
                     "train_tokens": pa.array(np.full(len(ids), int(total))), "base_score": pa.array(each(base[one.at])), "score": pa.array(each(top)),
                 })
 
-    return asked.mapInArrow(score, OUTPUT)
+    return asked.mapInArrow(releasing(score), OUTPUT)
 
 
 def op6_katz(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, PLACE, Block, Question, buckets_for, by_key, exchange, id_or_null, mix, replied, rolling, stage_blocks, steps, word_hashes
+from .common import NULL_ID, PLACE, Block, Question, buckets_for, by_key, exchange, id_or_null, mix, releasing, replied, rolling, stage_blocks, steps, word_hashes
 
 WINDOW, GROUP = 13, 5
 SHARD, LONGEST = 200_000, 64
@@ -282,11 +282,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 first = replied(row["earliest"])
                 gone = np.zeros(len(block.words), bool) if first is None else Segments(block, row["replies"], window, group).removed(first)
                 starts, vocab = block.starts().tolist(), block.vocab
-                words, texts, spans, counts = block.words.tolist(), [], [], []
+                texts, spans, counts = [], [], []
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
                     cut = gone[a:b]
                     counts.append(int(cut.sum()))
-                    kept = block.words[a:b][~cut].tolist() if counts[-1] else words[a:b]
+                    kept = (block.words[a:b][~cut] if counts[-1] else block.words[a:b]).tolist()
                     texts.append(b" ".join([vocab[w] for w in kept]))
                     if counts[-1]:
                         step = np.flatnonzero(np.diff(np.concatenate([[0], cut.astype(np.int8), [0]])))
@@ -299,7 +299,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                     **({PLACE[0]: pa.array([x.tobytes() for x in block.files], pa.binary()), PLACE[1]: pa.array(block.rows, pa.int64())} if places else {}),
                 })
 
-    return asked.join(earliest.withColumnRenamed("replies", "earliest"), "block_id", "left").mapInArrow(locate, PLACE_OUTPUT if places else OUTPUT)
+    return asked.join(earliest.withColumnRenamed("replies", "earliest"), "block_id", "left").mapInArrow(releasing(locate), PLACE_OUTPUT if places else OUTPUT)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
