@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, MisraGries, placed, without, written
+from .common import MisraGries, PLACE, placed, releasing, without, written
 
 COUNTERS = 4095
 """Counters of a Misra-Gries summary.  A digest is frequent from 4 / (COUNTERS + 1) of all rows on."""
@@ -36,7 +36,7 @@ def frequent_digests(keyed: DataFrame, counters: int = COUNTERS) -> DataFrame:
         found = summary.frequent()
         yield pa.RecordBatch.from_pydict({"digest": pa.array([*found, None], pa.binary()), "n": pa.array([*found.values(), summary.rows], pa.int64())})
 
-    sums = written(keyed.select("digest").mapInArrow(summarise, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")), "frequent")
+    sums = written(keyed.select("digest").mapInArrow(releasing(summarise), "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")), "frequent")
     rows = (sums.where("digest is null").first() or {"n": 0})["n"]
     return sums.where(F.col("digest").isNotNull() & (F.col("n") * (counters + 1) >= 2 * rows)).select("digest")
 

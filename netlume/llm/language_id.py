@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of, mix, portions
+from .common import id_or_null, ids_of, mix, portions, releasing
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str =
             at = np.flatnonzero(table) if table.any() else np.array([BUCKETS])
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at)), "key": pa.array(at, pa.int32()), "n": pa.array(table[at])})
 
-    parts = rows.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(count, "lang string, key int, n double")
+    parts = rows.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(releasing(count), "lang string, key int, n double")
     table = parts.groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows and some for each language at most
     langs, keys, n = table.column("lang").to_pylist(), table.column("key").to_numpy(), table.column("n").to_numpy()
     names = sorted(set(langs))
@@ -223,7 +223,7 @@ def language_spans(docs: DataFrame, model: Languages, switch: float = SWITCH, wi
             kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
             yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "spans": pa.array(spans, kind)})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, OUTPUT)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(releasing(run), OUTPUT)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

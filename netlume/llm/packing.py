@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of, portions, texts_of, written
+from .common import id_or_null, ids_of, portions, releasing, texts_of, written
 from .token_counts import vocabulary_path
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 2048, 0
@@ -139,7 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENG
             names, kinds = ("piece", "start", "length", "ids_crc32", "ids", "task", "rank"), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(np.array(rows[0], np.int64))} | {c: pa.array(x, k) for c, x, k in zip(names, rows[1:], kinds, strict=True)})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, rank long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(releasing(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, rank long")
 
 
 def plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, int, int]]:
@@ -211,7 +211,7 @@ def best_fit(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH,
             placed = [pa.array(sequence[k] + rank - first[k]), pa.array(offset[k])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], *placed], ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"])
 
-    placed = ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")
+    placed = ranked.mapInArrow(releasing(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")
     return placed if with_ids else placed.drop("ids")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, id_or_null, ids_of, placed, portions, texts_of, written
+from .common import PLACE, id_or_null, ids_of, placed, portions, releasing, texts_of, written
 from .text_stats import SHARES, shares, statistics
 
 #: Labellers: the share that a labeller looks at, up to where it votes good, and from where on bad (turned round if the first is larger).
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             pattern = votes(shares(stats), stats[:, 0]) @ powers if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "pattern": pa.array(pattern, pa.int64()), PLACE[0]: batch.column(2), PLACE[1]: batch.column(3)})
 
-    voted = written(texts.mapInArrow(vote, f"doc_id long, pattern long, {PLACE[0]} binary, {PLACE[1]} long"), "votes")
+    voted = written(texts.mapInArrow(releasing(vote), f"doc_id long, pattern long, {PLACE[0]} binary, {PLACE[1]} long"), "votes")
     counted = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** labellers rows
     patterns = np.array([[r["pattern"] // p % 3 for p in powers] for r in counted], np.int64).reshape(-1, len(LABELLERS))
     accuracy, prior, good = expectation_maximisation(patterns, np.array([r["count"] for r in counted]))
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             yield pa.RecordBatch.from_pydict({"pattern": batch.column(1), "row": pa.array(rows, pa.binary())})
 
     wanted = texts.join(F.broadcast(chosen), [*PLACE]).select("text", "pattern")  # `sample` rows of a few numbers; places are unique
-    table = wanted.mapInArrow(describe, "pattern long, row binary").toArrow()
+    table = wanted.mapInArrow(releasing(describe), "pattern long, row binary").toArrow()
     rows = sorted(zip(table.column("pattern").to_pylist(), table.column("row").to_pylist(), strict=True))  # they come in any order
     x, y = np.zeros((len(rows), FEATURES), np.float32), np.array([posterior[p] for p, _ in rows])
     for k, (_, row) in enumerate(rows):
@@ -227,7 +227,7 @@ def quality(docs: DataFrame, model: QualityModel | None = None, keep: float = KE
             score, weak = shared.value.scores(texts_of(batch.column(1)), weight_of)
             yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "weak": pa.array(weak, pa.float64()), "score": pa.array(score, pa.float64()), "kept": pa.array(score >= keep)})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, weak double, score double, kept boolean")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(releasing(run), "doc_id long, weak double, score double, kept boolean")
 
 
 def drop_bad(docs: DataFrame, keep: float = KEEP, text_col: str = "text") -> DataFrame:
@@ -240,7 +240,7 @@ def drop_bad(docs: DataFrame, keep: float = KEEP, text_col: str = "text") -> Dat
         for batch in portions(batches, at):
             yield batch.filter(pa.array(shared.value.scores(texts_of(batch.column(at)), weight_of)[0] >= keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of, texts_of, written
+from .common import id_or_null, ids_of, releasing, texts_of, written
 from .text_stats import NAMES, shares, statistics
 
 TREES, ROWS, SEED = 100, 256, 10
@@ -51,7 +51,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             columns = np.array(rows, np.int64).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0)))} | {n: pa.array(columns[:, j].copy()) for j, n in enumerate(NAMES)})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in NAMES))
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(releasing(run), "doc_id long, " + ", ".join(f"{n} long" for n in NAMES))
 
 
 def _mean_path(n: float) -> float:
@@ -137,7 +137,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             x = np.stack([batch.column(j + 1).to_numpy() for j in range(len(NAMES))], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.score(shares(x)))], ["quality", "score"])
 
-    scored = passed.join(marks, "doc_id").select("quality", *NAMES).mapInArrow(score, "quality int, score double")
+    scored = passed.join(marks, "doc_id").select("quality", *NAMES).mapInArrow(releasing(score), "quality int, score double")
     counted = scored.groupBy("quality", F.floor(F.col("score") * STEPS)).agg(F.count("*").alias("n"), F.max("score").alias("score")).collect()  # 2 * (STEPS + 1) rows at most
     numbers = [np.array([(r["score"], r["n"]) for r in counted if r["quality"] == k]).reshape(-1, 2).T for k in (1, 0)]
     threshold = best_threshold(numbers[0][0], numbers[1][0], good_weight, numbers[0][1], numbers[1][1])
@@ -150,7 +150,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             anomaly = shared.value[0].score(shares(x))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anomaly), pa.array(~failed & (anomaly <= shared.value[1]))], [*batch.schema.names, "anomaly", "kept"])
 
-    return stats.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in NAMES) + ", base_failed boolean, anomaly double, kept boolean")
+    return stats.mapInArrow(releasing(run), "doc_id long, " + ", ".join(f"{n} long" for n in NAMES) + ", base_failed boolean, anomaly double, kept boolean")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

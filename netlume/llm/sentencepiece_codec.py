@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of, portions
+from .common import id_or_null, ids_of, portions, releasing
 from .token_counts import MODEL, SPACE, loaded, pre_tokens
 
 UNKNOWN = -1
@@ -208,7 +208,7 @@ def sentencepiece_encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc
                 "decoded_crc32": pa.array([zlib.crc32(d.encode()) for d in decoded], pa.int64()), "round_trip": pa.array([d == t.replace(SPACE, " ") for d, t in zip(decoded, texts, strict=True)]),
             })
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded_crc32 long, round_trip boolean")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(releasing(run), "doc_id long, n_tokens long, ids binary, decoded_crc32 long, round_trip boolean")
 
 
 def sentencepiece_decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
@@ -228,7 +228,7 @@ def sentencepiece_decode(encoded: DataFrame, model: str = MODEL, ids_col: str =
             decoded = [None if x is None else lex.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(releasing(run), schema)
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:

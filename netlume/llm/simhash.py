@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, id_or_null, ids_of, partitions, placed, texts_of, without, written
+from .common import PLACE, id_or_null, ids_of, partitions, placed, releasing, texts_of, without, written
 from .components import components
 
 SEED, SHINGLE, BITS, BYTES = 42, 3, 3, 8
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "print": pa.array(prints.view(np.int64)), **{c: batch.column(2 + j) for j, c in enumerate(carry)}})
 
     types = {PLACE[0]: "binary", PLACE[1]: "long"}
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *carry).mapInArrow(run, ", ".join(["doc_id long, print long", *(f"{c} {types[c]}" for c in carry)]))
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *carry).mapInArrow(releasing(run), ", ".join(["doc_id long, print long", *(f"{c} {types[c]}" for c in carry)]))
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:

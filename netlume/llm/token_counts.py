@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MisraGries, id_or_null, ids_of, pack, portions, unpack
+from .common import MisraGries, id_or_null, ids_of, pack, portions, releasing, unpack
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -117,9 +117,9 @@ def frequent_lengths(docs: DataFrame, text_col: str, model: str, entries: int =
                 summary.add(*table_entries(table))
         yield summed(summary)
 
-    summaries = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "summary binary")
+    summaries = docs.select(F.col(text_col).cast("string")).mapInArrow(releasing(count), "summary binary")
     total = MisraGries(counters)
-    for r in summaries.repartition(mergers).mapInArrow(merge, "summary binary").collect():  # ``mergers`` rows of a fixed size
+    for r in summaries.repartition(mergers).mapInArrow(releasing(merge), "summary binary").collect():  # ``mergers`` rows of a fixed size
         total.add(*table_entries(r["summary"]))
     top = sorted(((n, u) for u, n in total.held.items() if n > 1), key=lambda x: (-x[0], x[1]))[:entries]
     encode = loaded(model).encode
@@ -144,7 +144,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", te
             n_bytes = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": id_or_null(ids_of(batch.column(0))), "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(releasing(run), "doc_id long, n_bytes long, n_tokens long")
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
