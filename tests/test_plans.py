@@ -1,13 +1,19 @@
 """Configurations, plugins and streams."""
 
+import shutil
+from collections import defaultdict
+from itertools import pairwise
+
 import pytest
 from pyspark.sql import functions as F
 
 from netlume.operators import dos, flows, tagging
 from netlume.plans import pipeline
+from netlume.queries import ORACLES, QUERIES
 from netlume.sources.packets import synthetic_packets
 from netlume.streaming import packets as streams
 
+from .oracle import compare, connect
 from .packets_of import packets
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +95,41 @@ def test_streamed_attacks_are_those_of_a_batch(spark, tmp_path):
     assert sorted(map(tuple, out.select(*keys).collect())) == sorted(map(tuple, want.select(*keys).collect())) and out.count() > 10
 
 
+def test_streamed_first_packets_that_tie(spark, tmp_path):
+    """The frame decides, in whatever order packets and batches come; no frame is first, as in a batch."""
+    batches = [[(1, b"b"), (1, b"a"), (2, b"b"), (2, None), (3, b"b"), (4, b"a"), (5, None), (6, b"b")], [(3, b"a"), (4, b"b"), (5, b"a"), (6, None)]]
+    made = [packets(spark, *({"ts_sec": 60, "tcp_flags": 18, "src_ip": ip, "l2_bytes": frame} for ip, frame in b)).withColumn("seq", F.lit(1).cast("long")) for b in batches]
+    for part in (*made, packets(spark, {"ts_sec": 6000, "tcp_flags": 18})):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    limits = dos.Thresholds(packets=1, seconds=0, rate=1)
+    out = streams.stream_attacks(streams.packet_stream(spark, str(tmp_path / "in"), 1), limits, 60)
+    q = out.writeStream.format("memory").queryName("ties").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    want = dos.attacks(tagging.tag(made[0].union(made[1])), limits, 60)
+    got = {r.target_ip: r.initial_packet and bytes(r.initial_packet) for r in spark.table("ties").collect()}
+    assert got == {1: b"a", 2: None, 3: b"a", 4: b"a", 5: None, 6: None}
+    assert sorted(map(str, spark.table("ties").collect())) == sorted(map(str, want.select(*out.columns).collect()))
+
+
+def test_streamed_attacks_of_ties_are_those_of_sql(spark, tmp_path):
+    """Vectors whose nine first packets differ by no more than source, place and frame."""
+    vectors = defaultdict(list)
+    for n in range(9, 100_000, 10):
+        if n % 97 and (n >> 3) % 19 in dos.QUOTING:
+            vectors[n % 256].append((n * 7919 % 3600, n))
+    spans = [(a[1], b[1]) for v in vectors.values() for a, b in pairwise(sorted(v)) if a[0] // 600 == b[0] // 600 and b[0] >= a[0] + 60 and a == min(v)]
+    rows = [(n // 8, 100 + 37 * k, 10 + 101 * k, n % 8) for span in spans[:20] for n in span for k in range(9)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long")
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    shutil.copy(f"{SF}/nation.parquet", tmp_path)
+    df = QUERIES["stream_attacks"](spark, str(tmp_path))
+    assert df.count() >= 10
+    assert compare(df, connect(str(tmp_path)), ORACLES["stream_attacks"]) is None
+
+
 def test_batches(spark, tmp_path):
     write = streams.by_batch(tagging.tag, lambda t: t.groupBy("protocol").count(), str(tmp_path))
     for _ in range(2):
