@@ -175,3 +175,12 @@ def test_quiet_intervals_end_by_the_clock(spark, tmp_path):
     finally:
         q.stop()
     assert {(r.interval_ts, r.packet_cnt) for r in spark.table("quiet").collect()} == {(60, 2), (120, 1)}
+
+
+def test_columns_of_streamed_attacks(spark, tmp_path):
+    """Each column costs each vector of a batch a conversion in Python: the numbers of a packet go as one."""
+    out = streams.stream_attacks(streams.packet_stream(spark, str(tmp_path)))
+    plan = out._jdf.queryExecution().analyzed()
+    while "FlatMapGroupsInPandasWithState" not in plan.nodeName():
+        plan = plan.children().head()
+    assert plan.children().head().output().size() <= 9  # of these, two are keys that pass twice
