@@ -7,6 +7,7 @@ from itertools import pairwise
 import pytest
 from pyspark.sql import functions as F
 
+from netlume import files_queries
 from netlume.operators import dos, flows, tagging
 from netlume.plans import pipeline
 from netlume.queries import ORACLES, QUERIES
@@ -184,3 +185,14 @@ def test_columns_of_streamed_attacks(spark, tmp_path):
     while "FlatMapGroupsInPandasWithState" not in plan.nodeName():
         plan = plan.children().head()
     assert plan.children().head().output().size() <= 9  # of these, two are keys that pass twice
+
+
+def test_batches_of_a_played_stream(spark, tmp_path):
+    """A batch comes as a whole, from as many files as there are tasks, also where none has a row of the one before."""
+    rows = [{"ts_sec": 60 * (k % 4)} for k in range(400) if k % 4 != 1]
+    seen = []
+    start = lambda p: p.writeStream.foreachBatch(lambda b, _: seen.append(({r[0] for r in b.select("ts_sec").distinct().collect()}, b.count()))).option("checkpointLocation", f"{tmp_path}/c").start()
+    last = packets(spark, {"ts_sec": 999})
+    files_queries._played(spark, f"{tmp_path}/at", packets(spark, *rows).repartition(8), (F.col("ts_sec") / 60).cast("int"), 4, start, last)
+    assert seen == [({0}, 100), ({120}, 100), ({180}, 100), ({999}, 1)]
+    assert [len(list((tmp_path / "at" / "in" / k).glob("*.parquet"))) for k in "023"] == [8, 8, 8]
