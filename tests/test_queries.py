@@ -31,3 +31,16 @@ def test_entry(spark):
     names = set(entry.queries())
     assert set(QUERIES) <= names and set(entry.oracle_sql()) <= names
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_stages_whose_methods_are_not_compiled_are_left_unfused(spark):
+    """The JVM interprets methods over 8,000 bytes; an own, lower limit stays."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        for own, kept in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(limit, own)
+            QUERIES["flows"](spark, SF)
+            assert spark.conf.get(limit) == kept
+    finally:
+        spark.conf.set(limit, before)
