@@ -172,3 +172,29 @@ def test_published_databases(spark, tmp_path):
         assert [r.maxmind and tuple(r.maxmind) for r in rows] == [("EU", "DE"), ("NA", "US"), None]
     own = dimensions.netacuity(spark, p("blocks1.csv"), p("places3.csv"), regions=p("regions.csv"))
     assert [r.netacq and r.netacq.region for r in tagging.tag(df, netacq=own).orderBy("seq").collect()] == [5, 6, None]
+
+
+def test_containers_and_captures_go_in_arrow_batches(tmp_path):
+    """Rows cross between the JVM and Python by the batch; small, large and negative numbers, nulls and empty texts stay what they are."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from netlume.sources import ocf, pcap
+
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("t", T.StringType()), T.StructField("b", T.BooleanType(), False), T.StructField("d", T.DoubleType(), False)])
+    numbers = [0, 1, -1, 63, 64, -65, 65535, 65536, 2**63 - 1, -(2**63), None]
+    columns = [numbers, ["", "ü", None, "x" * 20_000, *"abcdefg"], [k % 2 == 0 for k in range(11)], [k / 7 for k in range(11)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=schema.names)
+    for codec in ocf.CODECS:
+        at = str(tmp_path / codec)
+        writer = ocf.OcfWriter(schema, {"path": at, "codec": codec}, True)
+        writer.commit([writer.write(iter([batch, batch]))])
+        reader = ocf.OcfReader([str(p) for p in (tmp_path / codec).glob("*.avro")], schema)
+        read = [b for p in reader.partitions() for b in reader.read(p)]
+        assert all(isinstance(b, pa.RecordBatch) for b in read) and pa.Table.from_batches(read).to_pydict() == {n: 2 * c for n, c in zip(schema.names, columns, strict=True)}
+    frames = pa.RecordBatch.from_arrays([pa.array(c) for c in ([5, 6], [1, 2], [60, 61], [b"ab", None])], names=["ts_sec", "ts_usec", "wirelen", "l2_bytes"])
+    writer = pcap.PcapWriter({"path": str(tmp_path / "p")}, True)
+    writer.commit([writer.write(iter([frames]))])
+    (path,) = (tmp_path / "p").glob("*.pcap")
+    with open(path, "rb") as f:
+        assert list(pcap.records(f, str(path))) == [(5, 1, 60, b"ab", 1), (6, 2, 61, b"", 1)]
