@@ -3,8 +3,9 @@
 Shared-prefix Viterbi.  The distinct marked words (with the spaces before
 them) of a batch that the worker hasn't segmented yet are sorted, which lays
 them out as a depth-first walk through their trie: a word differs from the one
-before it only below their common prefix.  The forward scores, and the pieces
-that are still open, of that prefix are reused; only the rest is computed.
+before it only below their common prefix.  What the search knows of that
+prefix is reused; only the rest is computed.  The pieces that end at a
+character, which are the lattice's edges, come from an Aho-Corasick automaton.
 
 The public model is one of merges: its scores are ranks, the best-ranked two
 neighbours are joined first, of equal ones the leftmost, and the segmentation
@@ -13,7 +14,9 @@ the search is therefore the last piece, and its transitions come from the
 ranks: a piece may follow another one if merging the characters of both by
 rank ends with the two as they are.  A sequence of pieces in which all
 neighbours may follow each other is the one that merging ends with, and there
-is one for each word and each of its prefixes.
+is one for each word and each of its prefixes.  So of the pieces that end at a
+character only one can follow what is before it: the search takes that, the
+longest being asked first, and has no scores to compare.
 
 Pieces of spaces alone rank below all others, so merging first joins a word
 with the last space before it, and then what is left of the run, from its left
@@ -35,6 +38,8 @@ from .token_counts import MODEL, SPACE, loaded, pre_tokens
 
 UNKNOWN = -1
 """Stands for a character without a piece, which becomes the pieces of its bytes."""
+ENDING, SHORTER = None, 0
+"""Keys of a node besides characters: the pieces that end there, and the node of its longest proper suffix."""
 NEVER = float("-inf")
 PAIRS, RUNS = 500_000, 10_000
 CACHE = 600_000
@@ -55,16 +60,34 @@ class Lexicon:
         self.longest_run = max((len(p) for p in self.rank if not p.strip(SPACE)), default=1)
         self.lone_space = np.array([self.number.get(SPACE, 0)], "<u4").tobytes()
         self.pairs, self.known, self.runs = {}, {}, {}  # known: words and their ids, for all tasks of the worker
-        self.root: dict = {}
-        for i, piece in enumerate(self.pieces):
-            if self.plain[i] and self.merged(piece) == [piece]:  # others are never what merging ends with
-                node = self.root
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[None] = i
+        # Others are never what merging ends with.
+        self.root = self._automaton([i for i, p in enumerate(self.pieces) if self.plain[i] and self.merged(p) == [p]])
         byte_pieces = set(self.bytes.values())
         self.texts = [bytes([int(p[3:5], 16)]) if i in byte_pieces else p.replace(SPACE, " ").encode() if self.plain[i] else b"" for i, p in enumerate(self.pieces)]
 
+    def _automaton(self, pieces: list[int]) -> dict:
+        """The root of a trie of pieces, whose nodes name theirs that end there, the longest first: length, number, the number as the left one of a pair, and as an id."""
+        self.characters = {self.pieces[i] for i in pieces if len(self.pieces[i]) == 1}
+        root: dict = {}
+        for i in pieces:
+            node = root
+            for c in self.pieces[i]:
+                node = node.setdefault(c, {})
+            node[ENDING] = ((len(self.pieces[i]), i, i << 32, np.array([i], "<u4").tobytes()),)
+        level = [(root, c, node) for c, node in root.items()]
+        while level:
+            below = []
+            for parent, c, node in level:
+                below += [(node, k, child) for k, child in node.items() if k is not ENDING]
+                at = parent.get(SHORTER)
+                while at is not None and c not in at:
+                    at = at.get(SHORTER)
+                node[SHORTER] = root if at is None else at[c]
+                # A character without a piece is never joined with others.
+                node[ENDING] = node.get(ENDING, ()) + node[SHORTER].get(ENDING, ()) if c in self.characters else ()
+            level = below
+        return root
+
     def merged(self, text: str, border: int = -1) -> list[str] | None:
         """What merging by rank makes of characters; None as soon as it joins those on both sides of ``border``."""
         parts, rank = [*text], self.rank.get
@@ -117,57 +140,57 @@ class Lexicon:
         """The ids of each word (little-endian unsigned 32-bit), with all the spaces before it."""
         spaced, plain = {}, set()
         for word in words:
-            rest = word.lstrip(SPACE)
-            n = len(word) - len(rest)
-            spaced[word] = n, SPACE * min(n, 1) + rest
-            if rest:
-                plain.add(spaced[word][1])
-        found, out = self._segmented(sorted(plain)), {}
+            if word != SPACE and not word.startswith(SPACE + SPACE):
+                plain.add(word)
+            else:
+                rest = word.lstrip(SPACE)
+                spaced[word] = len(word) - len(rest), SPACE + rest
+        cores = {core for _, core in spaced.values() if core != SPACE}
+        found = self._segmented(sorted(plain | cores))
         for word, (n, core) in spaced.items():
-            if not core.strip(SPACE):
-                out[word] = self.run(n)
-            elif n < 2:
-                out[word] = found[core]
+            if core == SPACE:
+                found[word] = self.run(n)
             elif found[core][:4] == self.lone_space:  # the last space isn't joined with the word, but with the run
-                out[word] = self.run(n) + found[core][4:]
+                found[word] = self.run(n) + found[core][4:]
             else:
-                out[word] = self.run(n - 1) + found[core]
-        return out
+                found[word] = self.run(n - 1) + found[core]
+        for core in cores - plain:
+            del found[core]
+        return found
 
     def _segmented(self, words: list[str]) -> dict[str, bytes]:
         """The ids of sorted words with one space before them at most."""
-        root, scores, may_follow = self.root, self.scores, self.may_follow
-        best, back, opened, before, out = [0.0], [(0, UNKNOWN)], [[]], "", {}
+        root, known = self.root, self.pairs.get
+        # By length of the prefix: its node, its last piece as the left one of a pair, and its ids; a last piece of None stands for no way to end there.
+        states, before, out = [(root, UNKNOWN, b"")], "", {}
         for word in words:
-            shared, limit = 0, min(len(word), len(before))
-            while shared < limit and word[shared] == before[shared]:
+            shared = 0
+            for a, b in zip(word, before):  # noqa: B905
+                if a != b:
+                    break
                 shared += 1
-            del best[shared + 1 :], back[shared + 1 :], opened[shared + 1 :]
+            del states[shared + 1 :]
+            node = states[shared][0]
             for d in range(shared, len(word)):
-                c, still, top, came = word[d], [], None, None
-                for start, node in (*opened[d], (d, root)):
-                    node = node.get(c)
-                    if node is not None:
-                        still.append((start, node))
-                        piece = node.get(None)
-                        if piece is not None and best[start] is not None:
-                            last = back[start][1]
-                            if last == UNKNOWN or may_follow(last, piece):
-                                s = best[start] + scores[piece]
-                                if top is None or s > top:
-                                    top, came = s, (start, piece)
-                if c not in root or None not in root[c]:
-                    top, came = best[d], (d, UNKNOWN)
-                best.append(top)
-                back.append(came)
-                opened.append(still)
-            numbers, parts, d = [], [], len(word)
-            while d:
-                start, piece = back[d]
-                numbers.append(piece)
-                parts.append(word[start:d])
-                d = start
-            out[word] = self._ids(numbers[::-1], parts[::-1])
+                c = word[d]
+                while (to := node.get(c)) is None and node is not root:
+                    node = node[SHORTER]
+                node = root if to is None else to
+                for length, piece, pair, own in node.get(ENDING, ()):
+                    _, last, ids = states[d + 1 - length]
+                    if last is None:
+                        continue
+                    if last != UNKNOWN:
+                        follows = known(last | piece)
+                        if not (self.may_follow(last >> 32, piece) if follows is None else follows):
+                            continue
+                    states.append((node, pair, ids + own))
+                    break
+                else:
+                    _, last, ids = states[d]
+                    lost = c in self.characters or last is None
+                    states.append((node, None, None) if lost else (node, UNKNOWN, ids + self._ids([UNKNOWN], [c])))
+            out[word] = states[-1][2]
             before = word
         return out
 

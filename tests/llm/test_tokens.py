@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from netlume.llm import sentencepiece_codec
 from netlume.llm import token_counts as counts
 from netlume.llm.packing import best_fit, plan
 from netlume.llm.sentencepiece_codec import Lexicon, lexicon, sentencepiece_decode, sentencepiece_encode
@@ -43,6 +44,28 @@ def test_segmentations_are_the_librarys(sample):
         assert lex.decode(ids) == word.replace("▁", " ").removeprefix(" ")
 
 
+def test_only_one_piece_is_taken_at_a_character(sample, monkeypatch):
+    """The pieces that end at a character are asked about until one may follow, which none of the others may."""
+    monkeypatch.setattr(sentencepiece_codec, "PAIRS", 0)  # so that hardly an answer is remembered
+    asked, lex = [], Lexicon(counts.MODEL)
+    may_follow = lex.may_follow
+    monkeypatch.setattr(lex, "may_follow", lambda left, right: asked.append((left, right)) or may_follow(left, right))
+    words = sorted({u for r in sample.collect() for u in counts.pre_tokens(r.text) if not u.startswith("▁▁")} - {"▁"})
+    lex.segment(words)
+    prefixes = {w[:n] for w in words for n in range(1, len(w) + 1)}
+    assert len(asked) < 1.5 * len(prefixes)
+    for word in words[::50]:
+        node, ways = lex.root, 0
+        for c in word:
+            while c not in node and node is not lex.root:
+                node = node[sentencepiece_codec.SHORTER]
+            node = node.get(c, lex.root)
+        for length, piece, _, _ in node.get(sentencepiece_codec.ENDING, ()):
+            head = word[:-length]
+            ways += not head or may_follow(int(np.frombuffer(lex.segment([head])[head], "<u4")[-1]), piece)
+        assert ways == (word[-1] in lex.characters), word
+
+
 def test_round_trip(odd, sample, library):
     for df in (odd, sample):
         texts = sorted((r.text or "").replace("▁", " ") for r in df.select("text").collect())
