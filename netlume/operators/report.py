@@ -195,11 +195,25 @@ def expected(spark, names: list[str], ports: dict[str, str] | None = None, count
 
 
 def zero_filled(rows: DataFrame, dimension: DataFrame) -> DataFrame:
-    """``rows`` and, with zeros, what else of ``dimension`` belongs to the classes seen in an interval."""
-    seen = rows.select("bin_timestamp", "source_label", "metric_class").distinct()
-    keys = ["bin_timestamp", "source_label", "metric_class", "metric_name", "metric_value"]
-    missing = seen.join(dimension, "metric_class").join(rows.select(*keys), keys, "left_anti")
-    return rows.unionByName(missing.select(*keys, *(F.lit(0).cast("long").alias(n) for n in OUTPUT[4:])))
+    """``rows`` and, with zeros, what else of ``dimension`` belongs to the classes seen in an interval.
+
+    ``rows`` are computed once: each brings a mark that its class was seen
+    along, and what the marks stand for is left out where there are rows.
+    """
+    seen, metric, counts = ["bin_timestamp", "source_label", "metric_class"], ["metric_name", "metric_value"], OUTPUT[4:]
+    numbers = F.struct(*counts)
+    nothing = lambda column: F.lit(None).cast(rows.schema[column].dataType)
+    both = F.array(
+        F.struct(F.lit(False).alias("_mark"), *metric, numbers.alias("_numbers")),
+        F.struct(F.lit(True).alias("_mark"), *(nothing(n).alias(n) for n in metric), F.when(F.lit(False), numbers).alias("_numbers")),
+    )
+    known = rows.select(*seen, F.inline(both)).groupBy(*seen, "_mark", *metric).agg(F.collect_list("_numbers").alias("_numbers"))
+    right = dimension.select(F.col("metric_class").alias("_class"), *(F.col(n).alias(f"_{n}") for n in metric))
+    joined = known.join(right, F.when(F.col("_mark"), F.col("metric_class")) == F.col("_class"), "left").where("not _mark or _class is not null")
+    every = joined.groupBy(*seen, *(F.when(F.col("_mark"), F.col(f"_{n}")).otherwise(F.col(n)).alias(n) for n in metric)).agg(F.flatten(F.collect_list("_numbers")).alias("_numbers"))
+    filled = every.select(*seen, *metric, F.explode_outer("_numbers").alias("_n"))
+    none = F.lit(0).cast("long")
+    return filled.withColumns({n: F.when(F.col("_n").isNull(), none).otherwise(F.col(f"_n.{n}")) for n in counts}).select(*rows.columns)
 
 
 def complete_only(rows: DataFrame, interval_rows: DataFrame) -> DataFrame:

@@ -44,3 +44,25 @@ def test_stages_whose_methods_are_not_compiled_are_left_unfused(spark):
             assert spark.conf.get(limit) == kept
     finally:
         spark.conf.set(limit, before)
+
+
+def test_packets_of_reports_with_rows_of_zeros_are_read_once(spark):
+    """Beside the report only the packets' first second and the intervals ask for packets, and just for their times."""
+    for name, reads in (("report_protocol", 1), ("run_report", 2)):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_suppkey#") and plan.count("Generate inline(kinds") == 1 and plan.count("Sample 0.0, 1.0") == reads, name
+
+
+def test_rows_of_zeros(spark):
+    """Rows stay as they are, also if they are there twice or hold nulls; others of the classes seen in an interval are zeros."""
+    from netlume.operators import report
+
+    schema = "bin_timestamp long, source_label string, metric_name string, metric_value string, src_ip_cnt long, dest_ip_cnt long, pkt_cnt long, byte_cnt long, src_asn_cnt long, metric_class string"
+    rows = [(0, "a", "n", "1", 1, 2, 3, 4, 5, "x"), (0, "a", "n", "1", 1, 2, 3, 4, None, "x"), (60, "a", "n", None, 6, 7, 8, 9, 0, "x"), (60, "b", "m", "z", 1, 1, 1, 1, 1, "y")]
+    dimension = spark.createDataFrame([("x", "n", "1"), ("x", "n", "2"), ("w", "n", "1")], "metric_class string, metric_name string, metric_value string")
+    zeros = [(0, "a", "n", "2"), (60, "a", "n", "1"), (60, "a", "n", "2")]
+    want = rows + [(*key, 0, 0, 0, 0, 0, "x") for key in zeros]
+    filled = report.zero_filled(spark.createDataFrame(rows, schema), dimension)
+    assert filled.columns == report.OUTPUT + ["metric_class"]
+    assert sorted(map(str, map(tuple, filled.collect()))) == sorted(map(str, want))
+    assert report.zero_filled(spark.createDataFrame([], schema), dimension).count() == 0
