@@ -5,7 +5,8 @@ each.  Metrics are numbers while they are counted; only the few rows of a
 result get names.  Packets fan out where they are, and map-side sums by
 (interval, metric, kind, value) collapse what repeats before the one shuffle
 that removes repetitions, which spreads even a metric that every packet has
-over all its addresses; a second one, of counts, ends it.
+over all its addresses; a second one, of counts, ends it.  Filters are one
+metric until then, whose values keep the bits of all filters that they passed.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.u32 import network
-from .filters import NAMES, port_allowed
+from .filters import NAMES, bits_of, port_allowed
 from .intervals import INTERVAL, assigned
 from .tagging import polygon_ids
 
@@ -48,6 +49,8 @@ _GEO = {"maxmind_continent", "maxmind_country", "netacq_continent", "netacq_coun
 _ID = {name: k for k, name in enumerate(CLASSES)}
 _SEPARATOR = "\x1f"
 _LABELS = tuple(FILTER_LABELS.values())
+MASKS = 3
+"""The kind of values that are the bits of filters that a packet passed."""
 
 
 def _metric(name: str, when: Column, number: Column | None = None, place: Column | None = None) -> Column:
@@ -85,8 +88,29 @@ def chosen(limit: set[str] | None = None, geo_lite: bool = False) -> list[str]:
     return [k for k in names if not (geo_lite and limit and limit & _GEO and k in ("netacq_region", "netacq_polygon"))]
 
 
+def _passed() -> Column:
+    """The bits of the filters with a label."""
+    return F.coalesce(F.col("filterbits").bitwiseAND(F.lit(bits_of(*FILTER_LABELS))), F.lit(0).cast("long"))
+
+
+def _by_filter(values: DataFrame) -> DataFrame:
+    """Numbers of values by metric and kind, the filters apart again.
+
+    Few bits differ, so what is summed by them before they are taken apart is
+    small.  Packets and bytes are those of kind 0, those of filters of MASKS.
+    """
+    metric, own = ["interval_ts", "id", "number", "place"], F.col("id") == _ID["filter"]
+    bits = F.when(F.col("kind") == MASKS, F.col("value")).otherwise(F.col("bits"))
+    few = values.groupBy(*metric, "kind", bits.alias("bits")).agg(F.count("value").alias("n"), F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes"))
+    each = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(F.lit(bits_of(n))) != 0, F.lit(k).cast("long")) for k, n in enumerate(FILTER_LABELS))))
+    apart = few.withColumn("number", F.explode(F.when(own, each).otherwise(F.array("number"))))
+    number = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    counted = lambda name: F.sum(F.when(~own | (F.col("kind") == MASKS), F.col(name)).otherwise(0))
+    return apart.groupBy(*metric).agg(number(0).alias("src_ip_cnt"), number(1).alias("dest_ip_cnt"), counted("pkts").alias("pkt_cnt"), counted("bytes").alias("byte_cnt"), number(2).alias("src_asn_cnt"))
+
+
 def metrics(names: list[str], ports: dict[str, str] | None = None) -> Column:
-    """The array of a tagged packet's metrics, null where it has one not.  ``ports``: allow-lists for tcp_src_port and so on."""
+    """The array of a tagged packet's metrics, null where it has one not; all filters are one.  ``ports``: allow-lists for tcp_src_port and so on."""
     c = F.col
     tagged, made = c("has_basic"), []
     if "combined" in names:
@@ -112,7 +136,7 @@ def metrics(names: list[str], ports: dict[str, str] | None = None) -> Column:
     if "netacq_region" in names:
         made.append(_metric("netacq_region", c("netacq").isNotNull() & (c("netacq.region") > 0), c("netacq.region")))
     if "filter" in names:
-        made += [_metric("filter", c("filterbits").bitwiseAND(F.lit(1 << NAMES.index(n))) != 0, F.lit(k)) for k, n in enumerate(FILTER_LABELS)]
+        made.append(_metric("filter", _passed() != 0))
     out = F.array(*made) if made else None
     if "netacq_polygon" in names:
         ids = F.coalesce(polygon_ids(c("netacq.polygons")), F.array().cast("array<long>"))
@@ -142,22 +166,31 @@ def report(tagged: DataFrame, seconds: int = INTERVAL, limit: set[str] | None =
     """
     names = chosen(limit, geo_lite)
     packets = assigned(tagged.where("src_ip is not null"), seconds, first)
-    none = F.lit(0).cast("long")
+    none, size, filtered = F.lit(0).cast("long"), F.coalesce("ip_len", F.lit(0)), "filter" in names
+    of_kinds = [
+        (counted_ip(F.col("src_ip"), src_method, src_bits, F.col("interval_ts"), seconds), F.lit(1), size),
+        (counted_ip(F.col("dst_ip"), dst_method, dst_bits, F.col("interval_ts"), seconds), none, none),
+        (F.col("prefix_asn"), none, none),
+    ]
+    if filtered:
+        of_kinds.append((_passed(), F.lit(1), size))
     kinds = F.array(*(
-        F.named_struct(F.lit("kind"), F.lit(kind).cast("byte"), F.lit("value"), value.cast("long"), F.lit("pkts"), pkts.cast("long"), F.lit("bytes"), size.cast("long"))
-        for kind, (value, pkts, size) in enumerate((
-            (counted_ip(F.col("src_ip"), src_method, src_bits, F.col("interval_ts"), seconds), F.lit(1), F.coalesce("ip_len", F.lit(0))),
-            (counted_ip(F.col("dst_ip"), dst_method, dst_bits, F.col("interval_ts"), seconds), none, none),
-            (F.col("prefix_asn"), none, none),
-        ))
+        F.named_struct(F.lit("kind"), F.lit(kind).cast("byte"), F.lit("value"), value.cast("long"), F.lit("pkts"), pkts.cast("long"), F.lit("bytes"), length.cast("long"))
+        for kind, (value, pkts, length) in enumerate(of_kinds)
     ))
-    fanned = packets.select("interval_ts", F.explode(metrics(names, ports)).alias("m"), kinds.alias("kinds")).where("m is not null").select("interval_ts", "m.*", F.inline("kinds")).where("kind = 0 or value is not null")
+    bits = [_passed().alias("bits")] if filtered else []
+    fanned = packets.select("interval_ts", *bits, F.explode(metrics(names, ports)).alias("m"), kinds.alias("kinds")).where("m is not null").select("interval_ts", *(["bits"] if filtered else []), "m.*", F.inline("kinds")).where("kind = 0 or value is not null")
     metric = ["interval_ts", "id", "number", "place"]
-    values = fanned.groupBy(*metric, "kind", "value").agg(F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes"))
-    number = lambda kind: F.count(F.when(F.col("kind") == kind, F.col("value")))
-    out = _named(values.groupBy(*metric).agg(
-        number(0).alias("src_ip_cnt"), number(1).alias("dest_ip_cnt"), F.sum("pkts").alias("pkt_cnt"), F.sum("bytes").alias("byte_cnt"), number(2).alias("src_asn_cnt")
-    ))
+    sums = [F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes")]
+    if filtered:
+        own = F.col("id") == _ID["filter"]
+        kept = fanned.where(own | (F.col("kind") != MASKS)).withColumn("bits", F.when(own & (F.col("kind") != MASKS), F.col("bits")).otherwise(none))
+        counts = _by_filter(kept.groupBy(*metric, "kind", "value").agg(*sums, F.bit_or("bits").alias("bits")))
+    else:
+        number = lambda kind: F.count(F.when(F.col("kind") == kind, F.col("value")))
+        values = fanned.groupBy(*metric, "kind", "value").agg(*sums)
+        counts = values.groupBy(*metric).agg(number(0).alias("src_ip_cnt"), number(1).alias("dest_ip_cnt"), F.sum("pkts").alias("pkt_cnt"), F.sum("bytes").alias("byte_cnt"), number(2).alias("src_asn_cnt"))
+    out = _named(counts)
     return out.withColumnRenamed("interval_ts", "bin_timestamp").withColumn("source_label", F.lit(label)).select(*OUTPUT, "metric_class")
 
 

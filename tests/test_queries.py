@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from netlume.queries import ORACLES, QUERIES
 
@@ -66,3 +67,21 @@ def test_rows_of_zeros(spark):
     assert filled.columns == report.OUTPUT + ["metric_class"]
     assert sorted(map(str, map(tuple, filled.collect()))) == sorted(map(str, want))
     assert report.zero_filled(spark.createDataFrame([], schema), dimension).count() == 0
+
+
+def test_filters_are_one_metric_until_they_are_counted(spark):
+    """A packet is one value of each kind for all its filters; beside other metrics, and with sampled sources, each filter counts as by itself."""
+    from netlume.operators import filters, report
+    from netlume.queries import tagged
+
+    packets = tagged(spark, SF, "maxmind", "netacq", "pfx2as")
+    assert packets.select(F.size(F.array_compact(report.metrics(["filter"])))).distinct().count() <= 2
+    assert packets.select(F.max(F.size(report.metrics(["filter"])))).first()[0] == 1
+    rows = lambda limit, **how: sorted(map(tuple, report.report(packets, 600, limit, **how).select(*report.OUTPUT).collect()))
+    for how in ({}, {"src_method": "sample", "src_bits": 30}):
+        assert rows({"filter", "combined", "protocol"}, **how) == sorted(rows({"filter"}, **how) + rows({"combined", "protocol"}, **how))
+    sampled = rows({"filter"}, src_method="sample", src_bits=30)
+    turn = F.when(F.col("src_ip").bitwiseAND(3) == F.pmod(F.floor(F.col("bin") / 600), F.lit(4)), F.col("src_ip"))
+    one = packets.withColumn("bin", F.col("ts_sec") - F.col("ts_sec") % 600).where(filters.has_bit(F.col("filterbits"), "port_53"))
+    want = one.groupBy("bin").agg(F.countDistinct(turn), F.countDistinct("dst_ip"), F.count("*"), F.sum("ip_len"), F.countDistinct("prefix_asn")).collect()
+    assert sorted((r[0], *r[4:]) for r in sampled if r[3].endswith("port-53") or r[2].endswith("port-53")) == sorted(map(tuple, want))
