@@ -85,3 +85,8 @@ def test_filters_are_one_metric_until_they_are_counted(spark):
     one = packets.withColumn("bin", F.col("ts_sec") - F.col("ts_sec") % 600).where(filters.has_bit(F.col("filterbits"), "port_53"))
     want = one.groupBy("bin").agg(F.countDistinct(turn), F.countDistinct("dst_ip"), F.count("*"), F.sum("ip_len"), F.countDistinct("prefix_asn")).collect()
     assert sorted((r[0], *r[4:]) for r in sampled if r[3].endswith("port-53") or r[2].endswith("port-53")) == sorted(map(tuple, want))
+
+
+def test_reports_look_up_what_they_count(spark):
+    for name, lookups in (("report_filters", 1), ("report_combined", 1), ("report_geo", 2)):
+        assert QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == lookups, name
