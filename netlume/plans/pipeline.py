@@ -104,20 +104,25 @@ class Plugin(Protocol):
 
 @dataclass
 class Hooks:
-    """What a plugin does besides: ``merge`` makes one result of those of several runs, ``rotated`` gets the path and the start of a file that is complete, ``halted`` the run that ends."""
+    """What a plugin does besides: ``merge`` makes one result of those of several runs, ``rotated`` gets the path and the start of a file that is complete, ``halted`` the run that ends.
+
+    ``reads`` tells from the options which providers' tags the plugin reads;
+    without it packets have the tags of all.
+    """
 
     merge: Callable[..., DataFrame] | None = None
     rotated: Callable[[str, int], None] | None = None
     halted: Callable[[Config], None] | None = None
+    reads: Callable[[dict], set[str]] | None = None
 
 
 PLUGINS: dict[str, Plugin] = {}
 HOOKS: dict[str, Hooks] = {}
 
 
-def plugin(name: str, merge=None, rotated=None, halted=None) -> Callable[[Plugin], Plugin]:
+def plugin(name: str, merge=None, rotated=None, halted=None, reads=None) -> Callable[[Plugin], Plugin]:
     def put(f: Plugin) -> Plugin:
-        PLUGINS[name.lower()], HOOKS[name.lower()] = f, Hooks(merge, rotated, halted)
+        PLUGINS[name.lower()], HOOKS[name.lower()] = f, Hooks(merge, rotated, halted, reads)
         return f
 
     return put
@@ -147,9 +152,17 @@ _LIMITS = {
 }
 
 
-@plugin("report")
+def _limit(options: dict) -> set[str]:
+    return set().union(*(_LIMITS.get(x, {x}) for x in options.get("limitmetrics") or []))
+
+
+def _report_reads(options: dict) -> set[str]:
+    return {"pfx2as"} | {name.partition("_")[0] for name in report.chosen(_limit(options) or None)} & {"maxmind", "netacq"}
+
+
+@plugin("report", reads=_report_reads)
 def _report(tagged, run, options):
-    limit = set().union(*(_LIMITS.get(x, {x}) for x in options.get("limitmetrics") or []))
+    limit = _limit(options)
     ports = {k.replace("source", "src").replace("dest", "dst").removesuffix("s"): ",".join(map(str, v if isinstance(v, list) else [v])) for k, v in options.items() if k.endswith("_ports")}
     count = lambda *keys: str(next((options[k] for k in keys if k in options), "none"))
     src, dst = count("source_ip_counting", "src_ip_counting"), count("dest_ip_counting", "dst_ip_counting")
@@ -207,8 +220,12 @@ def results(spark: SparkSession, run: Config, packets: DataFrame | None = None)
         packets = spark.read.format(run.source_format).option("paths", "\n".join(run.sources)).load() if run.source_format == "pcap" else spark.read.format(run.source_format).load(run.sources)
     all_packets = captured(packets, run)
     own = replace(run, captured=all_packets, first=intervals.first_second(all_packets))
-    tagged = prepared(packets, run)
-    return {n: PLUGINS[n.lower()](tagged, own, options) for n, options in run.plugins}
+    out = {}
+    for n, options in run.plugins:
+        reads = HOOKS[n.lower()].reads
+        read = run.providers if reads is None else {k: v for k, v in run.providers.items() if k in reads(options)}  # a lookup that nothing reads is done all the same
+        out[n] = PLUGINS[n.lower()](prepared(packets, replace(run, providers=read)), own, options)
+    return out
 
 
 def write(result: DataFrame, run: Config, name: str, time_column: str | None = None, fmt: str = "parquet", **options) -> str:

@@ -88,5 +88,5 @@ def test_filters_are_one_metric_until_they_are_counted(spark):
 
 
 def test_reports_look_up_what_they_count(spark):
-    for name, lookups in (("report_filters", 1), ("report_combined", 1), ("report_geo", 2)):
+    for name, lookups in (("report_filters", 1), ("report_combined", 1), ("report_geo", 2), ("run_report", 4)):
         assert QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == lookups, name
