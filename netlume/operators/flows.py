@@ -1,7 +1,9 @@
 """Flows: packets counted by interval and 8-tuple, and merged counts of several runs.
 
 Counts and first packets are both sums that Spark makes before it shuffles, so
-a busy flow costs one row per task.
+a busy flow costs one row per task.  Sums are sorted, not hashed, as first
+packets are structs; a number that few flows share stands before the fields
+of the key, so that sorts seldom have to look at these.
 """
 
 from __future__ import annotations
@@ -9,37 +11,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .filters import has_bit
+from .filters import has_bit, with_mask
 from .intervals import INTERVAL, assigned
+from .tagging import Ranges, with_origins
 
 KEY = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "ttl", "tcp_flags", "ip_len"]
 ORDER = ["protocol", "ttl", "tcp_flags", "src_ip", "dst_ip", "src_port", "dst_port", "ip_len"]
 FIRST = ["tcp_synlen", "tcp_synwinlen", "is_spoofed", "is_masscan", "maxmind_continent", "maxmind_country", "netacq_continent", "netacq_country", "prefix2asn"]
 FIELDS = ["time", *KEY, "tcp_synlen", "tcp_synwinlen", "packet_cnt", *FIRST[2:]]
 NOWHERE = "??"
+OWN = FIRST[:4]
+"""What a flow has of its first packet alone; the rest is the source's."""
+FILTERS = ("spoofed", "large_scale_scan")
 
 
-def _attributes(tagged: DataFrame) -> DataFrame:
-    """Tagged packets with the fields of a flow."""
+def _own() -> dict[str, Column]:
+    """The fields of a flow that are a packet's own; its mask has FILTERS."""
     c = F.col
     syn = c("protocol").eqNullSafe(6) & c("tcp_flags").eqNullSafe(2)
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return tagged.where(c("src_ip").isNotNull()).withColumns({
+    return {
         "src_port": zero(c("src_port")), "dst_port": zero(c("dst_port")), "tcp_flags": zero(c("tcp_flags")),
         "tcp_synlen": F.when(syn, c("tcp_doff") * 4).otherwise(0), "tcp_synwinlen": F.when(syn, c("tcp_window")).otherwise(0),
-        "is_spoofed": has_bit(c("filterbits"), "spoofed").cast("int"), "is_masscan": has_bit(c("filterbits"), "large_scale_scan").cast("int"),
-        "maxmind_continent": F.coalesce("maxmind.continent", F.lit(NOWHERE)), "maxmind_country": F.coalesce("maxmind.country", F.lit(NOWHERE)),
-        "netacq_continent": F.coalesce("netacq.continent", F.lit(NOWHERE)), "netacq_country": F.coalesce("netacq.country", F.lit(NOWHERE)),
-        "prefix2asn": zero(c("prefix_asn")),
-    })
+        "is_spoofed": has_bit(c("filterbits"), FILTERS[0]).cast("int"), "is_masscan": has_bit(c("filterbits"), FILTERS[1]).cast("int"),
+    }
+
+
+def _origins() -> dict[str, Column]:
+    """The fields of a flow that tags of its source give."""
+    places = {f"{p}_{n}": F.coalesce(f"{p}.{n}", F.lit(NOWHERE)) for p in ("maxmind", "netacq") for n in ("continent", "country")}
+    return places | {"prefix2asn": F.coalesce("prefix_asn", F.lit(0))}
+
+
+def _attributes(tagged: DataFrame) -> DataFrame:
+    """Tagged packets with the fields of a flow."""
+    return tagged.where("src_ip is not null").withColumns(_own() | _origins())
+
+
+def _counted(packets: DataFrame, names: list[str], seconds: int, first: int | None) -> DataFrame:
+    """Packets by interval and key: packet_cnt, and the fields ``names`` of the first packet."""
+    c = F.col
+    lead = F.shiftleft("src_ip", 32).bitwiseXOR(c("dst_ip")).bitwiseXOR(F.shiftleft(c("src_port").cast("long"), 16)).alias("_lead")
+    earliest = F.min(F.struct("ts_sec", "ts_usec", "seq", *names)).alias("_first")
+    grouped = assigned(packets, seconds, first).groupBy(lead, c("interval_ts").alias("time"), *KEY).agg(F.count("*").alias("packet_cnt"), earliest)
+    return grouped.select("time", *KEY, "packet_cnt", *(c(f"_first.{n}").alias(n) for n in names))
 
 
 def flows(tagged: DataFrame, seconds: int = INTERVAL, first: int | None = None) -> DataFrame:
     """The 19 fields of each flow of an interval; what isn't part of the key comes from its first packet."""
-    packets = assigned(_attributes(tagged), seconds, first)
-    earliest = F.min(F.struct("ts_sec", "ts_usec", "seq", *FIRST)).alias("_first")
-    grouped = packets.groupBy(F.col("interval_ts").alias("time"), *KEY).agg(F.count("*").alias("packet_cnt"), earliest)
-    return grouped.select("time", *KEY, *(F.col(f"_first.{n}").alias(n) for n in FIRST[:2]), "packet_cnt", *(F.col(f"_first.{n}").alias(n) for n in FIRST[2:]))
+    return _counted(_attributes(tagged), FIRST, seconds, first).select(*FIELDS)
+
+
+def flows_of(packets: DataFrame, seconds: int = INTERVAL, first: int | None = None, **providers: Ranges) -> DataFrame:
+    """``flows`` of packets that have no tags yet: ``providers`` (see ``tagging.with_origins``) are asked about flows, since their tags are the source's, and of the filters only those are computed that flows have."""
+    masked = with_mask(packets, names=FILTERS).where("src_ip is not null")
+    counted = _counted(masked.withColumns(_own()), OWN, seconds, first)
+    return with_origins(counted, **providers).withColumns(_origins()).select(*FIELDS)
 
 
 def ordered(flow_rows: DataFrame) -> DataFrame:

@@ -111,6 +111,15 @@ def polygon_ids(polygons: Column) -> Column:
     return F.filter(F.slice(polygons, 1, MOST_POLYGONS), lambda p: p.bitwiseAND(0xFFFFFF) != 0)
 
 
+def with_origins(rows: DataFrame, maxmind: Ranges | None = None, netacq: Ranges | None = None, pfx2as: Ranges | None = None) -> DataFrame:
+    """``rows`` with what the providers say of their source address: maxmind and netacq (structs) and prefix_asn, null without an answer."""
+    out = lookup(rows, maxmind, "maxmind") if maxmind is not None else rows.withColumn("maxmind", F.lit(None).cast(GEO))
+    out = lookup(out, netacq, "netacq") if netacq is not None else out.withColumn("netacq", F.lit(None).cast(NETACQ_GEO))
+    if pfx2as is not None:
+        return lookup(out, pfx2as, "_asns").withColumn("prefix_asn", single_origin(F.col("_asns"))).drop("_asns")
+    return out.withColumn("prefix_asn", F.lit(None).cast("long"))
+
+
 def tag(packets: DataFrame, maxmind: Ranges | None = None, netacq: Ranges | None = None, pfx2as: Ranges | None = None, filterbits: bool = True) -> DataFrame:
     """Packets with all tags: basic ones, filterbits, maxmind and netacq (structs), prefix_asn, providers_used.
 
@@ -120,12 +129,7 @@ def tag(packets: DataFrame, maxmind: Ranges | None = None, netacq: Ranges | None
     out = basic_tags(packets)
     if filterbits:
         out = with_mask(out)
-    out = lookup(out, maxmind, "maxmind") if maxmind is not None else out.withColumn("maxmind", F.lit(None).cast(GEO))
-    out = lookup(out, netacq, "netacq") if netacq is not None else out.withColumn("netacq", F.lit(None).cast(NETACQ_GEO))
-    if pfx2as is not None:
-        out = lookup(out, pfx2as, "_asns").withColumn("prefix_asn", single_origin(F.col("_asns"))).drop("_asns")
-    else:
-        out = out.withColumn("prefix_asn", F.lit(None).cast("long"))
+    out = with_origins(out, maxmind, netacq, pfx2as)
     used = {BASIC: F.col("has_basic"), MAXMIND: F.col("maxmind").isNotNull(), NETACQ: F.col("netacq").isNotNull(), PFX2AS: F.col("prefix_asn").isNotNull()}
     return out.withColumn("providers_used", sum((F.when(test, bit).otherwise(0) for bit, test in used.items()), F.lit(0)))
 

@@ -134,9 +134,9 @@ def merged(name: str, *parts: DataFrame) -> DataFrame:
     return merge(*parts) if merge else reduce(DataFrame.unionByName, parts)
 
 
-@plugin("flowtuple", merge=flows.merged)
+@plugin("flowtuple", merge=flows.merged, reads=lambda options: set())
 def _flows(tagged, run, options):
-    rows = flows.flows(tagged, run.interval, run.first)
+    rows = flows.flows_of(tagged, run.interval, run.first, **run.providers)
     return flows.ordered(rows) if on(options.get("sorttuples", "no")) else rows
 
 

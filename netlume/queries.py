@@ -319,7 +319,7 @@ row_number() OVER (PARTITION BY minute, {_FLOW_KEY} ORDER BY ts_sec, ts_usec, se
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.flows(tagged(spark, sf_dir, "maxmind", "netacq", "pfx2as"))
+    return flows.flows_of(synthetic_packets(spark, sf_dir), **providers(spark, sf_dir))
 
 
 @query(f"{TAGGED}{_FLOWS} SELECT * FROM flows", name="flows")

@@ -90,3 +90,23 @@ def test_filters_are_one_metric_until_they_are_counted(spark):
 def test_reports_look_up_what_they_count(spark):
     for name, lookups in (("report_filters", 1), ("report_combined", 1), ("report_geo", 2), ("run_report", 4)):
         assert QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == lookups, name
+
+
+def test_flows_are_counted_before_sources_are_looked_up(spark):
+    """What is sorted and shuffled has no tags, and sorts begin with a number that few flows share."""
+    lines = QUERIES["flows"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins, sums = ([k for k, line in enumerate(lines) if word in line] for word in ("Join LeftOuter", "Aggregate ["))
+    assert len(joins) == 3 and len(sums) == 1 and max(joins) < sums[0]
+    assert lines[sums[0]].partition("Aggregate [")[2].startswith("_")
+
+
+def test_masks_of_some_filters(spark):
+    """Their bits are those of the whole mask, also where headers lack fields, and other bits are 0."""
+    from netlume.operators import filters, flows
+
+    from .packets_of import UDP, packets
+
+    scan = {"ttl": 201, "tcp_window": 1024, "tcp_doff": 5}
+    odd = packets(spark, scan, scan | {"tcp_doff": None}, scan | {"tcp_window": None}, scan | {"tcp_flags": None}, {"src_ip": None}, UDP | {"ttl": 230, "dst_port": 80}, {"protocol": None}, {"ip_off": 1})
+    whole, some = ({r.seq: r.filterbits for r in rows.select("seq", "filterbits").collect()} for rows in (filters.with_mask(odd), filters.with_mask(odd, names=flows.FILTERS)))
+    assert some == {seq: bits & filters.bits_of(*flows.FILTERS) for seq, bits in whole.items()} and len(set(some.values())) == 3
