@@ -63,9 +63,9 @@ def flows(tagged: DataFrame, seconds: int = INTERVAL, first: int | None = None)
 
 
 def flows_of(packets: DataFrame, seconds: int = INTERVAL, first: int | None = None, **providers: Ranges) -> DataFrame:
-    """``flows`` of packets that have no tags yet: ``providers`` (see ``tagging.with_origins``) are asked about flows, since their tags are the source's, and of the filters only those are computed that flows have."""
-    masked = with_mask(packets, names=FILTERS).where("src_ip is not null")
-    counted = _counted(masked.withColumns(_own()), OWN, seconds, first)
+    """``flows`` of packets without tags of their sources: ``providers`` (see ``tagging.with_origins``) are asked about flows, since their tags are the source's; packets that have no filterbits get those of FILTERS."""
+    masked = packets if "filterbits" in packets.columns else with_mask(packets, names=FILTERS)
+    counted = _counted(masked.where("src_ip is not null").withColumns(_own()), OWN, seconds, first)
     return with_origins(counted, **providers).withColumns(_origins()).select(*FIELDS)
 
 
