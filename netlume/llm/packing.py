@@ -11,17 +11,19 @@ no length, however many pieces have it, is gathered in one place.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_or_null, ids_of, portions, releasing, texts_of, written
+from .common import id_or_null, ids_of, portions, releasing, written
 from .token_counts import vocabulary_path
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 2048, 0
@@ -31,12 +33,14 @@ _TOKENIZERS: dict = {}
 
 
 class WordIds(dict):
-    """The ids of words as bytes; white space bounds all tokens of this tokenizer, so a text's ids are those of its words.
+    """The ids of units of words as bytes; white space bounds all tokens of this tokenizer, so a text's ids are those of its words.
 
     A word of letters alone is one pre-token, and the last of its tokens is
     one that ends a word; punctuation after it is another pre-token.  So
-    letters and punctuation are encoded apart, many at once, and put together.
-    Other words are encoded whole, with a special token between them.
+    letters and punctuation are units that are encoded apart, many at once, and
+    put together.  Letters that the normalizer only makes lower (``plain``)
+    need neither it nor the pre-tokenizer's expression, only the merges.  Other
+    words are encoded whole, with a special token between them.
     """
 
     def __init__(self, name: str):
@@ -49,14 +53,39 @@ class WordIds(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
+        self.merges = self._merges_alone()
+        self.plain = self._plain()
+
+    def _merges_alone(self):
+        """A tokenizer with this one's merges that cuts at white space and maps bytes, and does nothing else."""
+        from tokenizers import Tokenizer
+
+        parts = json.loads(self.tokenizer.to_str()) | {"added_tokens": [], "normalizer": None, "post_processor": None}
+        parts["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        merges = Tokenizer.from_str(json.dumps(parts))
+        model = merges.model
+        model._resize_cache(0)  # words come once
+        merges.model = model
+        return merges
+
+    def _plain(self) -> str:
+        """Letters before U+0250 (from U+0300 on some join with the one before) that become one lower letter and stand in one pre-token with it.  If none does: a line end, which no word has."""
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if not normal or not cut:
+            return "\n"
+        letters = [c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and normal.normalize_str(c) == c.lower() == pc.utf8_lower(c).as_py()]
+        return "".join(c for c in letters if len(cut.pre_tokenize_str(3 * c.lower())) == 1 and self._encoded(f"b{c}b").tolist() == self.merges.encode(f"b{c.lower()}b").ids) or "\n"
 
     def _encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn_letters(self, cores: list[bytes]) -> None:
+    def _merged(self, text: str) -> np.ndarray:
+        return np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_letters(self, cores: list[bytes], encoded) -> None:
         for at in range(0, len(cores), 2000):
             part = cores[at : at + 2000]
-            ids = self._encoded(b" ".join(part).decode())
+            ids = encoded(b" ".join(part).decode())
             ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
             if len(ends) != len(part):
                 self._learn_others(part)
@@ -80,26 +109,73 @@ class WordIds(dict):
                 self[w] = data[begin:end]
                 begin = end + 4
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words that aren't known yet."""
-        split, cores, others = [], set(), set()
-        for w in words:
-            core = w.rstrip(PUNCTUATION)
-            if core.isalpha() or core and core.decode().lower().isalpha():  # bytes.isalpha: ASCII letters
-                core, tail = core.lower(), w[len(core) :]
-                cores.add(core)
-                if b"<|" in tail:
-                    others.add(w)
-                elif len(core) < len(w) or core != w:
-                    split.append((w, core, tail))
-                    if tail:
-                        others.add(tail)
-            else:
-                others.add(w)
-        self._learn_letters([c for c in cores if c not in self])
-        self._learn_others([w for w in others if w not in self])
-        for w, core, tail in split:
-            self[w] = self[core] + self[tail] if tail else self[core]
+    def learn(self, plain: list[bytes], others: list[bytes]) -> None:
+        """Encode units that aren't known yet: lower words of ``plain`` letters, and others."""
+        letters = [w.decode().lower().isalpha() for w in others]
+        self._learn_letters(plain, self._merged)
+        self._learn_letters([w for w, x in zip(others, letters, strict=True) if x], self._encoded)
+        self._learn_others([w for w, x in zip(others, letters, strict=True) if not x])
+
+    def _units(self, words: pa.Array) -> tuple[list[bytes], int, np.ndarray]:
+        """The distinct units that words consist of, how many of them, which come first, are of ``plain`` letters, and of each word the numbers of two."""
+        cores = pc.ascii_rtrim(words, characters=PUNCTUATION.decode())
+        tails = pc.utf8_ltrim(words, characters=self.plain)
+        plain = pc.and_(pc.match_substring_regex(cores, f"^[{self.plain}]+$"), pc.invert(pc.match_substring(tails, "<|")))
+        whole = pc.invert(plain)
+        stems, ends = [], []
+        for w in words.filter(whole).to_pylist():
+            core = w.encode().rstrip(PUNCTUATION).decode()
+            apart = core.lower().isalpha() and "<|" not in w
+            stems.append(core.encode().lower().decode() if apart else w)  # of bytes: ASCII letters
+            ends.append(w[len(core) :] if apart else "")
+        stem = pa.concat_arrays([pc.utf8_lower(cores.filter(plain)), pa.array(stems, words.type)]).dictionary_encode()
+        tail = pa.concat_arrays([tails.filter(plain), pa.array(ends, words.type)]).dictionary_encode()
+        split, of, last = pc.sum(plain).as_py() or 0, stem.indices.to_numpy(), tail.indices.to_numpy()
+        is_plain, units = plain.to_numpy(zero_copy_only=False), np.empty((len(words), 2), np.int64)
+        for at, k in ((is_plain, slice(split)), (~is_plain, slice(split, None))):
+            units[at, 0], units[at, 1] = of[k], last[k] + len(stem.dictionary)
+        return [*_strings(stem.dictionary), *_strings(tail.dictionary)], int(of[:split].max(initial=-1)) + 1, units
+
+    def of_texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of an Arrow string column, an end id after each, and where each text's ids end; null counts as empty.
+
+        Words, and then their units, are numbered by Arrow, so that each unit
+        is looked up once, and ids are put together by number.
+        """
+        if len(self) > CACHE:
+            self.clear()
+        lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        coded = lists.flatten().dictionary_encode()
+        names, n_plain, units = self._units(coded.dictionary)
+        ids = list(map(self.get, names))
+        gaps = [k for k, x in enumerate(ids) if x is None]
+        cut = bisect_left(gaps, n_plain)
+        self.learn([names[k] for k in gaps[:cut]], [names[k] for k in gaps[cut:]])
+        for k in gaps:
+            ids[k] = self[names[k]]
+        table, ends = _joined(np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4, units.ravel())
+        table, sizes = np.append(table, np.uint32(END)), np.append(np.diff(ends[1::2], prepend=0), 1)
+        last = np.cumsum(lists.value_lengths().to_numpy().astype(np.int64) + 1) - 1  # the place of each text's end among all words and ends
+        code = np.full(len(coded) + len(column), len(sizes) - 1, np.int32)
+        word = np.ones(len(code), bool)
+        word[last] = False
+        code[word] = coded.indices.to_numpy()
+        data, ends = _joined(table, sizes, code)
+        return data, ends[last]
+
+
+def _strings(column: pa.Array) -> list[bytes]:
+    """An Arrow array of strings without line ends, as UTF-8."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(column)], column.cast(pa.binary())), b"\n")[0].as_py().split(b"\n") if len(column) else []
+
+
+def _joined(table: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``table``, which has one of each of ``sizes``, that have these numbers, one after another, and where each ends."""
+    size = sizes[code]
+    ends = np.cumsum(size)
+    places = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - size), size)
+    places += np.arange(len(places))
+    return table[places], ends
 
 
 def _word_ids(name: str) -> WordIds:
@@ -114,26 +190,14 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENG
     def run(batches):
         known, task, ranks = _word_ids(tokenizer), TaskContext.get().partitionId(), [0] * (length + 1)
         for batch in portions(batches, 1):
-            parts, gaps, new = [], [], set()
-            if len(known) > CACHE:
-                known.clear()
-            for text in texts_of(batch.column(1)):
-                words = text.split()
-                got = list(map(known.get, words))
-                gap = [(j, words[j]) for j, x in enumerate(got) if x is None]
-                new.update([w for _, w in gap])
-                parts.append(got)
-                gaps.append(gap)
-            known.learn(new)
+            ids, ends = known.of_texts(batch.column(1))
+            data, begins = ids.view(np.uint8), np.append(0, ends)
             rows: list[list] = [[] for _ in range(8)]
-            for doc_id, got, gap in zip(ids_of(batch.column(0)).tolist(), parts, gaps, strict=True):
-                for j, w in gap:
-                    got[j] = known[w]
-                data = b"".join(got) + END.to_bytes(4, "little")
-                for k, at in enumerate(range(0, len(data), 4 * length)):
-                    ids = data[at : at + 4 * length]
-                    n = len(ids) // 4
-                    for column, value in zip(rows, (doc_id, k, at // 4, n, zlib.crc32(ids), ids if with_ids else None, task, ranks[n]), strict=True):
+            for doc_id, first, last in zip(ids_of(batch.column(0)).tolist(), begins[:-1].tolist(), ends.tolist(), strict=True):
+                for k, at in enumerate(range(first, last, length)):
+                    n = min(length, last - at)
+                    piece = data[4 * at : 4 * (at + n)]
+                    for column, value in zip(rows, (doc_id, k, at - first, n, zlib.crc32(piece), piece.tobytes() if with_ids else None, task, ranks[n]), strict=True):
                         column.append(value)
                     ranks[n] += 1
             names, kinds = ("piece", "start", "length", "ids_crc32", "ids", "task", "rank"), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())

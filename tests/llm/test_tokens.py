@@ -1,15 +1,18 @@
 """Operators 2, 5 and 9, held against the libraries."""
 
+import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from netlume.llm import sentencepiece_codec
+from netlume.llm import packing, sentencepiece_codec
 from netlume.llm import token_counts as counts
 from netlume.llm.packing import best_fit, plan
 from netlume.llm.sentencepiece_codec import Lexicon, lexicon, sentencepiece_decode, sentencepiece_encode
@@ -99,6 +102,37 @@ def test_packing(odd, sample, length):
         assert len(sequences) <= -(-sum(w[3] for w in want) // length) * 11 // 9 + 1
 
 
+def test_units_of_words_are_the_librarys(monkeypatch):
+    """Letters that only become lower, those around them that don't, marks that join with them, apostrophes and the names of special tokens, with any state of the cache."""
+    known, rng = packing.WordIds(packing.TOKENIZER), random.Random(3)
+    pool = [*map(chr, range(0x20, 0x250)), *"\x00\t\n\x1c\u0327\u0301\u0308\u03a3\u03c3\u03c2\u1e9e\ufb01\u0416\u68a6\ud55c\u1112\u1161\u3000", "<|endoftext|>", "'s", "'RE", "<|", "|>"]
+    for size in [3, 20, len(pool)] * 60:
+        monkeypatch.setattr(packing, "CACHE", rng.choice([0, 5, 10**6]))
+        some = rng.sample(pool, size)
+        texts = [None, "", *("".join(rng.choice(some) + rng.choice(["", "", " ", ".", "e"]) for _ in range(rng.randrange(40))) for _ in range(20))]
+        ids, ends = known.of_texts(pa.array(texts, pa.string()))
+        assert [p.tolist() for p in np.split(ids, ends)[:-1]] == [[*known.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert [len(x) for x in known.of_texts(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_words_cost_merges_and_one_lookup(sample, monkeypatch):
+    """Words of Latin letters don't pass through the whole tokenizer, and a unit is looked up once in a batch, however often it occurs."""
+    rows = sample.select("doc_id", "text").collect()
+    words = [w for r in rows for w in r.text.encode().split()]
+    encoded, lookups, encode = [], [], packing.WordIds._encoded
+    monkeypatch.setattr(packing.WordIds, "_encoded", lambda self, text: encoded.append(len(text)) or encode(self, text))
+    known = packing.WordIds(packing.TOKENIZER)
+    encoded.clear()
+    known.get = lambda w: lookups.append(w) or dict.get(known, w)
+    monkeypatch.setattr(packing, "_TOKENIZERS", {packing.TOKENIZER: known})
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    docs = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r.doc_id for r in rows]), "text": pa.array([r.text for r in rows])})
+    assert sum(b.num_rows for b in packing.token_pieces(docs)([batch])) >= len(rows)
+    assert sum(encoded) < 0.1 * sum(map(len, set(words)))
+    assert len(lookups) <= len(set(words)) < 0.5 * len(words)
+
+
 def naive_best_fit(lengths, room):
     gaps = []
     for n in sorted(lengths, reverse=True):
